@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from corpuskiln.llm import media
+from corpuskiln.llm import linededup, media
 
-QUERIES = {"op10_media": media.op10_media}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_linededup": linededup.op3_linededup, "op10_media": media.op10_media}
+ORACLE_SQL = {"op3_linededup": linededup.OP3_SQL}
