@@ -1,6 +1,11 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from corpuskiln.llm import linededup, media
+from corpuskiln.llm import linededup, media, mixing, sharding
 
-QUERIES = {"op3_linededup": linededup.op3_linededup, "op10_media": media.op10_media}
-ORACLE_SQL = {"op3_linededup": linededup.OP3_SQL}
+QUERIES = {
+    "op3_linededup": linededup.op3_linededup,
+    "op4_sharding": sharding.op4_sharding,
+    "op7_mixing": mixing.op7_mixing,
+    "op10_media": media.op10_media,
+}
+ORACLE_SQL = {"op3_linededup": linededup.OP3_SQL, "op4_sharding": sharding.OP4_SQL}
