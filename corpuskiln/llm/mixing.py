@@ -118,8 +118,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     def fly(last: bool, turn: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            # large documents first, so that small ones are left for the landing
-            pdf = pdf.sort_values(["size", "key", "nth"], ascending=[False, True, True], ignore_index=True)
+            pdf = pdf.sort_values(["key", "nth"], ignore_index=True)
             seed = xxhash.xxh3_64_intdigest(f"{pdf['source'].iloc[0]}|{pdf['bucket'].iloc[0]}|{turn}".encode())
             p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
             p = flight(p, size, np.random.default_rng(seed))
