@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuskiln.llm.common import id_crc, in_batches, load, raw_texts
 
@@ -147,7 +148,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with score and predicted (1 from 0.7 on)."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*[f"`{c}`" for c in names]).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*[f"`{c}`" for c in names]).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
