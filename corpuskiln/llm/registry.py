@@ -1,12 +1,14 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from corpuskiln.llm import linededup, media, mixing, sharding, toxicity
+from corpuskiln.llm import licenses, linededup, media, mixing, sharding, tiling, toxicity
 
 QUERIES = {
     "op3_linededup": linededup.op3_linededup,
     "op4_sharding": sharding.op4_sharding,
+    "op5_licenses": licenses.op5_licenses,
     "op7_mixing": mixing.op7_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_tiling": tiling.op9_tiling,
     "op10_media": media.op10_media,
 }
 ORACLE_SQL = {"op3_linededup": linededup.OP3_SQL, "op4_sharding": sharding.OP4_SQL}
