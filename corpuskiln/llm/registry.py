@@ -1,9 +1,10 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from corpuskiln.llm import licenses, linededup, media, mixing, sharding, substrings, tiling, toxicity
+from corpuskiln.llm import jaccard, licenses, linededup, media, mixing, sharding, substrings, tiling, toxicity
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_linededup": linededup.op3_linededup,
     "op4_sharding": sharding.op4_sharding,
     "op5_licenses": licenses.op5_licenses,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_tiling": tiling.op9_tiling,
     "op10_media": media.op10_media,
 }
-ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op3_linededup": linededup.OP3_SQL, "op4_sharding": sharding.OP4_SQL}
+ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op2_jaccard": jaccard.OP2_SQL, "op3_linededup": linededup.OP3_SQL, "op4_sharding": sharding.OP4_SQL}
