@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from corpuskiln.llm import jaccard, licenses, linededup, media, mixing, sharding, substrings, tiling, toxicity
+from corpuskiln.llm import jaccard, licenses, linededup, lm, media, mixing, sharding, substrings, tiling, toxicity
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_linededup": linededup.op3_linededup,
     "op4_sharding": sharding.op4_sharding,
     "op5_licenses": licenses.op5_licenses,
+    "op6_lm": lm.op6_lm,
     "op7_mixing": mixing.op7_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_tiling": tiling.op9_tiling,
