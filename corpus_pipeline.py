@@ -1,13 +1,72 @@
-"""The corpus pipeline: documents in, clean, mixed and sharded documents out."""
+"""The corpus pipeline: toxic documents out, one of each group of near copies
+kept, contaminated documents out, sources mixed, shards assigned.
+
+Each stage takes (spark, docs, sf_dir) and returns what the next one works on;
+all but the last return the columns they were given.  Stages keep rows with
+null ids or texts where their rule doesn't reject them: such rows are not
+toxic by default, are never near copies of anything when they have no words,
+and hold no benchmark item.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuskiln.llm import jaccard, mixing, sharding, tiling, toxicity
+from corpuskiln.llm.common import load, row_key, settle
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine doesn't call toxic. It learns from the
+    labelled documents of the corpus, by the rule of the operator."""
+    machine = toxicity.train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    judged = toxicity.score(docs.select("doc_id", "text").withColumn("_key", row_key()), machine) if len(names) < len(docs.columns) else toxicity.score(docs, machine)
+    if len(names) == len(docs.columns):
+        return judged.filter("predicted = 0").select(*_columns(docs))
+    bad = judged.filter("predicted = 1").select("_key").distinct()
+    return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").select(*_columns(docs))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that names its component stays; so do documents without shingles.
+    Rows equal in id and text are one document."""
+    found = jaccard.similar(docs)
+    gone = found.filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("key").distinct()
+    return docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("key"), "left_anti").dropDuplicates(["_key"]).select(*_columns(docs))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tiling.clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (not at all, once or twice)."""
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", keep_one_of_each_group),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+#: Models, tilings and balanced samples aren't SQL; tests hold run() against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
