@@ -212,8 +212,10 @@ def window_rows(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, a, b): windows a..b of a document that start a repeated sequence. ``docs`` has key, text."""
     rows = anchor_rows(docs, width)
+    # tables are settled before a join on hot keys: a side that ends in an aggregation can't be split
     shared = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("wording").alias("w0"), F.max("wording").alias("w1")).filter("n > 1")
-    found = settle(rows.join(shared.select("name", (F.col("w0") != F.col("w1")).alias("mixed")), "name"), "shared-names")
+    shared = settle(shared.select("name", (F.col("w0") != F.col("w1")).alias("mixed")), "names")
+    found = settle(rows.join(shared, "name"), "shared-names")
     whole = found.filter("NOT mixed").select("key", "a", "b")
     mixed = found.filter("mixed")
     wordings = mixed.groupBy("name", "wording").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "b")).alias("one"))
@@ -222,6 +224,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     opened = wordings.select("name", "one.key", "one.a", "one.b", (F.col("n") == 1).alias("alone"))
     windows = settle(window_rows(docs, opened, width), "windows")
     twice = windows.groupBy("name", "print").agg(F.count("*").alias("n")).filter("n > 1").select("name", "print")
+    twice = settle(twice, "prints")
     single = windows.filter("alone").join(twice, ["name", "print"]).select("key", F.col("p").alias("a"), F.col("p").alias("b"))
     return whole.unionByName(again).unionByName(single)
 
