@@ -1,4 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpuskiln.plans import search_queries
+
+QUERIES = {**search_queries.QUERIES}
+ORACLE_SQL = {**search_queries.ORACLE_SQL}
