@@ -1,6 +1,7 @@
 """All registered queries of the engine and their SQL."""
 
-from corpuskiln.plans import search_queries
+from corpuskiln.plans import relational_queries, search_queries
 
-QUERIES = {**search_queries.QUERIES}
-ORACLE_SQL = {**search_queries.ORACLE_SQL}
+_PARTS = (search_queries, relational_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
