@@ -27,6 +27,7 @@ other; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,29 +45,38 @@ _NAMES = Names()
 _U = np.uint64
 
 
-def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct prints of the shingles of a text."""
-    names = _NAMES.of((text or b"").lower().split())  # bytes.lower touches A-Z alone
-    if len(names) >= size:
-        return np.unique(window_prints(names, size))
-    return window_prints(names, len(names)) ^ _U(len(names)) if len(names) else np.zeros(0, _U)
+def shingle_sets(texts: list[bytes | None], size: int = SIZE) -> list[np.ndarray]:
+    """Sorted distinct prints of the shingles of each text."""
+    words = [(t or b"").lower().split() for t in texts]  # bytes.lower touches A-Z alone
+    counts = np.array([len(w) for w in words], np.int64)
+    names = _NAMES.of(list(chain.from_iterable(words)))
+    prints = window_prints(names, size)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= size:
+            out.append(np.unique(prints[at : at + n - size + 1]))
+        else:
+            out.append(window_prints(names[at : at + n], n) ^ _U(n) if n else np.zeros(0, _U))
+        at += n
+    return out
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
     """Documents per slot, saturated at 65535: 8 MB whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.int64)
         held: list[np.ndarray] = []
         for batch in batches:
-            held += [shingles(t) for t in raw_texts(batch.column("text"))]
-            if held:
-                slot, n = np.unique(np.concatenate(held) & _U(SLOTS - 1), return_counts=True)
-                counts[slot.astype(np.int64)] += n.astype(np.uint32)
+            held += shingle_sets(raw_texts(batch.column("text")))
+            if sum(map(len, held)) > 1_000_000:
+                counts += np.bincount((np.concatenate(held) & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
                 held = []
+        if held:
+            counts += np.bincount((np.concatenate(held) & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         some = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(SLOTS // BLOCK)]
         some = [(i, np.minimum(c, 65535).astype(np.uint16).tobytes()) for i, c in some if c.any()]
-        part = TaskContext.get().partitionId() % 64
+        part = TaskContext.get().partitionId() // 256  # sums by parts, then over parts
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([c for _, c in some], pa.binary())], names=["block", "part", "counts"])
 
     def add(pdf):
@@ -104,8 +114,7 @@ def signatures(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for text in raw_texts(batch.column("text")):
-                found = shingles(text)
+            for found in shingle_sets(raw_texts(batch.column("text"))):
                 n = len(found)
                 if not n:
                     rows.append((0, None, None, None))
@@ -174,38 +183,38 @@ def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shingle", "cls", "n", "pivot"])
 
 
-def arrays_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, found): the sorted shingle array of each wanted class, from its first document."""
-    joined = docs.select("key", "text").join(wanted, "key").select("cls", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t).tobytes() for t in raw_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], names=["cls", "found"])
-
-    return in_batches(joined, run, "cls long, found binary").dropDuplicates(["cls"])
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the wanted documents. Where few are wanted, Spark's runtime filter (a Bloom
+    filter of fixed size) drops other texts before the shuffle."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "256MB")
+    return docs.select("key", "text").join(wanted.filter("n > 0").select("key"), "key")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link. ``classes`` names a document (key) of each."""
+    a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("key").alias("ka"))
+    b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("key").alias("kb"))
     differ = sum((F.bit_count(F.get("ba", i).bitwiseXOR(F.get("bb", i))) for i in range(WORDS)), F.lit(0))
     overlap = F.floor((F.col("na") + F.col("nb") - differ) / 2)  # at most
-    maybe = pairs.select("a", "b").join(a, "a").join(b, "b").filter((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    both = maybe.join(arrays.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a").join(arrays.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
+    maybe = pairs.select("a", "b").join(a, "a").join(b, "b").filter((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb")))
+    maybe = settle(maybe.select("a", "b", "ka", "kb", "na"), "maybe")
+    wanted = maybe.select(F.col("ka").alias("key"), F.col("na").alias("n")).unionByName(maybe.select(F.col("kb").alias("key"), F.col("na").alias("n")))
+    wanted = settle(wanted.groupBy("key").agg(F.max("n").alias("n")), "wanted")
+    texts = settle(texts_of(docs, wanted).dropDuplicates(["key"]), "texts")
+    both = maybe.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist()):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            for x, y in zip(shingle_sets(raw_texts(batch.column("ta"))), shingle_sets(raw_texts(batch.column("tb")))):
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return in_batches(both.select("a", "b", "fa", "fb"), run, "a long, b long")
+    return in_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def _fits(n: str, m: str, percent: int):
@@ -221,11 +230,9 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the first document of each class that shares anything
     firsts = sets.filter("bits IS NOT NULL").join(shared, "cls").groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     firsts = settle(firsts, "classes")
-    classes = firsts.select("cls", "n", "bits")
-    arrays = settle(arrays_of(keyed, firsts.select("key", "cls")), "arrays")
 
     stars = tile.filter("pivot IS NOT NULL").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    links = settle(verified(stars, classes, arrays, percent), "links")
+    links = settle(verified(stars, firsts, keyed, percent), "links")
     comp = components(links)
     part = settle(shared.join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")), "components")
 
@@ -236,12 +243,12 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     weight = placed.groupBy("shingle", "comp").agg(F.count("*").alias("w"))
     major = weight.groupBy("shingle").agg(F.max(F.struct("w", "comp"))["comp"].alias("major"))
     minor = settle(placed.join(major, "shingle").filter("comp != major"), "minor")
-    members = part.join(classes.select("cls", "n"), "cls").select(F.col("cls").alias("other"), F.col("n").alias("m"), F.col("comp").alias("major"))
+    members = part.join(firsts.select("cls", "n"), "cls").select(F.col("cls").alias("other"), F.col("n").alias("m"), F.col("comp").alias("major"))
     outward = minor.select("cls", "n", "major").distinct().join(members, "major").filter(_fits("n", "m", percent)).select("cls", "other")
     side = minor.select("shingle", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
     across = minor.join(side, "shingle").filter((F.col("comp") < F.col("comp2")) & _fits("n", "m", percent)).select("cls", "other")
     rest = outward.unionByName(across).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-    more = settle(verified(rest, classes, arrays, percent), "links")
+    more = settle(verified(rest, firsts, keyed, percent), "links")
     lifted = more.join(part.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(part.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
     merged = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     part = part.join(merged, part["comp"] == merged["node"], "left").select("cls", F.coalesce(merged["comp"], part["comp"]).alias("comp"))
