@@ -65,11 +65,15 @@ def exclusive_quartiles(df: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.max("n").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *aggs)
 
 
+def _gram(words: Column, n: int):
+    return lambda i: F.array_join(F.slice(words, i + 1, n), " ")
+
+
 def ngrams(words: Column, longest: int = 3) -> Column:
     """All 1..longest-grams of a word array, joined by spaces."""
     parts = []
     for n in range(1, longest + 1):
-        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " "))
+        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), _gram(words, n))
         parts.append(F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
