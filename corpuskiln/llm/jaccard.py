@@ -8,13 +8,14 @@
    prefix of its ordered set.  Two sets that link share a prefix shingle.
    Equal sets are one class.
 3. Prefix shingles of two or more classes form tiles.  In a tile classes are
-   taken in an order drawn for that tile; the first of each size band is a
-   pivot, and a later class of compatible size is paired with it.  That is a
+   taken in one of ``DRAWS`` hash orders; the first of each size band is a pivot, and a later class of compatible size is paired with it.  That is a
    pair per row, never all pairs of a tile.  The pairs are verified and joined
    to components.
 4. What remains is completed exactly: only classes of a tile that are still in
    different components are paired, so no link between components is lost, and
-   links inside one aren't needed.
+   links inside one aren't needed.  A tile's largest component meets the others
+   in a join by component; the others meet each other in blocks of ``SIDE`` by
+   ``SIDE`` classes, where bitmaps reject almost all pairs before they are rows.
 5. Verification: the bit count of two xor-ed parity bitmaps bounds the overlap
    from above; pairs that survive get an exact intersection of sorted arrays.
 
@@ -41,6 +42,8 @@ from corpuskiln.llm.components import components
 SIZE, PERCENT = 5, 80
 SLOTS, BLOCK = 1 << 22, 1 << 14
 WORDS = 8  # of 64 bits in a bitmap
+#: Orders in which tiles draw pivots, and rows of one side of a comparison block.
+DRAWS, SIDE = 12, 256
 _NAMES = Names()
 _U = np.uint64
 
@@ -140,7 +143,7 @@ TILES = "shingle long, cls long, n long, pivot long"
 def tiles(signed_docs: DataFrame, percent: int) -> DataFrame:
     """Rows of prefix shingles that two classes share; ``pivot`` is the class each is compared with first."""
     rows = signed_docs.select("cls", "n", F.explode("prefix").alias("shingle"))
-    sorted_rows = rows.repartition(max(8, spread(signed_docs)), "shingle").sortWithinPartitions("shingle", F.xxhash64("cls", "shingle"))
+    sorted_rows = rows.repartition(max(8, spread(signed_docs)), "shingle").sortWithinPartitions("shingle", F.xxhash64("cls", F.pmod("shingle", F.lit(DRAWS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, pivots, out = None, None, [], []
@@ -217,6 +220,53 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return in_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
+def block_pairs(minor: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(cls, other): classes of a tile in different components whose bitmaps allow a link.
+
+    A tile of w rows is cut into w / SIDE blocks by class hash; each pair of
+    blocks is a group of its own, so a hot tile is many small groups."""
+    wide = minor.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(float(SIDE))).cast("long").alias("blocks"), F.count("*").alias("w")).filter("w > 1")
+    bits = classes.select("cls", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS)])
+    rows = minor.join(wide, "shingle").join(bits, "cls").withColumn("i", F.pmod(F.xxhash64("cls", "shingle"), "blocks"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    dealt = rows.repartition(max(8, spread(minor)), "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "i")
+    names = ["shingle", "lo", "hi", "i", "cls", "n", "comp", *[f"b{i}" for i in range(WORDS)]]
+
+    def compare(t: np.ndarray) -> np.ndarray:
+        """Pairs of rows of one group; within two different blocks only across them."""
+        left = t[t[:, 3] == t[0, 1]]
+        right = left if t[0, 1] == t[0, 2] else t[t[:, 3] == t[0, 2]]
+        if not len(left) or not len(right):
+            return np.zeros((0, 2), np.int64)
+        differ = np.zeros((len(left), len(right)), np.int64)
+        for k in range(7, 7 + WORDS):
+            differ += np.bitwise_count((left[:, None, k] ^ right[None, :, k]).view(np.uint64))
+        total = left[:, None, 5] + right[None, :, 5]
+        may = ((100 + percent) * ((total - differ) // 2) >= percent * total) & (left[:, None, 6] != right[None, :, 6])
+        x, y = np.nonzero(may)
+        return np.stack([left[x, 4], right[y, 4]], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((0, len(names)), np.int64)
+        for batch in batches:
+            t = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in names], 1)])
+            cut = np.flatnonzero((t[1:, :3] != t[:-1, :3]).any(1)) + 1
+            if len(cut):
+                found = [compare(g) for g in np.split(t[: cut[-1]], cut[:-1])]
+                yield _pair_batch(np.concatenate(found))
+                t = t[cut[-1] :]
+            rest = t
+        if len(rest):
+            yield _pair_batch(compare(rest))
+
+    return in_batches(dealt.select(*names), run, "cls long, other long").distinct()
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cls", "other"])
+
+
 def _fits(n: str, m: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
@@ -245,8 +295,7 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     minor = settle(placed.join(major, "shingle").filter("comp != major"), "minor")
     members = part.join(firsts.select("cls", "n"), "cls").select(F.col("cls").alias("other"), F.col("n").alias("m"), F.col("comp").alias("major"))
     outward = minor.select("cls", "n", "major").distinct().join(members, "major").filter(_fits("n", "m", percent)).select("cls", "other")
-    side = minor.select("shingle", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    across = minor.join(side, "shingle").filter((F.col("comp") < F.col("comp2")) & _fits("n", "m", percent)).select("cls", "other")
+    across = block_pairs(minor.select("shingle", "cls", "n", "comp"), firsts, percent)
     rest = outward.unionByName(across).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
     more = settle(verified(rest, firsts, keyed, percent), "links")
     lifted = more.join(part.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(part.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
