@@ -75,6 +75,7 @@ class Machine:
     def __init__(self):
         self.bias, self.w = 0.0, np.zeros(DIM, np.float32)
         self.v = np.zeros((DIM, RANK), np.float32)
+        self.held = np.zeros(DIM, bool)  # terms that take part
 
     def raw(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores before the sigmoid of documents laid end to end; their factor sums; 1/n."""
@@ -93,9 +94,9 @@ class Machine:
         self.v = (rng.standard_normal((DIM, RANK)) * 0.03).astype(np.float32)
         base = float(np.clip(labels.mean(), 0.01, 0.99))
         self.bias = float(np.log(base / (1 - base)))
-        held = associated(docs, labels)
-        docs = [d[held[d]] for d in docs]
-        self.v[~held] = 0
+        self.held = associated(docs, labels)
+        docs = [d[self.held[d]] for d in docs]
+        self.v[~self.held] = 0
         weight = np.where(labels > 0, np.sqrt((1 - base) / base), 1.0)
         gw, gv = np.full(DIM, 1e-1, np.float32), np.full((DIM, RANK), 1e-1, np.float32)
         for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(docs)))):
@@ -119,6 +120,7 @@ class Machine:
                 self.v[own] -= 0.3 * rate * v_grad / np.sqrt(gv[own])
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
+        docs = [d[self.held[d]] for d in docs]
         sizes = np.array([len(d) for d in docs], np.int64)
         ids = np.concatenate(docs) if docs else np.zeros(0, np.int32)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if docs else sizes
