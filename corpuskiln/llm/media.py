@@ -7,8 +7,9 @@ table), one checksummed MPEG-1 Layer III mono frame for each 192 payload bytes
 sizes vary and seek offsets are not a multiplication.
 
 ``decode`` knows nothing of ``encode``: it reads tags, finds frame headers by
-resynchronising (a header counts only if the next one stands where it says, or
-the stream ends there), parses the table, verifies each frame's CRC-16 and
+resynchronising (a header counts if the next one stands where it says or the
+stream ends there; failing that, if the frame before led to it and its checksum
+holds), parses the table, verifies each frame's CRC-16 and
 returns payload, exact duration and the byte offset of each frame.
 
 Defined cases: null and empty texts are one unit of spaces; equal texts give
@@ -136,26 +137,28 @@ def decode(data: bytes, unit: int = UNIT) -> Audio:
         end -= 128
         out.tags["v1"] = data[end + 3 : end + 33].rstrip(b"\0").decode("latin-1")
     sums: dict[bytes, int] = {}
-    payload, checked = [], False
+    payload, led = [], False
     while at < end:
         size = frame_size(data[at : at + 4])
         following = at + size
-        if not size or following > end or not (checked or following == end or frame_size(data[following : following + 4])):
-            nxt = data.find(b"\xff", at + 1, end)  # resynchronise
-            nxt = nxt if nxt >= 0 else end
-            out.skipped += nxt - at
-            at, checked = nxt, False
-            continue
-        checked = following == end or frame_size(data[following : following + 4]) > 0
-        protected = not data[at + 1] & 1
-        side = SIDE if data[at + 3] >> 6 == 3 else 32
-        body = at + 4 + 2 * protected + side
+        leads = bool(size) and (following == end or following < end and frame_size(data[following : following + 4]) > 0)
+        protected = not data[at + 1] & 1 if size else False
+        body = at + 4 + 2 * protected + (SIDE if size and data[at + 3] >> 6 == 3 else 32)
+        holds = False
         if protected:
             covered = data[at + 2 : at + 4] + data[at + 6 : body]
             want = sums.get(covered)
             if want is None:
                 want = sums[covered] = crc16(covered)
-            out.bad_checksums += want != (data[at + 4] << 8 | data[at + 5])
+            holds = want == (data[at + 4] << 8 | data[at + 5])
+        if not leads and not (led and holds and following <= end):
+            nxt = data.find(b"\xff", at + 1, end)  # resynchronise
+            nxt = nxt if nxt >= 0 else end
+            out.skipped += nxt - at
+            at, led = nxt, False
+            continue
+        led = leads
+        out.bad_checksums += protected and not holds
         if not out.frames and not out.toc and data[body : body + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
             if flags & 1:
