@@ -148,3 +148,37 @@ def scan_plain(text: str | None, index: list[tuple[str, int, int, float]]) -> di
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(load(spark, sf_dir, "documents")).drop("template_starts")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+OP5_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t AS (SELECT template, label, string_split(notice, ' ') AS nw, string_split(phrase, ' ') AS pw FROM (VALUES {_values((i, *row) for i, row in enumerate(TEMPLATES))}) AS v(template, label, notice, phrase)),
+slots AS (SELECT template, unnest(nw) AS w, generate_subscripts(nw, 1) - 1 AS place FROM t),
+held AS (SELECT w, count(*) AS c FROM (SELECT unnest(list_distinct(ws)) AS w FROM docs) WHERE w IN (SELECT w FROM slots) GROUP BY w),
+idf AS (SELECT s.w, ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (coalesce(any_value(c), 0) + 1)) + 1 AS idf FROM slots s LEFT JOIN held h ON s.w = h.w GROUP BY s.w),
+best AS (SELECT template, w, idf FROM (SELECT DISTINCT template, w FROM slots) JOIN idf USING (w) QUALIFY row_number() OVER (PARTITION BY template ORDER BY idf DESC, w) <= {RARE}),
+entry AS (SELECT template, w, place, idf / sum(idf) OVER (PARTITION BY template) AS share FROM slots JOIN best USING (template, w)),
+ats AS (SELECT template, label, pw, list_filter(generate_series(1, len(nw)), lambda i: list_slice(nw, i, i + len(pw) - 1) = pw)[1] - 1 AS off FROM t),
+found AS (
+  SELECT k, template, label, unnest(list_filter(generate_series(1, len(ws) - len(pw) + 1), lambda i: list_slice(ws, i, i + len(pw) - 1) = pw)) - 1 - off AS start
+  FROM docs, ats WHERE list_contains(ws, pw[len(pw)]) AND len(ws) >= len(pw)),
+voted AS (
+  SELECT k, label, round(sum(share), 9) AS share FROM found JOIN docs USING (k) JOIN entry USING (template)
+  WHERE start + place >= 0 AND ws[start + place + 1] = w GROUP BY k, template, label, start HAVING round(sum(share), 9) >= {SHARE}),
+more AS (SELECT k, list(DISTINCT label) AS labels, max(share) AS share FROM voted GROUP BY k),
+b AS (SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {_values(BASE)}) AS v(phrase, label)),
+base AS (
+  SELECT k, label, unnest(list_filter(generate_series(1, len(ws) - len(pw) + 1), lambda i: list_slice(ws, i, i + len(pw) - 1) = pw)) - 1 AS i
+  FROM docs, b WHERE list_contains(ws, pw[len(pw)]) AND len(ws) >= len(pw)),
+based AS (SELECT k, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labels FROM base GROUP BY k)
+SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(based.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE least(1.0, coalesce(more.share, 0.0)) END::DOUBLE AS score
+FROM docs LEFT JOIN based USING (k) LEFT JOIN more USING (k)
+"""

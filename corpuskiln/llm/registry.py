@@ -14,4 +14,10 @@ QUERIES = {
     "op9_tiling": tiling.op9_tiling,
     "op10_media": media.op10_media,
 }
-ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op2_jaccard": jaccard.OP2_SQL, "op3_linededup": linededup.OP3_SQL, "op4_sharding": sharding.OP4_SQL}
+ORACLE_SQL = {
+    "op1_substrings": substrings.OP1_SQL,
+    "op2_jaccard": jaccard.OP2_SQL,
+    "op3_linededup": linededup.OP3_SQL,
+    "op4_sharding": sharding.OP4_SQL,
+    "op5_licenses": licenses.OP5_SQL,
+}
