@@ -72,4 +72,4 @@ def variants(queries: DataFrame, most: int = 3, templates: tuple[str, ...] = ("w
     """One row per variant of each query: the original first, templates next, no repeats."""
     made = F.array_distinct(F.concat(F.array("query"), *[F.array(F.format_string(t, F.lower(F.trim("query")))) for t in templates]))
     some = F.slice(F.filter(made, lambda v: F.length(v) > 8), 1, most)
-    return queries.select("query_id", F.posexplode(some).alias("variant", "query"))
+    return queries.select("query_id", F.posexplode(some).alias("variant", "query")).withColumn("variant", F.col("variant").cast("long"))

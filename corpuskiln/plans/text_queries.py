@@ -194,7 +194,10 @@ def rule_mining_lift(spark, sf_dir):
     return M.mined_phrases(rows, "ws", F.col("toxic"), longest=2)
 
 
-@register()
+@register("""
+WITH q AS (SELECT conv_id || '-' || turn AS query_id, text AS query, lower(trim(text)) AS low FROM conversations WHERE role = 'user'),
+v AS (SELECT query_id, list_slice(list_filter([query, 'what is ' || low, 'details about ' || low], lambda x: length(x) > 8), 1, 3) AS vs FROM q)
+SELECT query_id, generate_subscripts(vs, 1) - 1 AS variant, unnest(vs) AS query FROM v""")
 def expand_variants(spark, sf_dir):
     """Query variants of the offline provider: at most three, the original first."""
     from corpuskiln.operators.providers import variants
@@ -202,7 +205,9 @@ def expand_variants(spark, sf_dir):
     return variants(load(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query")))
 
 
-@register()
+@register(r"""
+WITH q AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(text, '\bpls\b', 'please', 'gi'), '\basap\b', 'as soon as possible', 'gi') AS r FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN length(text) BETWEEN 8 AND 400 AND length(r) <= greatest(4 * length(text), 300) AND NOT contains(r, chr(10) || chr(10)) THEN r ELSE text END AS query FROM q""")
 def provider_rewrite(spark, sf_dir):
     from corpuskiln.operators.providers import rewrite
 
