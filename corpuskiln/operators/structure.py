@@ -94,35 +94,40 @@ def articles_of(lines: DataFrame, p: Patterns = Patterns()) -> DataFrame:
 
 
 def clauses_of(lines: DataFrame, p: Patterns = Patterns()) -> DataFrame:
-    """Clauses and points as rows: (document_id, article_ord, clause_number, kind, content)."""
-    body = lines.filter("is_body")
-    clause = body.filter("clause_ord > 0").groupBy("document_id", "article_ord", "clause_ord").agg(
-        F.concat(F.lit("Khoản "), F.max(F.when(F.col("is_clause"), F.regexp_extract("line", p.clause, 1)))).alias("clause_number"),
-        _joined(F.lit(True), F.when(F.col("is_clause"), F.regexp_extract("line", p.clause, 2)).otherwise(F.col("line"))).alias("content"),
-    )
-    point = body.filter("point_ord > 0").groupBy("document_id", "article_ord", "clause_ord", "point_ord").agg(
-        F.concat(F.lit("Điểm "), F.max(F.when(F.col("is_point"), F.regexp_extract("line", p.point, 1)))).alias("clause_number"),
-        _joined(F.lit(True), F.when(F.col("is_point"), F.regexp_extract("line", p.point, 2)).otherwise(F.col("line"))).alias("content"),
-    )
-    cols = ["document_id", "article_ord", "clause_ord", "clause_number", "kind", "content"]
-    return clause.withColumn("kind", F.lit("clause")).select(cols).unionByName(point.withColumn("kind", F.lit("point")).select(cols))
+    """Clauses and points as rows: (document_id, article_ord, clause_ord, clause_number, kind, content).
+    A line under a point belongs to the point and to its clause, so it is dealt to both, in one pass."""
+    none = F.lit(0).cast("long")
+
+    def member(kind: str, word: str, point: Column, heads: Column, pattern: str) -> Column:
+        number = F.when(heads, F.concat(F.lit(word), F.regexp_extract("line", pattern, 1)))
+        text = F.when(heads, F.regexp_extract("line", pattern, 2)).otherwise(F.col("line"))
+        return F.struct(F.lit(kind).alias("kind"), point.alias("point"), number.alias("number"), text.alias("text"))
+
+    clause = F.when(F.col("clause_ord") > 0, member("clause", "Khoản ", none, F.col("is_clause"), p.clause))
+    point = F.when(F.col("point_ord") > 0, member("point", "Điểm ", F.col("point_ord"), F.col("is_point"), p.point))
+    dealt = lines.filter("is_body").select("document_id", "article_ord", "clause_ord", "line_no", F.explode(F.array_compact(F.array(clause, point))).alias("m"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "m.text"))), lambda x: x["text"]), "\n")
+    grouped = dealt.groupBy("document_id", "article_ord", "clause_ord", F.col("m.point").alias("point"), F.col("m.kind").alias("kind"))
+    return grouped.agg(F.max("m.number").alias("clause_number"), joined.alias("content")).select("document_id", "article_ord", "clause_ord", "clause_number", "kind", "content")
 
 
 def chunks_of(articles: DataFrame, clauses: DataFrame, titles: DataFrame) -> DataFrame:
     """Three tiers: whole articles, their clauses (points only where there is no clause), and
-    512-word windows of whatever is longer."""
+    512-word windows of whatever is longer, right behind it."""
     t = titles.select("document_id", F.col("title").alias("document_title"))
     a = articles.join(t, "document_id", "left")
     head = F.concat(F.col("article_number"), F.when(F.col("title") != "", F.concat(F.lit(". "), F.col("title"))).otherwise(""))
     whole = a.select("document_id", "article_ord", F.lit(None).cast("string").alias("clause_number"), F.lit("article").alias("chunk_type"), F.concat_ws("\n", F.nullif("document_title", F.lit("")), head, F.nullif("content", F.lit(""))).alias("text"))
-    has = clauses.filter("kind = 'clause'").select("document_id", "article_ord").distinct()
-    fine = clauses.filter("kind = 'clause'").unionByName(clauses.filter("kind = 'point'").join(has, ["document_id", "article_ord"], "left_anti"))
+    has = F.max(F.col("kind") == "clause").over(Window.partitionBy("document_id", "article_ord"))
+    fine = clauses.withColumn("_has", has).filter("kind = 'clause' OR NOT _has").drop("_has")
     small = fine.join(a.select("document_id", "article_ord", "article_number", "document_title"), ["document_id", "article_ord"])
     small = small.select("document_id", "article_ord", "clause_number", F.lit("clause").alias("chunk_type"), F.trim(F.concat_ws("\n", F.nullif("document_title", F.lit("")), "article_number", "clause_number", "content")).alias("text"))
-    every = whole.unionByName(small)
-    cut = C.token_windows(every.filter(F.size(C.words_of("text")) > C.SIZE))
-    sub = cut.select("document_id", "article_ord", F.concat_ws(".sub.", F.coalesce("clause_number", F.lit("1")), F.col("chunk") + 1).alias("clause_number"), F.lit("token_sub").alias("chunk_type"), F.array_join("words", " ").alias("text"))
-    return every.unionByName(sub)
+    every = whole.unionByName(small).withColumn("_w", C.words_of("text"))
+    last = F.ceil((F.size("_w") - C.SIZE) / F.lit(float(C.STEP))).cast("int")
+    part = lambda i: F.struct(F.concat_ws(".sub.", F.coalesce("clause_number", F.lit("1")), i + 1).alias("clause_number"), F.lit("token_sub").alias("chunk_type"), F.array_join(F.slice("_w", i * C.STEP + 1, C.SIZE), " ").alias("text"))
+    own = F.array(F.struct("clause_number", "chunk_type", "text"))
+    parts = F.when(F.size("_w") > C.SIZE, F.concat(own, F.transform(F.sequence(F.lit(0), last), part))).otherwise(own)
+    return every.select("document_id", "article_ord", F.explode(parts).alias("c")).select("document_id", "article_ord", "c.*")
 
 
 def rejected(docs: DataFrame, articles: DataFrame) -> DataFrame:
