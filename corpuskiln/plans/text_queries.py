@@ -95,7 +95,7 @@ RULES = [
 _RULE = "CASE WHEN regexp_matches(text, 'licen[cs]e|[0-9]{4}', 'i') THEN 'lookup' WHEN regexp_matches(text, '\\bwhy\\b|\\bhow\\b', 'i') THEN 'explain' WHEN contains(text, '?') THEN 'question' WHEN regexp_matches(text, '\\bthe\\b|\\band\\b', 'i') THEN 'general' END"
 
 
-@register(f"SELECT conv_id, turn, label, CASE label WHEN 'lookup' THEN 0.98 WHEN 'explain' THEN 0.91 WHEN 'question' THEN 0.80 WHEN 'general' THEN 0.55 END AS confidence FROM (SELECT conv_id, turn, {_RULE} AS label FROM conversations)")
+@register(f"SELECT conv_id, turn, label, CASE label WHEN 'lookup' THEN 0.98 WHEN 'explain' THEN 0.91 WHEN 'question' THEN 0.80 WHEN 'general' THEN 0.55 END::DOUBLE AS confidence FROM (SELECT conv_id, turn, {_RULE} AS label FROM conversations)")
 def rule_first_match(spark, sf_dir):
     rows = load(spark, sf_dir, "conversations").withColumn("m", U.first_match(F.col("text"), RULES, "(?i)"))
     return rows.select("conv_id", "turn", "m.label", "m.confidence")
@@ -119,7 +119,7 @@ VOCABULARY = {"licensing": ["license", "copyright", "version"], "abuse": ["idiot
 
 
 def _kw_sql(words):
-    return f"(SELECT CASE WHEN n > 0 THEN round(least(0.5 + 0.15 * n, 0.9), 6) END FROM (SELECT len(list_filter({words}, lambda w: contains(lower(text), w))) AS n))"
+    return f"(SELECT CASE WHEN n > 0 THEN round(least(0.5 + 0.15 * n, 0.9), 6)::DOUBLE END FROM (SELECT len(list_filter({words}, lambda w: contains(lower(text), w))) AS n))"
 
 
 _LABELS = ", ".join("{'by': -round(" + _kw_sql(w) + f", 3), 'label': '{k}'}}" for k, w in VOCABULARY.items())
