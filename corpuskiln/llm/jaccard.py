@@ -12,12 +12,16 @@
    pair per row, never all pairs of a tile.  The pairs are verified and joined
    to components.
 4. What remains is completed exactly: only classes of a tile that are still in
-   different components are paired, so no link between components is lost, and
+   different components are compared, so no link between components is lost, and
    links inside one aren't needed.  A tile's largest component meets the others
-   in a join by component; the others meet each other in blocks of ``SIDE`` by
-   ``SIDE`` classes, where bitmaps reject almost all pairs before they are rows.
+   component by component, the others meet each other tile by tile, both in
+   blocks of ``SIDE`` by ``SIDE`` classes, where bitmaps reject almost all pairs
+   before they are rows.  A first turn takes each class's nearest partner of a
+   block, which joins most; a second one takes every pair that is still open.
 5. Verification: the bit count of two xor-ed parity bitmaps bounds the overlap
    from above; pairs that survive get an exact intersection of sorted arrays.
+   A bitmap has at least two bits a member (up to ``MOST_BITS``), so the bound
+   is sharp for long texts too; of two widths the wider one is folded.
 
 Defined cases: null and empty texts have an empty set, link with nothing and
 are their own component; texts of fewer than five words are one shingle; the
@@ -41,7 +45,7 @@ from corpuskiln.llm.components import components
 
 SIZE, PERCENT = 5, 80
 SLOTS, BLOCK = 1 << 22, 1 << 14
-WORDS = 8  # of 64 bits in a bitmap
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 14
 #: Orders in which tiles draw pivots, and rows of one side of a comparison block.
 DRAWS, SIDE = 12, 256
 _NAMES = Names()
@@ -96,17 +100,31 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return table
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
+def bitmap(found: np.ndarray) -> bytes:
     """Parity bits: sets that differ in d members differ in at most d bits."""
-    odd = np.bincount((mix(found) >> _U(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    wide = max(LEAST_BITS, min(MOST_BITS, 1 << (2 * len(found) - 1).bit_length()))
+    odd = np.bincount((mix(found) >> _U(40)).astype(np.int64) & (wide - 1), minlength=wide) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(bits: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of one width as rows of ``words`` 64-bit words; a wider one's halves are xor-ed."""
+    t = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+    while t.shape[1] > words:
+        t = t[:, : t.shape[1] // 2] ^ t[:, t.shape[1] // 2 :]
+    return t
+
+
+def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m members whose bitmaps differ so often can be similar enough."""
+    return (100 + percent) * ((n + m - differ) // 2) >= percent * (n + m)
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-SIGNATURE = "key long, doc_id long, n long, cls long, bits array<long>, prefix array<long>"
+SIGNATURE = "key long, doc_id long, n long, cls long, bits binary, prefix array<long>"
 
 
 def signatures(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
@@ -132,7 +150,7 @@ def signatures(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
                 rows.append((n, cls, bitmap(found), signed(found[order[: prefix_size(n, percent)]])))
             n, cls, bits, prefix = list(zip(*rows)) or [()] * 4
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, longs), pa.array(prefix, longs)], names=["key", "doc_id", "n", "cls", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, longs)], names=["key", "doc_id", "n", "cls", "bits", "prefix"])
 
     return in_batches(docs.select("key", "doc_id", "text"), run, SIGNATURE)
 
@@ -195,14 +213,30 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("key", "text").join(wanted.filter("n > 0").select("key"), "key")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link. ``classes`` names a document (key) of each."""
+PAIRS = "a long, b long, ka long, kb long, na long"
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and bitmaps allow to link, with a document (key) of each."""
     a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("key").alias("ka"))
     b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("key").alias("kb"))
-    differ = sum((F.bit_count(F.get("ba", i).bitwiseXOR(F.get("bb", i))) for i in range(WORDS)), F.lit(0))
-    overlap = F.floor((F.col("na") + F.col("nb") - differ) / 2)  # at most
-    maybe = pairs.select("a", "b").join(a, "a").join(b, "b").filter((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb")))
-    maybe = settle(maybe.select("a", "b", "ka", "kb", "na"), "maybe")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("ba").to_pylist(), batch.column("bb").to_pylist()
+            width = np.minimum([len(v) for v in x], [len(v) for v in y]) // 8
+            differ = np.zeros(len(x), np.int64)
+            for i, (u, v, w) in enumerate(zip(x, y, width.tolist())):
+                differ[i] = np.bitwise_count(fold([u], w) ^ fold([v], w)).sum()
+            keep = pa.array(may_link(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), differ, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "ka", "kb", "na")], names=["a", "b", "ka", "kb", "na"])
+
+    return in_batches(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ka", "kb", "na", "nb", "ba", "bb"), run, PAIRS)
+
+
+def verified(maybe: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link. ``maybe`` names a document of each (ka, kb) and a size."""
+    maybe = settle(maybe, "maybe")
     wanted = maybe.select(F.col("ka").alias("key"), F.col("na").alias("n")).unionByName(maybe.select(F.col("kb").alias("key"), F.col("na").alias("n")))
     wanted = settle(wanted.groupBy("key").agg(F.max("n").alias("n")), "wanted")
     texts = settle(texts_of(docs, wanted).dropDuplicates(["key"]), "texts")
@@ -220,55 +254,94 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return in_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
-def block_pairs(minor: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(cls, other): classes of a tile in different components whose bitmaps allow a link.
-
-    A tile of w rows is cut into w / SIDE blocks by class hash; each pair of
-    blocks is a group of its own, so a hot tile is many small groups."""
-    wide = minor.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(float(SIDE))).cast("long").alias("blocks"), F.count("*").alias("w")).filter("w > 1")
-    bits = classes.select("cls", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS)])
-    rows = minor.join(wide, "shingle").join(bits, "cls").withColumn("i", F.pmod(F.xxhash64("cls", "shingle"), "blocks"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
-    dealt = rows.repartition(max(8, spread(minor)), "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "i")
-    names = ["shingle", "lo", "hi", "i", "cls", "n", "comp", *[f"b{i}" for i in range(WORDS)]]
-
-    def compare(t: np.ndarray) -> np.ndarray:
-        """Pairs of rows of one group; within two different blocks only across them."""
-        left = t[t[:, 3] == t[0, 1]]
-        right = left if t[0, 1] == t[0, 2] else t[t[:, 3] == t[0, 2]]
-        if not len(left) or not len(right):
+def distances(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes], percent: int) -> np.ndarray:
+    """Differing bits of each row of one side and each of the other; -1 where they can't link."""
+    out = np.full((len(n), len(m)), -1)
+    here, there = np.array([len(x) for x in bits]), np.array([len(x) for x in others])
+    for u in np.unique(here).tolist():
+        for v in np.unique(there).tolist():
+            i, j = np.flatnonzero(here == u), np.flatnonzero(there == v)
+            x, y = n[i][:, None], m[j][None, :]
+            fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            if not fits.any():
+                continue
+            words = min(u, v) // 8
+            p, q = fold([bits[k] for k in i], words), fold([others[k] for k in j], words)
+            differ = np.zeros(fits.shape, np.int64)
+            for k in range(words):
+                differ += np.bitwise_count(p[:, None, k] ^ q[None, :, k])
+            out[np.ix_(i, j)] = np.where(fits & may_link(x, y, differ, percent), differ, -1)
+    return out
+
+
+def block_pairs(left: DataFrame, right: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b): classes of one ``grp``, one from each side and of different components, that may link.
+
+    Each side of a group is cut into blocks by class hash; every pair of blocks
+    is a task's small matrix, so a hot group is many of them.  ``nearest``: only
+    the partner of a left class in the block whose bitmap is nearest."""
+    count = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(SIDE))).cast("long").alias(name))
+    blocks = settle(count(left, "ls").join(count(right, "rs"), "grp"), "blocks")
+    bits = classes.select("cls", "bits")
+    own = lambda size: F.pmod(F.xxhash64("cls", "grp"), F.col(size))
+    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1))
+    lefts = left.join(blocks, "grp").join(bits, "cls").select("grp", own("ls").alias("i"), every("rs").alias("j"), F.lit(0).alias("side"), "cls", "n", "comp", "bits")
+    rights = right.join(blocks, "grp").join(bits, "cls").select("grp", every("ls").alias("i"), own("rs").alias("j"), F.lit(1).alias("side"), "cls", "n", "comp", "bits")
+    dealt = lefts.unionByName(rights).repartition(max(8, spread(left)), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side")
+    names = ["grp", "i", "j", "side", "cls", "n", "comp"]
+
+    def compare(t: np.ndarray, bits: list[bytes]) -> np.ndarray:
+        at = int(np.searchsorted(t[:, 3], 1))
+        x, y = t[:at], t[at:]
+        if not len(x) or not len(y):
             return np.zeros((0, 2), np.int64)
-        differ = np.zeros((len(left), len(right)), np.int64)
-        for k in range(7, 7 + WORDS):
-            differ += np.bitwise_count((left[:, None, k] ^ right[None, :, k]).view(np.uint64))
-        total = left[:, None, 5] + right[None, :, 5]
-        may = ((100 + percent) * ((total - differ) // 2) >= percent * total) & (left[:, None, 6] != right[None, :, 6])
-        x, y = np.nonzero(may)
-        return np.stack([left[x, 4], right[y, 4]], 1)
+        found = distances(x[:, 5], bits[:at], y[:, 5], bits[at:], percent)
+        open_ = (found >= 0) & (x[:, 6][:, None] != y[:, 6][None, :])
+        if nearest:
+            i = np.flatnonzero(open_.any(1))
+            j = np.where(open_, found, 1 << 40).argmin(1)[i]
+        else:
+            i, j = np.nonzero(open_)
+        return np.stack([np.minimum(x[i, 4], y[j, 4]), np.maximum(x[i, 4], y[j, 4])], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, len(names)), np.int64)
+        rest, held = np.zeros((0, len(names)), np.int64), []
         for batch in batches:
             t = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in names], 1)])
+            held += batch.column("bits").to_pylist()
             cut = np.flatnonzero((t[1:, :3] != t[:-1, :3]).any(1)) + 1
             if len(cut):
-                found = [compare(g) for g in np.split(t[: cut[-1]], cut[:-1])]
-                yield _pair_batch(np.concatenate(found))
-                t = t[cut[-1] :]
+                ends = cut.tolist()
+                yield _pair_batch(np.concatenate([compare(t[b:e], held[b:e]) for b, e in zip([0, *ends], ends)]))
+                t, held = t[ends[-1] :], held[ends[-1] :]
             rest = t
         if len(rest):
-            yield _pair_batch(compare(rest))
+            yield _pair_batch(compare(rest, held))
 
-    return in_batches(dealt.select(*names), run, "cls long, other long").distinct()
+    return in_batches(dealt.select(*names, "bits"), run, "a long, b long").distinct()
 
 
 def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cls", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _fits(n: str, m: str, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
+def open_pairs(tile: DataFrame, part: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of classes that share a tile, stand in different components of ``part`` and may link, with a document of each."""
+    placed = tile.select("shingle", "cls", "n").join(part, "cls")
+    split = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("shingle")
+    placed = settle(placed.join(split, "shingle"), "split-tiles")
+    weight = placed.groupBy("shingle", "comp").agg(F.count("*").alias("w"))
+    major = weight.groupBy("shingle").agg(F.max(F.struct("w", "comp"))["comp"].alias("major"))
+    minor = settle(placed.join(major, "shingle").filter("comp != major"), "minor")
+    several = minor.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("shingle")
+    in_tile = minor.join(several, "shingle").select(F.col("shingle").alias("grp"), "cls", "n", "comp")
+    # groups of two kinds in one pass; should names of the two ever meet, pairs are compared in vain
+    of_comp = lambda c: F.xxhash64(F.lit("component"), c).alias("grp")
+    outward = minor.select(of_comp("major"), "cls", "n", "comp").distinct()
+    members = part.join(minor.select(F.col("major").alias("comp")).distinct(), "comp").join(classes.select("cls", "n"), "cls").select(of_comp("comp"), "cls", "n", "comp")
+    found = block_pairs(settle(in_tile.unionByName(outward), "left"), settle(in_tile.unionByName(members), "right"), classes, percent, nearest)
+    key = lambda x: classes.select(F.col("cls").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"))
+    return found.join(key("a"), "a").join(key("b").drop("nb"), "b").select("a", "b", "ka", "kb", "na")
 
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -282,25 +355,14 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = settle(firsts, "classes")
 
     stars = tile.filter("pivot IS NOT NULL").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    links = settle(verified(stars, firsts, keyed, percent), "links")
+    links = settle(verified(bounded(stars, firsts, percent), keyed, percent), "links")
     comp = components(links)
     part = settle(shared.join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")), "components")
-
-    # tiles whose classes are in different components, completed
-    placed = tile.select("shingle", "cls", "n").join(part, "cls")
-    split = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("shingle")
-    placed = settle(placed.join(split, "shingle"), "split-tiles")
-    weight = placed.groupBy("shingle", "comp").agg(F.count("*").alias("w"))
-    major = weight.groupBy("shingle").agg(F.max(F.struct("w", "comp"))["comp"].alias("major"))
-    minor = settle(placed.join(major, "shingle").filter("comp != major"), "minor")
-    members = part.join(firsts.select("cls", "n"), "cls").select(F.col("cls").alias("other"), F.col("n").alias("m"), F.col("comp").alias("major"))
-    outward = minor.select("cls", "n", "major").distinct().join(members, "major").filter(_fits("n", "m", percent)).select("cls", "other")
-    across = block_pairs(minor.select("shingle", "cls", "n", "comp"), firsts, percent)
-    rest = outward.unionByName(across).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-    more = settle(verified(rest, firsts, keyed, percent), "links")
-    lifted = more.join(part.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(part.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
-    merged = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    part = part.join(merged, part["comp"] == merged["node"], "left").select("cls", F.coalesce(merged["comp"], part["comp"]).alias("comp"))
+    for nearest in (True, False):  # tiles whose classes are in different components, completed
+        more = settle(verified(open_pairs(tile, part, firsts, percent, nearest), keyed, percent), "links")
+        lifted = more.join(part.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(part.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
+        merged = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        part = settle(part.join(merged, part["comp"] == merged["node"], "left").select("cls", F.coalesce(merged["comp"], part["comp"]).alias("comp")), "components")
 
     least = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = settle(least.join(part, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "named")

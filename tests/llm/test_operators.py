@@ -90,10 +90,23 @@ def test_bitmap_bounds_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(2))
-        x = np.bitwise_count((jaccard.bitmap(a) ^ jaccard.bitmap(b)).view(np.uint64)).sum()
+        words = min(len(jaccard.bitmap(a)), len(jaccard.bitmap(b))) // 8
+        x = np.bitwise_count(jaccard.fold([jaccard.bitmap(a)], words) ^ jaccard.fold([jaccard.bitmap(b)], words)).sum()
         assert x <= len(np.setxor1d(a, b))
 
 
+def test_distances_of_blocks():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**60, 1200).astype(np.uint64)
+    sets = [np.unique(rng.permutation(pool[:k])[: k - d]) for k in (40, 300, 1200) for d in (0, 3, 9)] + [pool[:1] for _ in range(2)]
+    n, bits = np.array([len(x) for x in sets]), [jaccard.bitmap(x) for x in sets]
+    got = jaccard.distances(n, bits, n, bits, 80)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
+                assert 0 <= got[i, j] <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.parametrize("limit", [linededup.BROADCAST_BYTES, 0])
 def test_line_dedup(docs, limit):
     got = linededup.dedup_lines(docs, keep_text=False, broadcast_bytes=limit).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
