@@ -7,8 +7,9 @@
 2. Each document becomes a signature row: set hash, size, parity bitmap and the
    prefix of its ordered set.  Two sets that link share a prefix shingle.
    Equal sets are one class.
-3. Prefix shingles of two or more classes form tiles.  In a tile classes are
-   taken in one of ``DRAWS`` hash orders; the first of each size band is a pivot, and a later class of compatible size is paired with it.  That is a
+3. Prefix shingles of two or more classes form tiles, which are cut by size bands:
+   rows without another one in their band or a neighbouring one drop out, as
+   nothing they could link with is there; tiles of the same classes are one.  In a tile classes are taken in one of ``DRAWS`` hash orders; the first of each size band is a pivot, and a later class of compatible size is paired with it.  That is a
    pair per row, never all pairs of a tile.  The pairs are verified and joined
    to components.
 4. What remains is completed exactly: only classes of a tile that are still in
@@ -31,6 +32,7 @@ other; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -48,6 +50,8 @@ SLOTS, BLOCK = 1 << 22, 1 << 14
 LEAST_BITS, MOST_BITS = 1 << 9, 1 << 14
 #: Orders in which tiles draw pivots, and rows of one side of a comparison block.
 DRAWS, SIDE = 12, 256
+#: Rows of a tile up to which it is one row, held in memory.
+TILE_ROWS = 4096
 _NAMES = Names()
 _U = np.uint64
 
@@ -155,53 +159,77 @@ def signatures(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
     return in_batches(docs.select("key", "doc_id", "text"), run, SIGNATURE)
 
 
-TILES = "shingle long, cls long, n long, pivot long"
+TILES = "tile long, members_print long, cls array<long>, n array<long>, pivot array<long>"
 
 
 def tiles(signed_docs: DataFrame, percent: int) -> DataFrame:
-    """Rows of prefix shingles that two classes share; ``pivot`` is the class each is compared with first."""
+    """(tile, cls, n, pivot): classes that share a prefix shingle; ``pivot`` is the class each is compared with first.
+
+    Similar texts share many shingles, so tiles of the same classes are one tile. A tile of more than
+    ``TILE_ROWS`` classes keeps its shingle as its name and comes in pieces."""
     rows = signed_docs.select("cls", "n", F.explode("prefix").alias("shingle"))
-    sorted_rows = rows.repartition(max(8, spread(signed_docs)), "shingle").sortWithinPartitions("shingle", F.xxhash64("cls", F.pmod("shingle", F.lit(DRAWS))))
+    most = TILE_ROWS
+    # classes that can link are in one band or in neighbouring ones
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
+    sorted_rows = rows.repartition(max(8, spread(signed_docs)), "shingle").sortWithinPartitions("shingle", band, F.xxhash64("cls", F.pmod("shingle", F.lit(DRAWS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, pivots, out = None, None, [], []
-        waiting = None  # the first row of a tile, until a second class comes
+        held, pieces, first, band = [], 0, 0, 0  # rows of the tile, pieces of it that are out, its bands
+
+        def close() -> None:
+            nonlocal held, pieces
+            if len(held) > 1 or held and pieces:
+                c, k, p = zip(*held)
+                members = int(np.bitwise_xor.reduce(mix(np.array(c, np.int64).view(_U))))
+                name = int(signed(mix(np.array([members + len(c) & 2**64 - 1], _U)))[0])
+                if pieces or len(held) >= most:
+                    pieces += 1
+                    piece = mix(np.array([now & 2**64 - 1], _U)) + _U((first << 32) + pieces)
+                    out.append((now, int(signed(mix(piece))[0]), c, k, p))
+                else:
+                    out.append((name, name, c, k, p))
+            held = []
+
         for batch in batches:
             shingle, cls, n = (batch.column(c).to_numpy() for c in ("shingle", "cls", "n"))
             if not len(shingle):
                 continue
-            start = np.r_[True, shingle[1:] != shingle[:-1]]
-            alone = start & np.r_[start[1:], False]
-            alone[0] = alone[0] and shingle[0] != now
+            bands = np.floor(np.log(n) / math.log(100 / percent) + 1e-9).astype(np.int64)
+            near_next = (shingle[1:] == shingle[:-1]) & (bands[1:] - bands[:-1] <= 1)
+            alone = ~(np.r_[False, near_next] | np.r_[near_next, False])
+            alone[[0, -1]] = False  # the batches around may hold neighbours
             for i in np.flatnonzero(~alone).tolist():
-                s, c, k = int(shingle[i]), int(cls[i]), int(n[i])
-                if s != now:
-                    now, last, pivots, waiting = s, c, [(c, k)], (s, c, k, None)
+                s, c, k, b = int(shingle[i]), int(cls[i]), int(n[i]), int(bands[i])
+                if s != now or b - band > 1:
+                    close()
+                    now, last, first, band, pivots, pieces = s, c, b, b, [(c, k)], 0
+                    held.append((c, k, None))
                     continue
+                band = b
                 if c == last:
                     continue
                 last = c
-                if waiting:
-                    out.append(waiting)
-                    waiting = None
                 near = next((p for p, m in pivots if 100 * min(k, m) >= percent * max(k, m)), None)
                 if near is None:
                     pivots.append((c, k))
-                out.append((s, c, k, near))
-            if alone[-1]:  # may go on in the next batch
-                now, last = int(shingle[-1]), int(cls[-1])
-                pivots, waiting = [(last, int(n[-1]))], (now, last, int(n[-1]), None)
-            if len(out) > 5000:
+                held.append((c, k, near))
+                if len(held) >= most:
+                    close()
+            if len(out) > 2000:
                 yield _tile_batch(out)
                 out = []
+        close()
         if out:
             yield _tile_batch(out)
 
-    return in_batches(sorted_rows.select("shingle", "cls", "n"), run, TILES)
+    found = in_batches(sorted_rows.select("shingle", "cls", "n"), run, TILES).dropDuplicates(["members_print"])
+    return found.select("tile", F.explode(F.arrays_zip("cls", "n", "pivot")).alias("m")).select("tile", "m.cls", "m.n", "m.pivot")
 
 
 def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shingle", "cls", "n", "pivot"])
+    tile, members, *lists = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(members, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["tile", "members_print", "cls", "n", "pivot"])
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -325,23 +353,24 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def open_pairs(tile: DataFrame, part: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of classes that share a tile, stand in different components of ``part`` and may link, with a document of each."""
-    placed = tile.select("shingle", "cls", "n").join(part, "cls")
-    split = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("shingle")
-    placed = settle(placed.join(split, "shingle"), "split-tiles")
-    weight = placed.groupBy("shingle", "comp").agg(F.count("*").alias("w"))
-    major = weight.groupBy("shingle").agg(F.max(F.struct("w", "comp"))["comp"].alias("major"))
-    minor = settle(placed.join(major, "shingle").filter("comp != major"), "minor")
-    several = minor.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("shingle")
-    in_tile = minor.join(several, "shingle").select(F.col("shingle").alias("grp"), "cls", "n", "comp")
+def open_pairs(tile: DataFrame, part: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes that share a tile, stand in different components of ``part`` and may link, with a
+    document of each; and the tiles that hold several components."""
+    placed = tile.select("tile", "cls", "n").join(part, "cls")
+    split = placed.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("tile")
+    placed = settle(placed.join(split, "tile"), "split-tiles")
+    weight = placed.groupBy("tile", "comp").agg(F.count("*").alias("w"))
+    major = weight.groupBy("tile").agg(F.max(F.struct("w", "comp"))["comp"].alias("major"))
+    minor = settle(placed.join(major, "tile").filter("comp != major"), "minor")
+    several = minor.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("tile")
+    in_tile = minor.join(several, "tile").select(F.col("tile").alias("grp"), "cls", "n", "comp")
     # groups of two kinds in one pass; should names of the two ever meet, pairs are compared in vain
     of_comp = lambda c: F.xxhash64(F.lit("component"), c).alias("grp")
     outward = minor.select(of_comp("major"), "cls", "n", "comp").distinct()
     members = part.join(minor.select(F.col("major").alias("comp")).distinct(), "comp").join(classes.select("cls", "n"), "cls").select(of_comp("comp"), "cls", "n", "comp")
     found = block_pairs(settle(in_tile.unionByName(outward), "left"), settle(in_tile.unionByName(members), "right"), classes, percent, nearest)
     key = lambda x: classes.select(F.col("cls").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"))
-    return found.join(key("a"), "a").join(key("b").drop("nb"), "b").select("a", "b", "ka", "kb", "na")
+    return found.join(key("a"), "a").join(key("b").drop("nb"), "b").select("a", "b", "ka", "kb", "na"), placed.drop("comp")
 
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -359,7 +388,8 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = components(links)
     part = settle(shared.join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")), "components")
     for nearest in (True, False):  # tiles whose classes are in different components, completed
-        more = settle(verified(open_pairs(tile, part, firsts, percent, nearest), keyed, percent), "links")
+        pairs, tile = open_pairs(tile, part, firsts, percent, nearest)
+        more = settle(verified(pairs, keyed, percent), "links")
         lifted = more.join(part.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(part.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
         merged = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         part = settle(part.join(merged, part["comp"] == merged["node"], "left").select("cls", F.coalesce(merged["comp"], part["comp"]).alias("comp")), "components")

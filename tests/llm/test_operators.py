@@ -73,7 +73,9 @@ def test_jaccard(docs):
     same(got, plain.components(corpus()))
 
 
-def test_jaccard_near_copy_cluster(spark):
+@pytest.mark.parametrize("held", [4096, 7])  # the second: tiles in pieces
+def test_jaccard_near_copy_cluster(spark, held, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", held)
     r = random.Random(1)
     base = [f"b{i}" for i in range(150)]
     rows = []
