@@ -47,6 +47,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 RARE, SHARE = 4, 0.6
+#: Words to each side of a hit among which its template's phrase stands.
+REACH = max(len(notice.split()) for _, notice, _ in TEMPLATES)
 
 
 def words(text: str = "text") -> Column:
@@ -84,11 +86,13 @@ def template_places(spoken: DataFrame, index: list[tuple[str, int, int, float]])
     postings = spoken.sparkSession.sql(f"SELECT word, collect_list(struct(template, place, share, at, phrase)) AS posting FROM VALUES {rows} AS v(word, template, place, share, at, phrase) GROUP BY word")
     rare = F.array(*[F.lit(w) for w in sorted({w for w, *_ in index})])
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda h: F.array_contains(rare, h["word"]))
-    hit = spoken.filter(F.arrays_overlap("words", rare)).select("key", "words", F.explode(hits).alias("hit"))
-    voted = hit.join(F.broadcast(postings), hit["hit"]["word"] == postings["word"]).select("key", "words", F.col("hit.i").alias("i"), F.explode("posting").alias("p"))
+    # a hit takes the words around it along, not the whole text
+    near = lambda h: F.struct(h["word"], h["i"], F.slice("words", F.greatest(h["i"] - REACH, F.lit(0)) + 1, 2 * REACH + 1).alias("near"))
+    hit = spoken.filter(F.arrays_overlap("words", rare)).select("key", F.explode(F.transform(hits, near)).alias("hit"))
+    voted = hit.join(F.broadcast(postings), hit["hit"]["word"] == postings["word"]).select("key", F.col("hit.i").alias("i"), F.col("hit.near").alias("near"), F.explode("posting").alias("p"))
     start = F.col("i") - F.col("p.place")
-    from_ = start + F.col("p.at") + 1
-    stands = (from_ >= 1) & (F.slice("words", F.greatest(from_, F.lit(1)), F.size("p.phrase")) == F.col("p.phrase"))
+    from_ = start + F.col("p.at") - F.greatest(F.col("i") - REACH, F.lit(0)) + 1
+    stands = (start + F.col("p.at") >= 0) & (F.slice("near", F.greatest(from_, F.lit(1)), F.size("p.phrase")) == F.col("p.phrase"))
     verified = voted.filter(stands).select("key", F.col("p.template").alias("template"), start.alias("start"), F.col("p.place").alias("place"), F.col("p.share").alias("share")).distinct()
     return verified.groupBy("key", "template", "start").agg(F.round(F.sum("share"), 9).alias("share")).filter(F.col("share") >= SHARE)
 
