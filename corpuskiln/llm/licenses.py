@@ -52,7 +52,29 @@ REACH = max(len(notice.split()) for _, notice, _ in TEMPLATES)
 
 
 def words(text: str = "text") -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    """Lower-cased words. ``lower`` is quicker than A-Z alone and does the same to ASCII words, but for
+    the two letters whose lower case has ASCII letters."""
+    raw = F.coalesce(F.col(text), F.lit(""))
+    odd = F.contains(raw, F.lit("\u212a")) | F.contains(raw, F.lit("\u0130"))
+    return F.regexp_extract_all(F.when(odd, lower_ascii(raw)).otherwise(F.lower(raw)), F.lit(WORD), F.lit(0))
+
+
+def may_hold(text: str = "text") -> Column:
+    """False only for texts that lack a word of every template's mandatory phrase."""
+
+    def whole(low: Column, phrase: str) -> Column:
+        out = F.lit(True)
+        for w in sorted(set(phrase.split()), key=lambda w: (-len(w), w)):
+            out = out & F.contains(low, F.lit(w))
+        return out
+
+    def some(low: Column) -> Column:
+        out = F.lit(False)
+        for phrase in sorted({p for _, _, p in TEMPLATES}):
+            out = out | whole(low, phrase)
+        return out
+
+    return F.exists(F.array(F.lower(F.coalesce(F.col(text), F.lit("")))), some)
 
 
 def _find(haystack: list[str], needle: list[str]) -> int:
@@ -102,7 +124,8 @@ def scan(docs: DataFrame) -> DataFrame:
     spoken = docs.select("doc_id", row_key().alias("key"), words().alias("words"))
     index = rare_index(*document_counts(spoken))
     label = F.element_at(F.array(*[F.lit(x) for x, _, _ in TEMPLATES]), F.col("template") + 1)
-    found = template_places(spoken, index).groupBy("key").agg(F.collect_set(label).alias("more"), F.max("share").alias("share"), F.sort_array(F.collect_set("start")).alias("template_starts"))
+    likely = docs.filter(may_hold()).select(row_key().alias("key"), words().alias("words"))
+    found = template_places(likely, index).groupBy("key").agg(F.collect_set(label).alias("more"), F.max("share").alias("share"), F.sort_array(F.collect_set("start")).alias("template_starts"))
 
     def stands(phrase: str, i: Column) -> Column:
         ws = phrase.split()
