@@ -8,6 +8,8 @@ the unigram distribution, so training only moves away from it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 HIDDEN, PER, SPAN = 16, 64, 16
@@ -26,6 +28,16 @@ def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(logits.sum(1))
 
 
+def _slopes(logits: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``weight`` times the gradient of -ln softmax(logits)[at], in place."""
+    if logits.max(initial=0) > 60:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (weight / logits.sum(1))[:, None]
+    logits[np.arange(len(logits)), at] -= weight
+    return logits
+
+
 class Gru:
     NAMES = ("x", "u", "cw", "cb", "iw", "ib")
 
@@ -149,20 +161,33 @@ class Trainer:
     def window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
         """One window (steps x sequences); ``live`` marks real targets. Returns the carried state."""
         g, steps, count = self.model, len(inputs), max(1, int(live.sum()))
-        kept, states = [], []
-        for t in range(steps):
-            before = h
-            h, z, r, n, hn = g.step(h, inputs[t])
-            kept.append((before, z, r, n, hn))
-            states.append(h)
-        flat, goal, real = np.concatenate(states), targets.ravel(), live.ravel()
+        two, wide = 2 * HIDDEN, inputs.shape[1]
+        x_zr, x_n, u_zr, u_n = g.tables()
+        in_zr, in_n = np.take(x_zr, inputs, axis=0), np.take(x_n, inputs, axis=0)
+        states = np.empty((steps + 1, wide, HIDDEN), _F)
+        states[0] = h
+        kept = []
+        for t in range(steps):  # as ``Gru.step``
+            h = states[t]
+            zr = h @ u_zr
+            zr += in_zr[t]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+            hn = h @ u_n
+            n = r * hn
+            n += in_n[t]
+            np.tanh(n, out=n)
+            np.subtract(h, n, out=states[t + 1])
+            states[t + 1] *= z
+            states[t + 1] += n
+            kept.append((zr, n, hn))
+        flat, goal, real = states[1:].reshape(-1, HIDDEN), targets.ravel(), live.ravel()
         grad = {k: np.zeros_like(getattr(g, k)) for k in ("u", "cw", "cb", "iw", "ib", "x")}
         cls = np.where(goal < g.n, goal // PER, g.classes)
-        logits = flat @ g.cw + g.cb
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), cls] -= 1
-        p *= (real / count)[:, None].astype(_F)
+        p = _slopes(flat @ g.cw + g.cb, cls, (real / count).astype(_F))
         grad["cw"], grad["cb"] = flat.T @ p, p.sum(0)
         dh = p @ g.cw.T
         order = np.argsort(cls, kind="stable")
@@ -171,67 +196,83 @@ class Trainer:
         for k in range(g.classes):
             mine = order[edges[k] : edges[k + 1]]
             if len(mine):
-                inner = flat[mine] @ g.iw[k] + g.ib[k]
-                q = np.exp(inner - inner.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(q)), goal[mine] % PER] -= 1
-                q /= count
-                grad["iw"][k], grad["ib"][k] = flat[mine].T @ q, q.sum(0)
+                own = np.take(flat, mine, axis=0)
+                q = _slopes(own @ g.iw[k] + g.ib[k], goal[mine] % PER, np.full(len(mine), 1 / count, _F))
+                grad["iw"][k], grad["ib"][k] = own.T @ q, q.sum(0)
                 dh[mine] += q @ g.iw[k].T
         dh = dh.reshape(steps, -1, HIDDEN)
-        back, dx = np.zeros_like(h), np.zeros((steps, inputs.shape[1], 3 * HIDDEN), _F)
+        dx, du = np.empty((steps, wide, 3 * HIDDEN), _F), np.empty((steps, wide, 3 * HIDDEN), _F)
+        back, turned = _F(0), np.ascontiguousarray(g.u.T)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, hn = kept[t]
-            d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            grad["u"] += before.T @ du
-            back = d * z + du @ g.u.T
+            zr, n, hn = kept[t]
+            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+            d = dh[t]
+            d += back
+            back = d * z
+            dn = d - back
+            dn *= 1 - n * n
+            slope = zr * (1 - zr)
+            d *= states[t] - n
+            np.multiply(d, slope[:, :HIDDEN], out=dx[t, :, :HIDDEN])
+            np.multiply(dn, hn, out=d)
+            np.multiply(d, slope[:, HIDDEN:], out=dx[t, :, HIDDEN:two])
+            dx[t, :, two:] = dn
+            du[t, :, :two] = dx[t, :, :two]
+            np.multiply(dn, r, out=du[t, :, two:])
+            back += du[t] @ turned
+        grad["u"] = states[:-1].reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
         ids = inputs.ravel()
         by = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0])
         grad["x"][ids[by][first]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[by], first, axis=0)
         self._move(grad)
-        return h
+        return states[-1]
 
     def _move(self, grad: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((d * d).sum()) for d in grad.values()))
+        norm = np.sqrt(sum(float(np.vdot(d, d)) for d in grad.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
         for k, d in grad.items():
-            d = d * clip
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.01 * (d * d - self.v[k])
-            a = getattr(self.model, k)
-            a -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+            d *= _F(clip)
+            m, v, a = self.m[k], self.v[k], getattr(self.model, k)
+            m *= _F(0.9)
+            m += _F(0.1) * d
+            d *= d
+            d *= _F(0.01)
+            v *= _F(0.99)
+            v += d
+            np.sqrt(v, out=d)
+            d *= _F(1 / math.sqrt(1 - 0.99**self.t))
+            d += _F(1e-6)
+            np.divide(m, d, out=d)
+            d *= _F(self.rate / (1 - 0.9**self.t))
+            a -= d
 
     def fit(self, docs: list[np.ndarray], lanes: int = 64) -> int:
         """One pass over documents, dealt to lanes; a lane's state is reset where a document starts. Returns words seen."""
         g = self.model
-        loads, lane_docs = np.zeros(lanes), [[] for _ in range(lanes)]
+        if not docs:
+            return 0
+        loads, lane_docs = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
         for d in sorted(docs, key=len, reverse=True):
             k = int(loads.argmin())
             lane_docs[k].append(d)
             loads[k] += len(d)
-        most = int(loads.max()) if docs else 0
-        most = -(-most // SPAN) * SPAN
-        inputs, targets = np.full((most, lanes), g.start), np.full((most, lanes), g.n)
-        live, reset = np.zeros((most, lanes), bool), np.zeros((most, lanes), bool)
-        for k, ds in enumerate(lane_docs):
-            at = 0
-            for d in ds:
-                inputs[at + 1 : at + len(d), k] = d[:-1]
-                targets[at : at + len(d), k] = d
-                live[at : at + len(d), k] = True
-                reset[at, k] = True
-                at += len(d)
+        by = np.argsort(-loads, kind="stable")  # lanes that end early are the last ones and drop out
+        sizes = loads[by]
+        laid = [d for k in by for d in lane_docs[k]]
+        targets = np.concatenate(laid)
+        first = np.zeros(len(targets), bool)
+        first[np.r_[0, np.cumsum([len(d) for d in laid])[:-1]]] = True
+        inputs = np.where(first, g.start, np.r_[g.start, targets[:-1]])
+        base, most, steps = np.r_[0, np.cumsum(sizes)[:-1]], -(-int(sizes[0]) // SPAN) * SPAN, np.arange(SPAN)[:, None]
         h = np.zeros((lanes, HIDDEN), _F)
         for at in range(0, most, SPAN):
+            m = int(np.searchsorted(-sizes, -at))
+            live = at + steps < sizes[:m]
+            spot = np.where(live, base[:m] + at + steps, 0)
             # a document that starts inside a window starts with the window's carried state cleared
             self.rate = self.full * (1 - at / most)
-            h = np.where(reset[at : at + SPAN].any(0)[:, None], _F(0), h)
-            h = self.window(h, inputs[at : at + SPAN], targets[at : at + SPAN], live[at : at + SPAN])
+            h = np.where((first[spot] & live).any(0)[:, None], _F(0), h[:m])
+            h = self.window(h, np.where(live, inputs[spot], g.start), np.where(live, targets[spot], g.n), live)
         return int(sum(len(d) for d in docs))

@@ -7,10 +7,9 @@
    which there are at most ``HEAD`` of them, are broadcast (a bounded table);
    all other words meet their counts in a join, by name.  Tail words are rare
    by construction, so no key is hot.
-3. Training: each task trains the gated recurrent model (see ``gru``) on its
-   documents of one hash class in ``TRAIN_CLASSES`` - a fixed share of the
-   corpus, chosen because backpropagation costs some ten times the scoring -
-   from common weights; weights are averaged by words seen, ``TURNS`` times.
+3. Training: each task trains the gated recurrent model (see ``gru``) on all
+   training documents it holds, in one turn from common weights, some
+   ``TAUGHT`` words at a time; weights are averaged by words seen.
 4. Scoring: one pass; documents of a task advance together with their states
    carried from window to window.  Words outside the model's vocabulary are
    its class "rare", within which they have their add-one unigram share.
@@ -35,23 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.common import Names, id_crc, in_batches, load, raw_texts, row_key, settle, signed
-from corpuskiln.llm.gru import Gru, Trainer
+from corpuskiln.llm.gru import SPAN, Gru, Trainer
 
 HEAD, VOCABULARY = 1 << 19, 2048
-TRAIN_CLASSES, TURNS = 32, 2
+#: Words a task holds while it trains, and the sequences that train together.
+TAUGHT, LANES = 2_000_000, 256
 #: Documents that advance together in a task.
 TOGETHER = 4096
 BLOCK = 1 << 12
-_NAMES = Names()
 _END_WORD = b" end"  # no word has a space
 END = int(Names()[_END_WORD])
 _U = np.uint64
 
 
-def _names(text: bytes | None) -> np.ndarray:
-    return np.append(_NAMES.of((text or b"").split()), _U(END))
-
-
 def counts(training: DataFrame) -> DataFrame:
     """(name, c) of all tokens of the texts."""
 
@@ -91,14 +86,6 @@ class Head:
         self.size = len(words)
         self.word_counts = c[np.array(words, np.int64)] if words else np.zeros(0, np.int64)
 
-    def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Place of each token in the head, or -1."""
-        if not len(self.names):
-            return np.full(len(tokens), -1)
-        one, back = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.names, one), len(self.names) - 1)
-        return np.where(self.names[at] == one, at, -1)[back]
-
 
 class Places(dict):
     """word -> its place in the head, or -1 - its place in ``tail``, a list of names."""
@@ -141,36 +128,59 @@ def _word_ids(head: Head, at: np.ndarray) -> np.ndarray:
     return np.where(word >= 0, word, head.size)
 
 
+class Ids(dict):
+    """word -> its id in the model, that of "rare" for all others."""
+
+    def __init__(self, head: Head):
+        super().__init__()
+        held = np.flatnonzero(head.word >= 0)
+        self.head, self.rare = dict(zip(head.names[held].tolist(), head.word[held].tolist())), head.size
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 600_000:
+            self.clear()
+        self[word] = found = self.head.get(xxhash.xxh3_64_intdigest(word), self.rare)
+        return found
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").split()
+        words.append(_END_WORD)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def train(training: DataFrame, head: Head, model: Gru) -> Gru:
-    spark = training.sparkSession
-    chosen = training.filter(F.pmod(row_key(), F.lit(TRAIN_CLASSES)) == 0).select("text")
-    for _ in range(TURNS):
-        sent = spark.sparkContext.broadcast((head, model))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            head, start = sent.value
-            docs = []
-            for batch in batches:
-                docs += [_word_ids(head, head.find(_names(t))) for t in raw_texts(batch.column("text"))]
-            if not docs:
-                return
-            mine = Gru(head.word_counts, 1.0)
-            mine.unpack(start.pack())
-            seen = Trainer(mine).fit(docs)
-            flat = mine.pack() * seen
-            parts = [flat[i : i + BLOCK].astype(np.float64).tobytes() for i in range(0, len(flat), BLOCK)]
-            part = TaskContext.get().partitionId() % 64
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], names=["block", "part", "seen", "weights"])
-
-        def add(pdf):
-            total = sum(np.frombuffer(w, np.float64) for w in pdf["weights"])
-            return pdf.iloc[:1].assign(seen=pdf["seen"].sum(), weights=[total.tobytes()])[["block", "part", "seen", "weights"]]
-
-        schema = "block int, part int, seen double, weights binary"
-        summed = in_batches(chosen, run, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-        rows = sorted(summed.collect(), key=lambda r: r["block"])  # the size of the model
-        if not rows:
-            return model
+    sent = training.sparkSession.sparkContext.broadcast((head, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, start = sent.value
+        mine = Gru(head.word_counts, 1.0)
+        mine.unpack(start.pack())
+        trainer, ids = Trainer(mine), Ids(head)
+        docs, size, seen, rate, blocks = [], 0, 0, trainer.full, 0
+        for batch in batches:
+            for text in raw_texts(batch.column("text")):
+                docs.append(ids.of(text))
+                size += len(docs[-1])
+                if size >= TAUGHT:
+                    seen += trainer.fit(docs, LANES)
+                    docs, size, blocks = [], 0, blocks + 1
+                    trainer.full = rate / math.sqrt(1 + blocks)
+        seen += trainer.fit(docs, LANES if size > LANES * LANES * SPAN else 64)  # a short rest takes smaller steps
+        if not seen:
+            return
+        flat = mine.pack() * seen
+        parts = [flat[i : i + BLOCK].astype(np.float64).tobytes() for i in range(0, len(flat), BLOCK)]
+        part = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], names=["block", "part", "seen", "weights"])
+
+    def add(pdf):
+        total = sum(np.frombuffer(w, np.float64) for w in pdf["weights"])
+        return pdf.iloc[:1].assign(seen=pdf["seen"].sum(), weights=[total.tobytes()])[["block", "part", "seen", "weights"]]
+
+    schema = "block int, part int, seen double, weights binary"
+    summed = in_batches(training.select("text"), run, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+    rows = sorted(summed.collect(), key=lambda r: r["block"])  # the size of the model
+    if rows:
         model.unpack(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["seen"] for r in rows]))
     return model
 

@@ -365,3 +365,25 @@ def test_empty_tables(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(d, toxicity.train(d, lab)).count() == 0
     assert tiling.tiled(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_language_model_trains_on_every_document(spark):
+    words = np.array([f"w{i}".encode() for i in range(5)])
+    names = np.append(np.array([lm.Names()[w] for w in words], np.uint64), np.uint64(lm.END))
+    head = lm.Head(names, np.full(6, 9), lm.VOCABULARY)
+    for i in range(6):  # a table of one document each
+        d = spark.createDataFrame([(i, "w0 w1 w2 w3 " * 5)], "doc_id long, text string")
+        fresh = lm.Gru(head.word_counts, 1.0)
+        assert not np.array_equal(lm.train(d, head, lm.Gru(head.word_counts, 1.0)).pack(), fresh.pack()), i
+
+
+def test_trainer_sees_every_word():
+    from corpuskiln.llm.gru import Gru, Trainer
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 5, n) for n in (1, 700, 16, 17, 3, 40)]
+    for lanes in (1, 4, 64):
+        t, seen = Trainer(Gru(np.full(5, 9.0), 1.0)), []
+        t.window = lambda h, inputs, targets, live, seen=seen: (seen.append(targets[live]), h)[1]
+        assert t.fit(docs, lanes) == sum(map(len, docs))
+        assert np.array_equal(np.bincount(np.concatenate(seen)), np.bincount(np.concatenate(docs)))
