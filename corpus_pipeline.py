@@ -34,11 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component stays; so do documents without shingles.
-    Rows equal in id and text are one document."""
-    found = jaccard.similar(docs)
-    gone = found.filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("key").distinct()
-    return docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("key"), "left_anti").dropDuplicates(["_key"]).select(*_columns(docs))
+    """One row of each component stays, the one of the least id (null last), then of the least key, and one
+    of rows equal in id and text. Rows without words, which have no shingles, all stay."""
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    chosen = jaccard.similar(docs).filter("cls IS NOT NULL").groupBy("comp").agg(F.min(order)["key"].alias("_key")).select("_key")
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    single = docs.filter(worded).withColumn("_key", row_key()).dropDuplicates(["_key"]).join(chosen, "_key", "left_semi")
+    return single.select(*_columns(docs)).unionByName(docs.filter(~worded))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

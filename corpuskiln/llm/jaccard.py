@@ -374,7 +374,8 @@ def open_pairs(tile: DataFrame, part: DataFrame, classes: DataFrame, percent: in
 
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, doc_id, n_shingles, cls, component_id) per document."""
+    """(key, doc_id, n_shingles, cls, comp, component_id) per document; comp tells components apart whose
+    least ids agree or are all null."""
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = settle(signatures(keyed, frequencies(docs), percent), "signatures")
     tile = settle(tiles(sets.filter("prefix IS NOT NULL"), percent), "tiles")
@@ -397,8 +398,8 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = settle(least.join(part, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "named")
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = named.join(names, "comp").select("cls", "component_id")
-    return sets.select("key", "doc_id", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select("key", "doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_class = named.join(names, "comp").select("cls", "comp", "component_id")
+    return sets.select("key", "doc_id", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left").select("key", "doc_id", "n_shingles", "cls", "comp", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

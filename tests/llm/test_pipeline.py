@@ -74,3 +74,19 @@ def test_columns_named_like_results(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("score", tiling.F.lit("mine")).withColumn("predicted", tiling.F.lit(1))
     out = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, folder)
     assert out.columns == docs.columns and {r.score for r in out.select("score").distinct().collect()} == {"mine"}
+
+
+def test_one_row_of_each_group(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join(f"k{r.randrange(10**6)}" for _ in range(n))
+    a, b, c = say(40), say(40), say(40)
+    rows = [(None, None)] * 3 + [(7, " \n")] * 2 + [(8, "")]  # without words: all stay
+    rows += [(None, a), (None, a + " more"), (None, a)]  # ids all null: one stays
+    rows += [(1, b), (1, b + " more"), (2, b)]  # the least id twice: one stays
+    rows += [(1, c), (3, c + " more"), (3, c)]  # another component of the same least id
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.text) for x in dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, "").collect()]
+    assert sorted(x for x in got if not (x[1] or "").strip() and x[0] is not None) == [(7, " \n"), (7, " \n"), (8, "")]
+    assert got.count((None, None)) == 3 and len(got) == 9
+    assert sum((t or "").startswith(a) and d is None for d, t in got) == 1
+    assert sum((t or "").startswith(b) and d == 1 for d, t in got) == 1 and (1, c) in got
