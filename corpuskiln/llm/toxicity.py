@@ -8,9 +8,9 @@ mean more than each alone, which additive weights can't.  A term takes part if
 it stands in ``LEAST`` training rows and the 2x2 table of term and label has a
 chi-square of ``CHI``, or chance words would be learnt by heart; rows of the rarer label weigh more, by the root of the labels' ratio.
 
-Training uses the labelled rows with crc32(doc_id) mod 3 not 1, at most about
-``TRAIN_ROWS`` of them, picked by id hash (a documented bound: the model has a
-fixed size, and so has what the driver gathers).  AdaGrad over mini-batches in
+Training uses the labelled rows with crc32(doc_id) mod 3 not 1, rows equal in
+id and text once, at most about ``TRAIN_ROWS`` of them, picked by row hash (a
+documented bound: the model has a fixed size, and so has what the driver gathers).  AdaGrad over mini-batches in
 a fixed order, so reruns agree.  Scoring is one narrow pass over all texts.
 
 Defined cases: null and empty texts have no terms and score sigmoid(b); labels
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskiln.llm.common import id_crc, in_batches, load, raw_texts
+from corpuskiln.llm.common import id_crc, in_batches, load, raw_texts, row_key, settle
 
 DIM, RANK = 1 << 18, 8
 TRAIN_ROWS, EPOCHS, STEPS, BATCH = 20_000, 12, 3000, 64
@@ -129,16 +129,18 @@ class Machine:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(id_crc() % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    count = usable.count()
-    share = min(1.0, most / max(1, count))
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    keyed = docs.select("doc_id", "text").withColumn("key", row_key())
+    rows = settle(keyed.select("doc_id", "key").join(usable, "doc_id").groupBy("key").agg(F.max("toxic").alias("toxic")), "training-rows")
+    share = min(1.0, most / max(1, rows.count()))
+    picked = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms(t) for t in raw_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "toxic", "ids"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # about ``most`` rows at the largest
+    # about ``most`` rows at the largest
+    chosen = keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("doc_id", "text", "toxic")
     rows = sorted(in_batches(chosen, run, "doc_id long, toxic int, ids binary").collect(), key=lambda r: (r["doc_id"], r["ids"]))
     machine = Machine()
     if rows:

@@ -387,3 +387,15 @@ def test_trainer_sees_every_word():
         t.window = lambda h, inputs, targets, live, seen=seen: (seen.append(targets[live]), h)[1]
         assert t.fit(docs, lanes) == sum(map(len, docs))
         assert np.array_equal(np.bincount(np.concatenate(seen)), np.bincount(np.concatenate(docs)))
+
+
+def test_toxicity_bounds_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.Machine, "fit", lambda self, docs, labels: seen.append(len(docs)))
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    same_text = spark.createDataFrame([(hot, "one text")] * 500, "doc_id long, text string")
+    toxicity.train(same_text, labels, 200)
+    texts = spark.createDataFrame([(hot, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    toxicity.train(texts, labels, 200)
+    assert seen[0] == 1 and 100 < seen[1] < 300
