@@ -189,9 +189,9 @@ c AS (SELECT phrase, count(*) AS n, sum(y)::BIGINT AS hits FROM g GROUP BY 1),
 m AS (SELECT * FROM c WHERE hits > 0 ORDER BY hits DESC, phrase LIMIT 400)
 SELECT phrase, hits AS support, n, round(hits / n, 6) AS precision, round(hits / n / base, 6) AS lift FROM m, b WHERE hits >= 5 AND round(hits / n, 6) >= 0.7 ORDER BY lift DESC, precision DESC, support DESC, phrase LIMIT 12""")
 def rule_mining_lift(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 60)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     rows = load(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).join(load(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return M.mined_phrases(rows, "ws", F.col("toxic"), longest=2)
+    return M.mined_phrases(rows, "ws", F.col("toxic"))
 
 
 @register("""
