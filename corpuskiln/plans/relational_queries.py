@@ -30,7 +30,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON l_partkey = p_partkey
 WHERE l_quantity >= 45""")
 def full_article_join(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     supplier = load(spark, sf_dir, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name", "s_nationkey")
@@ -189,7 +189,7 @@ def budgeted_prefix(spark, sf_dir):
 WITH d AS (SELECT DISTINCT l_orderkey, p_brand, regexp_extract(p_brand, '([0-9]+)', 1)::INT AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0)
 SELECT l_orderkey, string_agg(p_brand, ', ' ORDER BY k, p_brand) AS cited, count(*) AS n FROM d GROUP BY 1""")
 def citation_grouping(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey")  # the report's orders
+    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
     one = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.struct(X.canonical_number("p_brand").cast("int").alias("k"), "p_brand").alias("c"))
     grouped = one.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("c")).alias("cs"))
