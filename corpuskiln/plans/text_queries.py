@@ -177,8 +177,8 @@ g AS (SELECT unnest(list_concat(ws, list_transform(generate_series(1, len(ws) -
 SELECT phrase, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 3""")
 def ngram_counts(spark, sf_dir):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = load(spark, sf_dir, "conversations").filter("role = 'user'").select(words.alias("ws"))
-    return rows.select(F.explode(M.ngrams(F.col("ws"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 3")
+    labelled = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return labelled.select(F.explode(M.ngrams(words)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
 @register("""
