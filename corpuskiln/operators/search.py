@@ -162,17 +162,24 @@ def gap_decision(scores: DataFrame, key: str, high: tuple[float, float] = (0.72,
 
 
 def resolve_references(queries: DataFrame, documents: DataFrame, ref: str = "ref", number: str = "doc_number", key: str = "document_id", most: int = 5) -> DataFrame:
-    """Documents a reference names: equal, then prefix, then equal without diacritics, then the
-    number before the first slash. The first tier with a hit wins. Every tier is an equi-join."""
+    """Documents a reference names: equal, then prefix, then prefix without diacritics, then the
+    number before the first slash, for references without a year. The first tier with a hit wins.
+    Every tier is an equi-join: on the leading parts, or for numbers of one part on their prefixes."""
     q = queries.select("query_id", F.upper(F.trim(ref)).alias("r"), X.normal_reference(ref).alias("f"))
     d = documents.select(key, F.upper(F.trim(number)).alias("n"), X.normal_reference(number).alias("g"))
     lead = lambda c: F.substring_index(c, "/", 2)
     head = lambda c: F.substring_index(c, "/", 1)
     cols = ["query_id", key]
+
+    def opens(asked: str, held: str) -> DataFrame:
+        parts = q.join(d, (lead(q[asked]) == lead(d[held])) & d[held].startswith(q[asked])).select(*cols)
+        whole = d.filter(~F.contains(held, F.lit("/")) & (F.length(held) > 0))
+        begun = whole.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(held)), lambda i: F.substring(F.col(held), F.lit(1), i))).alias("begin"))
+        return parts.unionByName(q.join(begun, F.col(asked) == F.col("begin")).select(*cols)).distinct()
+
     exact = q.join(d, q["r"] == d["n"]).select(*cols)
-    prefix = q.join(d, (lead(q["r"]) == lead(d["n"])) & d["n"].startswith(q["r"])).select(*cols)
-    folded = q.join(d, (lead(q["f"]) == lead(d["g"])) & d["g"].startswith(q["f"])).select(*cols)
-    bare = q.filter(~F.rlike("r", F.lit(r"\d{4}"))).join(d, head(F.col("f")) == head(F.col("g"))).select(*cols)
+    prefix, folded = opens("r", "n"), opens("f", "g")
+    bare = q.filter(~F.rlike("f", F.lit(r"^\d{4}$|/\d{4}(?!\d)"))).join(d, head(F.col("f")) == head(F.col("g"))).select(*cols)
     return top_k(cascade([exact, prefix, folded, bare]), "query_id", [F.col(key)], most)
 
 

@@ -295,10 +295,20 @@ b AS (SELECT * FROM m QUALIFY tier = min(tier) OVER (PARTITION BY query_id))
 SELECT query_id, document_id, tier::BIGINT AS tier, row_number() OVER (PARTITION BY query_id ORDER BY document_id) AS rank FROM b QUALIFY rank <= 5""")
 def doc_ref_resolution(spark, sf_dir):
     q = spark.createDataFrame([(1, "supplier#000000001"), (2, "SUPPLIER#00000002"), (3, "supplier#000000003"), (4, "none")], "query_id long, ref string")
-    d = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("document_id"), F.upper(F.trim("s_name")).alias("n"))
-    q = F.broadcast(q.select("query_id", F.upper("ref").alias("r")))
-    tiers = [d.join(q, F.col("n") == F.col("r")), d.join(q, F.col("n").startswith(F.col("r")))]
-    return R.top_k(S.cascade([t.select("query_id", "document_id") for t in tiers]), "query_id", [F.col("document_id")], 5)
+    d = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("document_id"), F.col("s_name").alias("doc_number"))
+    return S.resolve_references(q, d)
+
+
+@register()
+def doc_ref_forms(spark, sf_dir):
+    """Every supplier has a number of the stored form and is asked for in one of the four forms of a
+    reference: whole, number and year, with underscores and without diacritics, without the year."""
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), (F.col("s_nationkey") + 1990).cast("string").alias("y"))
+    d = s.select(F.col("k").alias("document_id"), F.format_string("%d/%s/NĐ-CP", "k", "y").alias("doc_number"))
+    forms = [F.format_string(f, "k", "y") for f in ("%d/%s/NĐ-CP", "%d/%s", "%d_%s_nd-cp")] + [F.format_string("%d/ND-CP", "k")]
+    form = F.col("k") % 4
+    ref = F.when(form == 0, forms[0]).when(form == 1, forms[1]).when(form == 2, forms[2]).otherwise(forms[3])
+    return S.resolve_references(s.select(F.col("k").alias("query_id"), ref.alias("ref")), d)
 
 
 @register(r"""
