@@ -41,8 +41,8 @@ def keyword_scores(queries: DataFrame, docs: DataFrame, terms: str = "terms", te
 def cascade(tiers: list[DataFrame], by: str = "query_id") -> DataFrame:
     """Rows of each query's first tier that has any."""
     every = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i).cast("long")) for i, t in enumerate(tiers, 1)])
-    best = F.min("tier").over(Window.partitionBy(by))
-    return every.withColumn("_best", best).filter("tier = _best").drop("_best")
+    best = every.groupBy(F.col(by).alias("_by")).agg(F.min("tier").alias("_best"))  # a row per query
+    return every.join(F.broadcast(best), F.col(by).eqNullSafe(F.col("_by")) & (F.col("tier") == F.col("_best"))).drop("_by", "_best")
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
