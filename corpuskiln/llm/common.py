@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +33,65 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is set (tests) a local one is made."""
+    """The folder all executors share. A local one is made only where none is set and
+    executors are threads of this machine (tests)."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpuskiln-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Cuts the lineage: writes to the shared folder as Parquet and reads back, so
-    lost executors cost no recomputation of what lies before."""
+    lost executors cost no recomputation of what lies before.  ``after``: settled
+    tables that nothing needs any more once this one is written; they are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    for table in after:
+        release(table)
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Deletes a settled table."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(docs: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, changed where ``docs`` has such a column already."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+@contextmanager
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """The session with other settings (dots written as __) while something runs."""
+    names = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
