@@ -47,6 +47,8 @@ PIECE = 400_000
 _BASE = 0x9E3779B97F4A7C15
 _NAMES = Names()
 _U = np.uint64
+#: The largest index of a symbol in a piece; a text of Spark is too short to have more.
+_LAST = _U((1 << 32) - 1)
 
 
 class Level:
@@ -136,7 +138,7 @@ def anchors(names: np.ndarray, lengths: np.ndarray, width: int = WIDTH, rounds:
         return empty, empty, empty, empty.view(_U), empty.view(_U)
     levels = recompress(names, doc, first, last, rounds)
     pick, picked_level = np.zeros(len(window), np.int64), np.full(len(window), -1)
-    bits = _U(24)
+    bits = _U(32)  # one width for all pieces, or equal windows could pick different symbols
     for depth in range(len(levels) - 1, -1, -1):
         open_ = np.flatnonzero(picked_level < 0)
         if not len(open_):
@@ -147,9 +149,9 @@ def anchors(names: np.ndarray, lengths: np.ndarray, width: int = WIDTH, rounds:
         if not some.any():
             continue
         index = np.arange(len(x.name), dtype=_U)
-        key = (mix(x.name) >> bits << bits) | (_U((1 << 24) - 1) - index)
+        key = (mix(x.name) >> bits << bits) | (_LAST - index)
         best = _best(key, i0[some], i1[some])
-        pick[open_[some]] = ((1 << 24) - 1) - (best & _U((1 << 24) - 1)).astype(np.int64)
+        pick[open_[some]] = (_LAST - (best & _LAST)).astype(np.int64)
         picked_level[open_[some]] = depth
     cut = np.r_[True, (np.diff(window) != 1) | (np.diff(pick) != 0) | (np.diff(picked_level) != 0)]
     head = np.flatnonzero(cut)
@@ -211,11 +213,11 @@ def window_rows(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, a, b): windows a..b of a document that start a repeated sequence. ``docs`` has key, text."""
-    rows = anchor_rows(docs, width)
+    rows = settle(anchor_rows(docs, width), "anchors")  # used twice, and the dearest step
     # tables are settled before a join on hot keys: a side that ends in an aggregation can't be split
     shared = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("wording").alias("w0"), F.max("wording").alias("w1")).filter("n > 1")
     shared = settle(shared.select("name", (F.col("w0") != F.col("w1")).alias("mixed")), "names")
-    found = settle(rows.join(shared, "name"), "shared-names")
+    found = settle(rows.join(shared, "name"), "shared-names", after=(rows, shared))
     whole = found.filter("NOT mixed").select("key", "a", "b")
     mixed = found.filter("mixed")
     wordings = mixed.groupBy("name", "wording").agg(F.count("*").alias("n"), F.min(F.struct("key", "a", "b")).alias("one"))
