@@ -4,12 +4,14 @@ minimal perfect hash.
 1. Each task reduces a document to its distinct long line keys; a map-side
    combined aggregation counts documents and finds the largest ``doc_id`` per
    64-bit key hash.  Hot lines are one row per task before the shuffle.
-2. Hashes found in enough documents are cut into shards by hash; a task builds
-   one shard's minimal perfect hash with arrays for fingerprint, document count
-   and keeper (the ``doc_id`` that retains the line).
-3. Documents probe the arrays.  While all shards together stay within
-   ``broadcast_bytes`` they are broadcast; beyond it, salted groups of probes
-   meet one shard at a time.  Both ways give the same rows.
+2. All distinct hashes are cut into shards by hash; a task builds one shard's
+   minimal perfect hash with an array of 32-bit fingerprints, an array of
+   document counts (saturated where they decide) and, for the slots whose count
+   is high enough only, the keeper (the ``doc_id`` that retains the line).
+3. Documents probe the arrays: fingerprint and count say whether a line is
+   shared.  While all shards together stay within ``broadcast_bytes`` they are
+   broadcast; beyond it, groups of probes meet one shard at a time, as many
+   groups for a shard as it has probes for.  Both ways give the same rows.
 
 Defined cases: each row is a document (a repeated row counts again); a null id
 is smaller than any other; null or empty text is one empty line, which stays;
@@ -31,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.llm import mphf
-from corpuskiln.llm.common import in_batches, load, raw_texts, row_key, settle, signed
+from corpuskiln.llm.common import in_batches, load, mix, raw_texts, row_key, settle, signed
 
 #: Keys of one shard, and bytes of all shards up to which they are broadcast.
-SHARD_KEYS, BROADCAST_BYTES = 50_000, 64 << 20
+SHARD_KEYS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Probes of one group when shards aren't broadcast.
 GROUP_PROBES = 500_000
 LOWEST = -(2**63)
@@ -54,8 +56,8 @@ def line_hashes(text: bytes | None, least: int) -> tuple[list[bytes], np.ndarray
     return lines, out
 
 
-def shared_lines(docs: DataFrame, least: int, documents: int) -> DataFrame:
-    """(h, n_docs, keeper) of the line keys found in at least ``documents`` documents."""
+def line_counts(docs: DataFrame, least: int) -> DataFrame:
+    """(h, n_docs, keeper) of each distinct line key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,42 +71,49 @@ def shared_lines(docs: DataFrame, least: int, documents: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hashes))), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
 
     lines = in_batches(docs.select("doc_id", "text"), run, "h long, doc_id long")
-    return lines.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= documents)
+    return lines.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
-def build_index(shared: DataFrame) -> tuple[DataFrame, int]:
-    """One row per shard: (shard, levels, rest, prints, counts, keepers); and the number of shards."""
-    shared = settle(shared, "shared-lines")
-    n = max(1, -(-shared.count() // SHARD_KEYS))
+INDEX = "shard long, groups long, levels array<binary>, rest binary, prints binary, counts binary, keepers binary"
+
+
+def prints(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(32)).astype(np.uint32)
+
+
+def build_index(lines: DataFrame, documents: int) -> tuple[DataFrame, int]:
+    """One row per shard, as in ``INDEX`` (``groups``: in how many its probes are dealt); and the number of shards."""
+    lines = settle(lines, "lines")
+    n = max(1, -(-lines.count() // SHARD_KEYS))
+    group, kind = GROUP_PROBES, np.uint8 if documents < 256 else np.uint32
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["h"].to_numpy(np.int64).view(np.uint64)
         levels, rest = mphf.build(keys)
-        slot = mphf.Slots(levels, rest)(keys)
-        order = np.argsort(slot)
+        order = np.argsort(mphf.Slots(levels, rest)(keys))
+        counts = pdf["n_docs"].to_numpy(np.int64)[order]
         return pd.DataFrame([{
-            "shard": int(pdf["shard"].iloc[0]), "levels": levels, "rest": rest,
-            "prints": keys[order].tobytes(), "counts": pdf["n_docs"].to_numpy(np.int64)[order].tobytes(), "keepers": pdf["keeper"].to_numpy(np.int64)[order].tobytes(),
+            "shard": int(pdf["shard"].iloc[0]), "groups": max(1, -(-int(counts.sum()) // group)), "levels": levels, "rest": rest, "prints": prints(keys[order]).tobytes(),
+            "counts": np.minimum(counts, documents).astype(kind).tobytes(), "keepers": pdf["keeper"].to_numpy(np.int64)[order][counts >= documents].tobytes(),
         }])
 
-    sharded = shared.withColumn("shard", F.pmod(F.shiftright("h", 20), F.lit(n)))
-    index = sharded.groupBy("shard").applyInPandas(build, "shard long, levels array<binary>, rest binary, prints binary, counts binary, keepers binary")
-    return settle(index, "line-index"), n
+    sharded = lines.withColumn("shard", F.pmod(F.shiftright("h", 20), F.lit(n)))
+    return settle(sharded.groupBy("shard").applyInPandas(build, INDEX), "line-index", after=(lines,)), n
 
 
 class Shard:
-    def __init__(self, row):
-        self.slots = mphf.Slots(list(row["levels"]), row["rest"])
-        self.prints, self.keepers = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["keepers"], np.int64)
+    def __init__(self, row, documents: int):
+        self.slots, self.documents = mphf.Slots(list(row["levels"]), row["rest"]), documents
+        self.prints, self.counts = np.frombuffer(row["prints"], np.uint32), np.frombuffer(row["counts"], np.uint8 if documents < 256 else np.uint32)
+        self.shared, self.keepers = np.flatnonzero(self.counts >= documents), np.frombuffer(row["keepers"], np.int64)
 
     def dropped(self, hashes: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
-        """Which hashes are shared lines that another document keeps."""
-        slot = self.slots(hashes)
-        known = slot >= 0
-        at = np.where(known, slot, 0)
-        if not len(self.prints):
-            return np.zeros(len(hashes), bool)
-        return known & (self.prints[at] == hashes) & (self.keepers[at] != doc_ids)
+        """Which hashes are lines that enough documents hold and another one keeps."""
+        slot, out = self.slots(hashes), np.zeros(len(hashes), bool)
+        at = np.maximum(slot, 0)
+        hit = np.flatnonzero((slot >= 0) & (self.prints[at] == prints(hashes)) & (self.counts[at] >= self.documents))
+        out[hit] = self.keepers[np.searchsorted(self.shared, at[hit])] != doc_ids[hit]
+        return out
 
 
 def _shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -127,35 +136,43 @@ def _rows(batch: pa.RecordBatch, drops: list[np.ndarray], lines: list[list[bytes
 def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3, keep_text: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: lines, dropped lines, the kept text's hash, the kept text (null unless asked for)."""
     spark = docs.sparkSession
-    index, n = build_index(shared_lines(docs, least, documents))
-    weight = index.select(F.coalesce(F.sum(F.length("prints") + F.length("keepers")), F.lit(0))).first()[0]
-    if weight > broadcast_bytes:
-        return _by_shards(docs, index, n, least, keep_text)
-    shards = spark.sparkContext.broadcast(index.select("shard", "levels", "rest", "prints", "keepers").collect())
+    index, n = build_index(line_counts(docs, least), documents)
+    parts = [c for c in index.columns if c not in ("shard", "groups", "levels")]
+    weight = sum((F.length(c) for c in parts), F.aggregate("levels", F.lit(0), lambda total, x: total + F.length(x)))
+    if index.select(F.coalesce(F.sum(weight), F.lit(0))).first()[0] > broadcast_bytes:
+        return _by_shards(docs, index, n, least, documents, keep_text)
+    shards = spark.sparkContext.broadcast(index.collect())
     opened: dict[int, Shard] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not opened:
-            opened.update({row["shard"]: Shard(row) for row in shards.value})
+            opened.update({row["shard"]: Shard(row, documents) for row in shards.value})
         for batch in batches:
             parts = [line_hashes(text, least) for text in raw_texts(batch.column("text"))]
             ids = [LOWEST if x is None else x for x in batch.column("doc_id").to_pylist()]
             every = np.concatenate([h for _, h in parts]) if parts else np.zeros(0, np.uint64)
             doc = np.repeat(np.array(ids, np.int64), [len(h) for _, h in parts])
-            out, at = np.zeros(len(every), bool), _shard_of(every, n)
-            for s, shard in opened.items():
-                mine = np.flatnonzero((at == s) & (every != 0))
-                out[mine] = shard.dropped(every[mine], doc[mine])
+            out, probes = np.zeros(len(every), bool), np.flatnonzero(every)
+            at = _shard_of(every[probes], n)
+            order = np.argsort(at, kind="stable")
+            probes, at = probes[order], at[order]
+            first = np.flatnonzero(np.r_[True, np.diff(at) != 0]) if len(at) else at
+            for s, mine in zip(at[first].tolist(), np.split(probes, first[1:])):
+                out[mine] = opened[s].dropped(every[mine], doc[mine])
             drops = np.split(out, np.cumsum([len(h) for _, h in parts])[:-1]) if parts else []
             yield _rows(batch, drops, [x for x, _ in parts], keep_text)
 
     return in_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
 
-def _by_shards(docs: DataFrame, index: DataFrame, n: int, least: int, keep_text: bool) -> DataFrame:
-    """The way beyond the broadcast limit: probes go to shards, salted so that a hot line's probes split."""
-    docs = docs.select("doc_id", "text")
-    keyed = docs.withColumn("key", row_key())
+def _by_shards(docs: DataFrame, index: DataFrame, n: int, least: int, documents: int, keep_text: bool) -> DataFrame:
+    """The way beyond the broadcast limit: probes go to shards, those of a shard in groups, so that a hot line's split.
+    A shard is copied for its groups alone, so copies grow with the probes."""
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
+    groups = np.ones(n, np.int32)
+    for row in index.select("shard", "groups").collect():  # a number per SHARD_KEYS lines
+        groups[row["shard"]] = row["groups"]
+    dealt = docs.sparkSession.sparkContext.broadcast(groups)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,22 +184,22 @@ def _by_shards(docs: DataFrame, index: DataFrame, n: int, least: int, keep_text:
                 keys.append(np.full(len(found), key, np.int64))
                 ids.append(np.full(len(found), LOWEST if doc_id is None else doc_id, np.int64))
             if keys:
-                h = np.concatenate(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(_shard_of(h, n)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(signed(h))], names=["shard", "key", "doc_id", "h"])
+                h, key = np.concatenate(hashes), np.concatenate(keys)
+                shard = _shard_of(h, n)
+                part = np.mod(key, dealt.value[shard])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(part), pa.array(key), pa.array(np.concatenate(ids)), pa.array(signed(h))], names=["shard", "part", "key", "doc_id", "h"])
 
-    asked = in_batches(keyed, probes, "shard long, key long, doc_id long, h long")
-    salts = max(1, -(-docs.count() // GROUP_PROBES))
-    asked = asked.withColumn("salt", F.pmod("key", F.lit(salts)))
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    asked = in_batches(keyed, probes, "shard long, part long, key long, doc_id long, h long")
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"key": pd.Series([], dtype="int64"), "h": pd.Series([], dtype="int64")})
         hashes = left["h"].to_numpy(np.int64).view(np.uint64)
-        hit = Shard(right.iloc[0]).dropped(hashes, left["doc_id"].to_numpy(np.int64))
+        hit = Shard(right.iloc[0], documents).dropped(hashes, left["doc_id"].to_numpy(np.int64))
         return left.loc[hit, ["key", "h"]].drop_duplicates()
 
-    hits = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "key long, h long")
+    hits = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(probe, "key long, h long")
     per_doc = hits.groupBy("key").agg(F.collect_list("h").alias("drop"))
     joined = keyed.join(per_doc, "key", "left").select("doc_id", "text", "drop")
 

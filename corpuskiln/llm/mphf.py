@@ -21,38 +21,45 @@ def _spot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
 
 
 def build(keys: np.ndarray) -> tuple[list[bytes], bytes]:
-    """Levels (bits, one byte per eight) and the sorted rest. ``keys`` are distinct."""
+    """Levels (bits, in 64-bit words) and the sorted rest. ``keys`` are distinct."""
     levels, left = [], keys
     while len(left) and len(levels) < LEVELS:
-        size = (2 * len(left) + 7) // 8 * 8
+        size = (2 * len(left) + 63) // 64 * 64
         spot = _spot(left, len(levels), size)
         alone = np.bincount(spot, minlength=size) == 1
-        levels.append(np.packbits(alone).tobytes())
+        levels.append(np.packbits(alone, bitorder="little").tobytes())
         left = left[~alone[spot]]
     return levels, np.sort(left).tobytes()
 
 
 class Slots:
-    """Probes a built hash; keys outside the built set get any slot or -1."""
+    """Probes a built hash; keys outside the built set get any slot or -1.
+
+    Bits stay packed; a 32-bit count stands before each word, so a key takes some five bits."""
 
     def __init__(self, levels: list[bytes], rest: bytes):
-        self.bits, self.ranks, placed = [], [], 0
+        self.words, self.ranks, self.before, placed = [], [], [], 0
         for level in levels:
-            bits = np.unpackbits(np.frombuffer(level, np.uint8)).astype(bool)
-            self.bits.append(bits)
-            self.ranks.append(placed + np.cumsum(bits, dtype=np.int64) - 1)
-            placed += int(bits.sum())
+            words = np.frombuffer(level, "<u8")
+            ends = np.cumsum(np.bitwise_count(words), dtype=np.uint32)
+            self.words.append(words)
+            self.ranks.append(np.r_[np.uint32(0), ends[:-1]])
+            self.before.append(placed)
+            placed += int(ends[-1])
         self.rest, self.placed = np.frombuffer(rest, np.uint64), placed
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(zip(self.bits, self.ranks)):
+        for level, (words, ranks, before) in enumerate(zip(self.words, self.ranks, self.before)):
             if not len(open_):
                 return out
-            spot = _spot(keys[open_], level, len(bits))
-            hit = bits[spot]
-            out[open_[hit]] = ranks[spot[hit]]
+            spot = _spot(keys[open_], level, 64 * len(words))
+            at, bit = spot >> 6, (spot & 63).astype(np.uint64)
+            word = words[at]
+            hit = (word >> bit & np.uint64(1)).astype(bool)
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[open_[hit]] = (before + ranks[at].astype(np.int64) + below)[hit]
             open_ = open_[~hit]
         if len(open_) and len(self.rest):
             at = np.minimum(np.searchsorted(self.rest, keys[open_]), len(self.rest) - 1)
