@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 
-HIDDEN, PER, SPAN = 16, 64, 16
+HIDDEN, PER, SPAN = 16, 128, 16
 _F = np.float32
 
 
@@ -159,16 +159,18 @@ class Trainer:
         self.v = {k: np.zeros_like(getattr(model, k)) for k in Gru.NAMES}
 
     def window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """One window (steps x sequences); ``live`` marks real targets. Returns the carried state."""
+        """One window (steps x sequences); ``live`` marks real targets. Returns the carried state.
+
+        Where the input is the start symbol a document begins: no state reaches that step, and no gradient leaves it."""
         g, steps, count = self.model, len(inputs), max(1, int(live.sum()))
         two, wide = 2 * HIDDEN, inputs.shape[1]
         x_zr, x_n, u_zr, u_n = g.tables()
         in_zr, in_n = np.take(x_zr, inputs, axis=0), np.take(x_n, inputs, axis=0)
-        states = np.empty((steps + 1, wide, HIDDEN), _F)
-        states[0] = h
+        goes_on = (inputs != g.start).astype(_F)[:, :, None]
+        before, states = np.empty((steps, wide, HIDDEN), _F), np.empty((steps, wide, HIDDEN), _F)
         kept = []
         for t in range(steps):  # as ``Gru.step``
-            h = states[t]
+            h = np.multiply(states[t - 1] if t else h, goes_on[t], out=before[t])
             zr = h @ u_zr
             zr += in_zr[t]
             np.negative(zr, out=zr)
@@ -180,11 +182,11 @@ class Trainer:
             n = r * hn
             n += in_n[t]
             np.tanh(n, out=n)
-            np.subtract(h, n, out=states[t + 1])
-            states[t + 1] *= z
-            states[t + 1] += n
+            np.subtract(h, n, out=states[t])
+            states[t] *= z
+            states[t] += n
             kept.append((zr, n, hn))
-        flat, goal, real = states[1:].reshape(-1, HIDDEN), targets.ravel(), live.ravel()
+        flat, goal, real = states.reshape(-1, HIDDEN), targets.ravel(), live.ravel()
         grad = {k: np.zeros_like(getattr(g, k)) for k in ("u", "cw", "cb", "iw", "ib", "x")}
         cls = np.where(goal < g.n, goal // PER, g.classes)
         p = _slopes(flat @ g.cw + g.cb, cls, (real / count).astype(_F))
@@ -212,7 +214,7 @@ class Trainer:
             dn = d - back
             dn *= 1 - n * n
             slope = zr * (1 - zr)
-            d *= states[t] - n
+            d *= before[t] - n
             np.multiply(d, slope[:, :HIDDEN], out=dx[t, :, :HIDDEN])
             np.multiply(dn, hn, out=d)
             np.multiply(d, slope[:, HIDDEN:], out=dx[t, :, HIDDEN:two])
@@ -220,7 +222,8 @@ class Trainer:
             du[t, :, :two] = dx[t, :, :two]
             np.multiply(dn, r, out=du[t, :, two:])
             back += du[t] @ turned
-        grad["u"] = states[:-1].reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+            back *= goes_on[t]
+        grad["u"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
         ids = inputs.ravel()
         by = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0])
@@ -249,7 +252,7 @@ class Trainer:
             a -= d
 
     def fit(self, docs: list[np.ndarray], lanes: int = 64) -> int:
-        """One pass over documents, dealt to lanes; a lane's state is reset where a document starts. Returns words seen."""
+        """One pass over documents, dealt to lanes; a lane's state starts anew with each document. Returns words seen."""
         g = self.model
         if not docs:
             return 0
@@ -271,8 +274,6 @@ class Trainer:
             m = int(np.searchsorted(-sizes, -at))
             live = at + steps < sizes[:m]
             spot = np.where(live, base[:m] + at + steps, 0)
-            # a document that starts inside a window starts with the window's carried state cleared
             self.rate = self.full * (1 - at / most)
-            h = np.where((first[spot] & live).any(0)[:, None], _F(0), h[:m])
-            h = self.window(h, np.where(live, inputs[spot], g.start), np.where(live, targets[spot], g.n), live)
+            h = self.window(h[:m], np.where(live, inputs[spot], g.start), np.where(live, targets[spot], g.n), live)
         return int(sum(len(d) for d in docs))

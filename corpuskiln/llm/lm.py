@@ -7,9 +7,11 @@
    which there are at most ``HEAD`` of them, are broadcast (a bounded table);
    all other words meet their counts in a join, by name.  Tail words are rare
    by construction, so no key is hot.
-3. Training: each task trains the gated recurrent model (see ``gru``) on all
-   training documents it holds, in one turn from common weights, some
-   ``TAUGHT`` words at a time; weights are averaged by words seen.
+3. Training: documents, as 16-bit word ids, are dealt to tasks by row hash.
+   Each task trains the gated recurrent model (see ``gru``) on all of its
+   documents, in one turn from common weights, some ``TAUGHT`` words at a time;
+   weights are averaged by words seen, in one order.  Neither the layout of the
+   input nor a lost executor changes the model.
 4. Scoring: one pass; documents of a task advance together with their states
    carried from window to window.  Words outside the model's vocabulary are
    its class "rare", within which they have their add-one unigram share.
@@ -33,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.common import Names, id_crc, in_batches, load, raw_texts, row_key, settle, signed
+from corpuskiln.llm.common import Names, id_crc, in_batches, load, mix, raw_texts, row_key, settle, signed
 from corpuskiln.llm.gru import SPAN, Gru, Trainer
 
 HEAD, VOCABULARY = 1 << 19, 2048
 #: Words a task holds while it trains, and the sequences that train together.
 TAUGHT, LANES = 2_000_000, 256
+#: Tasks among which training documents are dealt; beyond so many a task trains longer.
+MOST_TASKS = 1 << 16
 #: Documents that advance together in a task.
 TOGETHER = 4096
 BLOCK = 1 << 12
@@ -47,6 +51,11 @@ END = int(Names()[_END_WORD])
 _U = np.uint64
 
 
+def tokens(text: bytes | None) -> list[bytes]:
+    """The words, A-Z lower-cased, without the end."""
+    return (text or b"").lower().split()  # bytes.lower touches A-Z alone
+
+
 def counts(training: DataFrame) -> DataFrame:
     """(name, c) of all tokens of the texts."""
 
@@ -60,7 +69,7 @@ def counts(training: DataFrame) -> DataFrame:
             texts = raw_texts(batch.column("text"))
             held[_END_WORD] += len(texts)
             for text in texts:
-                held.update((text or b"").split())
+                held.update(tokens(text))
             if len(held) > 400_000:
                 yield flush(held)
                 held.clear()
@@ -105,7 +114,7 @@ class Places(dict):
         return at
 
     def of(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
+        words = tokens(text)
         words.append(_END_WORD)
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -143,23 +152,45 @@ class Ids(dict):
         return found
 
     def of(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
+        words = tokens(text)
         words.append(_END_WORD)
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def train(training: DataFrame, head: Head, model: Gru) -> Gru:
+def dealt(training: DataFrame, head: Head, tasks: int) -> DataFrame:
+    """(deal, ids): the training documents as word ids, dealt to tasks by row hash and not by input split.
+
+    Rows that agree in id and text are told apart by their number in the split, so many of them are many deals."""
+    sent = training.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, seen = Ids(sent.value), Counter()
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            nth = np.array([seen[k] for k in keys if seen.update((k,)) is None], _U)
+            if len(seen) > 1_000_000:
+                seen = Counter({k: c for k, c in seen.items() if c > 1})
+            deal = mix(np.array(keys, np.int64).view(_U) + nth * _U(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(deal)), pa.array([ids.of(t).astype(np.uint16).tobytes() for t in raw_texts(batch.column("text"))], pa.binary())], names=["deal", "ids"])
+
+    return in_batches(training.select("key", "text"), run, "deal long, ids binary").repartition(tasks, "deal").sortWithinPartitions("deal")
+
+
+def train(training: DataFrame, head: Head, model: Gru, tokens: int = 0) -> Gru:
+    """The model, trained on (key, text). ``tokens`` of the training documents decide among how many tasks
+    they are dealt, so another layout of the input trains the same model."""
+    tasks = max(1, min(MOST_TASKS, -(-tokens // TAUGHT)))
     sent = training.sparkSession.sparkContext.broadcast((head, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, start = sent.value
         mine = Gru(head.word_counts, 1.0)
         mine.unpack(start.pack())
-        trainer, ids = Trainer(mine), Ids(head)
+        trainer = Trainer(mine)
         docs, size, seen, rate, blocks = [], 0, 0, trainer.full, 0
         for batch in batches:
-            for text in raw_texts(batch.column("text")):
-                docs.append(ids.of(text))
+            for ids in batch.column("ids").to_pylist():
+                docs.append(np.frombuffer(ids, np.uint16).astype(np.int32))
                 size += len(docs[-1])
                 if size >= TAUGHT:
                     seen += trainer.fit(docs, LANES)
@@ -170,15 +201,16 @@ def train(training: DataFrame, head: Head, model: Gru) -> Gru:
             return
         flat = mine.pack() * seen
         parts = [flat[i : i + BLOCK].astype(np.float64).tobytes() for i in range(0, len(flat), BLOCK)]
-        part = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], names=["block", "part", "seen", "weights"])
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task % 64] * len(parts), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], names=["block", "part", "task", "seen", "weights"])
 
     def add(pdf):
+        pdf = pdf.sort_values(["part", "task"])  # one order of sums
         total = sum(np.frombuffer(w, np.float64) for w in pdf["weights"])
-        return pdf.iloc[:1].assign(seen=pdf["seen"].sum(), weights=[total.tobytes()])[["block", "part", "seen", "weights"]]
+        return pdf.iloc[:1].assign(seen=pdf["seen"].sum(), weights=[total.tobytes()])[["block", "part", "task", "seen", "weights"]]
 
-    schema = "block int, part int, seen double, weights binary"
-    summed = in_batches(training.select("text"), run, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+    schema = "block int, part int, task int, seen double, weights binary"
+    summed = in_batches(dealt(training, head, tasks), run, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
     rows = sorted(summed.collect(), key=lambda r: r["block"])  # the size of the model
     if rows:
         model.unpack(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["seen"] for r in rows]))
@@ -244,7 +276,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     top = table.filter(F.col("c") >= least).toArrow()  # HEAD rows at most
     head = Head(top["name"].to_numpy().view(_U), top["c"].to_numpy(), VOCABULARY)
     rare_n, rare_v = n - int(head.word_counts.sum()), v - head.size
-    model = train(training, head, Gru(head.word_counts, float(rare_n)))
+    model = train(keyed.filter("NOT held_out"), head, Gru(head.word_counts, float(rare_n)), n)
     scored = settle(_passes(keyed, head, model), "scored")
 
     log_base, log_rare = math.log10(n + v + 1), math.log10(rare_n + rare_v + 1)
