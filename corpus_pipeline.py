@@ -14,33 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.llm import jaccard, mixing, sharding, tiling, toxicity
-from corpuskiln.llm.common import load, row_key, settle
-
-
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+from corpuskiln.llm.common import columns, fresh, load, row_key, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine doesn't call toxic. It learns from the
     labelled documents of the corpus, by the rule of the operator."""
     machine = toxicity.train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    judged = toxicity.score(docs.select("doc_id", "text").withColumn("_key", row_key()), machine) if len(names) < len(docs.columns) else toxicity.score(docs, machine)
-    if len(names) == len(docs.columns):
-        return judged.filter("predicted = 0").select(*_columns(docs))
-    bad = judged.filter("predicted = 1").select("_key").distinct()
-    return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").select(*_columns(docs))
+    score, predicted = fresh(docs, "score", "predicted")
+    return toxicity.score(docs, machine, (score, predicted)).filter(F.col(predicted) == 0).select(*columns(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays, the one of the least id (null last), then of the least key, and one
     of rows equal in id and text. Rows without words, which have no shingles, all stay."""
+    (key,) = fresh(docs, "key")
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
-    chosen = jaccard.similar(docs).filter("cls IS NOT NULL").groupBy("comp").agg(F.min(order)["key"].alias("_key")).select("_key")
+    chosen = jaccard.similar(docs).filter("cls IS NOT NULL").groupBy("comp").agg(F.min(order)["key"].alias(key)).select(key)
     worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    single = docs.filter(worded).withColumn("_key", row_key()).dropDuplicates(["_key"]).join(chosen, "_key", "left_semi")
-    return single.select(*_columns(docs)).unionByName(docs.filter(~worded))
+    single = docs.filter(worded).withColumn(key, row_key()).dropDuplicates([key]).join(chosen, key, "left_semi")
+    return single.select(*columns(docs)).unionByName(docs.filter(~worded))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

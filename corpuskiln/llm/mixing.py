@@ -16,8 +16,9 @@ many groups.  Buckets come from row hashes, so reruns agree on any layout.
 
 Defined cases: null text has size 0; a source of size 0 has target 0 and takes
 nothing; repeated rows are separate documents; an empty table gives an empty
-result; extra columns are ignored.  The totals of the sources (one row each)
-are the only thing the driver sees.
+result; extra columns are ignored by ``mix`` and kept by ``mixed``, whatever
+their names.  The number of sources may grow with the input (web hosts): their
+order and targets are found by Spark, the driver sees a few sums.
 """
 
 from __future__ import annotations
@@ -27,31 +28,48 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.common import load, settle
+from corpuskiln.llm.common import columns, fresh, load, settle, spread
 
 GROUP, FAN, LANDING = 2000, 64, 12
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (5, 2, 1)
+#: Times one row is repeated by one task.
+COPIES = 1000
 _EPS = 1e-9
 _OUTCOMES = ((np.arange(1 << LANDING)[:, None] >> np.arange(LANDING)) & 1).astype(np.float64)
 
 
-def targets(totals: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
-    names = sorted((s for s in totals if s is not None)) + [None] * (None in totals)  # str order is code-point order
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, active, out = share * sum(totals.values()), list(names), {}
-    while active:
-        total = sum(weight[s] for s in active)
-        above = [s for s in active if left * weight[s] / total > cap * totals[s]]
-        if not above:
-            out |= {s: left * weight[s] / total for s in active}
+def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(source, source_size, docs, target) from (source, source_size, docs), a row per source.
+
+    Sources get their place in the order from a range partitioning.  With L words a unit of weight, a source takes
+    L * weight or, if that is above it, its cap; L grows in rounds, one aggregation each, until no source passes
+    its cap any more - only sums of a round reach the driver."""
+    spark = totals.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]  # code points, null last
+    placed = totals.repartitionByRange(spread(totals), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = settle(placed.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}), "sources")
+    before, offsets = 0, []
+    for row in sorted(placed.groupBy("part").count().collect(), key=lambda r: r["part"]):  # one row per partition
+        offsets.append((row["part"], before % len(weights)))
+        before += row["count"]
+    offset = spark.createDataFrame(offsets, "part long, offset long")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("at") + F.col("offset"), F.lit(len(weights))).cast("int") + 1)
+    placed = settle(placed.join(F.broadcast(offset), "part").select("source", "source_size", "docs", weight.alias("weight")), "weights", after=(placed,))
+    most, words, unit, capped = F.col("source_size") * F.lit(float(cap)), None, 0.0, -1
+    while True:
+        above = most < F.lit(unit) * F.col("weight")
+        row = placed.agg(
+            F.sum("source_size").alias("all"), F.coalesce(F.sum(F.when(above, most)), F.lit(0.0)).alias("fixed"),
+            F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0)).alias("weight"), F.count(F.when(above, 1)).alias("capped"),
+        ).first()
+        words = share * (row["all"] or 0)
+        if row["capped"] == capped or not row["weight"]:
             break
-        out |= {s: cap * totals[s] for s in above}
-        left -= sum(out[s] for s in above)
-        active = [s for s in active if s not in out]
-    return out
+        unit, capped = (words - row["fixed"]) / row["weight"], row["capped"]
+    return placed.select("source", "source_size", "docs", F.least(most, F.lit(unit) * F.col("weight")).alias("target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, leave: int = LANDING) -> np.ndarray:
@@ -95,24 +113,32 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def _same(docs: DataFrame, names: list[str]) -> Column:
+    """A hash of these columns, nulls included."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    parts = []
+    for n in names:
+        c = F.col(f"`{n}`")
+        parts += [F.isnull(c), F.to_json(F.struct(c)) if "map<" in kinds[n].simpleString() else c]
+    return F.xxhash64(*parts)
+
+
+def mix(docs: DataFrame, like: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
     """(doc_id, source, key, nth, size, source_size, target, times, taken), a row per document.
-    ``key`` is a hash of id, text and source; ``nth`` numbers rows that agree in them."""
-    spark = docs.sparkSession
+    ``key`` is a hash of the columns ``like``; ``nth`` numbers rows that agree in them."""
     words = F.expr(r"size(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0))").cast("long")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    sized = docs.select("doc_id", "source", key.alias("key"), words.alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _same(docs, list(like)).alias("key"), words.alias("size"))
     sized = settle(sized.groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("copies")), "sized")
-    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.sum("copies").alias("docs")).collect()
-    totals = {r["source"]: r["n"] for r in found}
-    aim = targets(totals)
-    plan = [(r["source"], r["n"], aim[r["source"]], aim[r["source"]] / r["n"] if r["n"] else 0.0, max(1, -(-r["docs"] // GROUP))) for r in found]
-    sources = spark.createDataFrame(plan, "source string, source_size long, target double, ratio double, buckets long")
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("docs"))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / GROUP)).cast("long")
+    sources = settle(targets(settle(totals, "totals")).select("source", "source_size", "target", ratio.alias("ratio"), buckets.alias("buckets")), "sources")
     units = sized.withColumn("nth", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
-    units = units.join(F.broadcast(sources), units["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    # few sources are broadcast by Spark, which knows the size of the settled table; a hot one among many is split by it
+    units = units.join(sources, units["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     sure = F.least(F.floor(F.col("ratio") + _EPS), F.lit(int(CAP)))
     units = units.withColumns({"sure": sure, "p": F.greatest(F.lit(0.0), F.col("ratio") - sure), "bucket": F.pmod(F.xxhash64("key", "nth"), F.col("buckets"))}).drop("ratio")
-    most = max([row[4] for row in plan], default=1)
+    most = sources.agg(F.coalesce(F.max("buckets"), F.lit(1))).first()[0]
     schema = "source string, doc_id long, key long, size long, nth long, source_size long, target double, buckets long, sure long, p double, bucket long"
     cols = [c.split()[0] for c in schema.split(", ")]
 
@@ -146,17 +172,25 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it was taken."""
-    from pyspark.sql import Window
+    """The mix itself: rows of ``docs``, each as often as it was taken.
 
+    Rows that agree in all columns are one row that is taken so many times, so whole texts are shuffled once, with
+    equal rows combined in the task.  A row taken more than ``COPIES`` times is multiplied by several tasks."""
+    key, who, times, block = fresh(docs, "key", "who", "times", "block")
     names = docs.columns
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    keyed = docs.withColumn("_key", key)
-    order = [F.col(c) for c in names if c in ("lang", "n_chars")] or [F.lit(0)]
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    taken = mix(docs).filter("times > 0").select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), "times")
-    out = keyed.join(taken.withColumnRenamed("times", "_times"), ["_key", "_nth"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[f"`{c}`" for c in names])
+    lowest = F.lit(-(2**63))
+    one = docs.withColumns({key: _same(docs, names), who: F.coalesce(F.col("doc_id").cast("long"), lowest)}).dropDuplicates([key, who])
+    taken = mix(docs, tuple(names)).filter("times > 0").groupBy(F.col("key").alias(key), F.coalesce("doc_id", lowest).alias(who)).agg(F.sum("times").alias(times))
+    taken = settle(taken, "taken")
+    repeat = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    few = one.join(taken.filter(F.col(times) <= COPIES), [key, who])
+    out = few.withColumn(block, repeat(F.col(times))).select(*columns(docs))
+    many = taken.filter(F.col(times) > COPIES)
+    if many.isEmpty():
+        return out
+    blocks = one.join(many, [key, who]).withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / COPIES))))
+    blocks = blocks.repartition(spread(docs), key, block)
+    return out.unionByName(blocks.withColumn(block, repeat(F.least(F.lit(COPIES), F.col(times) - F.col(block) * COPIES))).select(*columns(docs)))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ and counts don't matter.  score = sigmoid(b + sum w_t + sum over pairs <v_s, v_t
 the factor part learns that two terms together (an insult and a group mention)
 mean more than each alone, which additive weights can't.  A term takes part if
 it stands in ``LEAST`` training rows and the 2x2 table of term and label has a
-chi-square of ``CHI``, or chance words would be learnt by heart; rows of the rarer label weigh more, by the root of the labels' ratio.
+chi-square of ``CHI``, or if it is half of a pair that says something else than
+its halves (``interacting``); other terms would be learnt by heart.  Rows of the rarer label weigh more, by the root of the labels' ratio.
 
 Training uses the labelled rows with crc32(doc_id) mod 3 not 1, rows equal in
 id and text once, at most about ``TRAIN_ROWS`` of them, picked by row hash (a
@@ -35,6 +36,8 @@ from corpuskiln.llm.common import id_crc, in_batches, load, raw_texts, row_key,
 DIM, RANK = 1 << 18, 8
 TRAIN_ROWS, EPOCHS, STEPS, BATCH = 20_000, 12, 3000, 64
 LEAST, CHI = 4, 12.0
+#: Terms among which pairs are tested, rows that must hold a pair, and its chi-square.
+PAIRED, PAIR_ROWS, PAIR_CHI = 2048, 8, 40.0
 REJECT = 0.7
 _EDGE = b" .,;:!?\"'()[]{}|<>*_-"
 
@@ -62,13 +65,41 @@ def terms(text: bytes | None) -> np.ndarray:
 
 
 def associated(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Which ids stand in enough documents and depend on the label."""
+    """Which ids stand in enough documents and depend on the label, alone or together with another one."""
     ids, y = np.concatenate(docs), np.repeat(labels, [len(d) for d in docs])
     both, pos = np.bincount(ids, minlength=DIM).astype(float), np.bincount(ids, y, DIM)
     n, p = float(len(labels)), float(labels.sum())
     neg, off = both - pos, (p - pos, (n - p) - (both - pos))
     chi = n * (pos * off[1] - neg * off[0]) ** 2 / np.maximum(1e-9, p * (n - p) * both * (n - both))
-    return (both >= LEAST) & (chi >= CHI)
+    held = (both >= LEAST) & (chi >= CHI)
+    held[interacting(docs, labels, both, pos)] = True
+    return held
+
+
+def interacting(docs: list[np.ndarray], labels: np.ndarray, both: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Ids of pairs whose label differs from what the two say one by one (their log-odds added up): an insult that
+    needs a group mention, or two words that are harmless together only.  Among the ``PAIRED`` most frequent ids."""
+    often = np.flatnonzero(both >= PAIR_ROWS)
+    often = often[np.lexsort((often, -both[often]))][:PAIRED]
+    at = np.full(DIM, -1)
+    at[often] = np.arange(len(often))
+    n = np.zeros((len(often), len(often)), np.float32)
+    hits = np.zeros_like(n)
+    for k in range(0, len(docs), 1024):
+        part, y = docs[k : k + 1024], labels[k : k + 1024].astype(np.float32)
+        x = np.zeros((len(part), len(often)), np.float32)
+        for i, d in enumerate(part):
+            mine = at[d]
+            x[i, mine[mine >= 0]] = 1
+        n += x.T @ x
+        hits += x.T @ (x * y[:, None])
+    odds = lambda p: np.log(p / (1 - p))
+    alone = odds((pos[often] + 0.5) / (both[often] + 1))
+    base = odds(np.clip(labels.mean(), 0.01, 0.99))
+    expect = np.clip(1 / (1 + np.exp(np.clip(base - alone[:, None] - alone[None, :], -30, 30))), 0.01, 0.99)
+    chi = (hits - n * expect) ** 2 / (n * expect * (1 - expect) + 1)
+    np.fill_diagonal(chi, 0)
+    return often[((n >= PAIR_ROWS) & (chi >= PAIR_CHI)).any(1)]
 
 
 class Machine:
@@ -148,18 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine
     return machine
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with score and predicted (1 from 0.7 on)."""
+def score(docs: DataFrame, machine: Machine, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with two more columns, the score and the prediction (1 from 0.7 on). Columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*[f"`{c}`" for c in names]).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in into])
+    schema = T.StructType(list(kept.schema.fields)).add(into[0], T.DoubleType()).add(into[1], T.IntegerType())
+    at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sent.value.score([terms(t) for t in raw_texts(batch.column("text"))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array((found >= REJECT).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            found = sent.value.score([terms(t) for t in raw_texts(batch.column(at))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array((found >= REJECT).astype(np.int32))], names=[*batch.schema.names, *into])
 
-    return in_batches(docs.select(*[f"`{c}`" for c in names]), run, schema)
+    return in_batches(kept, run, schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
