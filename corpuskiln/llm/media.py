@@ -6,7 +6,8 @@ table), one checksummed MPEG-1 Layer III mono frame for each 192 payload bytes
 (the format's unit here), and an ID3v1 tag.  Frames use two bitrates, so their
 sizes vary and seek offsets are not a multiplication.
 
-``decode`` knows nothing of ``encode``: it reads tags, finds frame headers by
+``decode`` knows nothing of ``encode``: it reads tags (ID3v1, v2.2 to v2.4 in their
+encodings), knows MPEG-1, 2 and 2.5 and both kinds of tables (Xing, VBRI), finds frame headers by
 resynchronising (a header counts if the next one stands where it says or the
 stream ends there; failing that, if the frame before led to it and its checksum
 holds), parses the table, verifies each frame's CRC-16 and
@@ -24,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +34,11 @@ from corpuskiln.llm.common import in_batches, load, raw_texts
 
 UNIT = 192
 RATE, SAMPLES = 48_000, 1152
-#: Fixed values of the format: kbit/s of MPEG-1 Layer III by header index.
+#: Fixed values of the format, Layer III: kbit/s by header index for MPEG-1 and for MPEG-2 and 2.5.
 KBITS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
-#: Fixed values of the format: samples a second of MPEG-1 by header index.
-RATES = (44_100, 48_000, 32_000)
+KBITS_LOW = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+#: Fixed values of the format: samples a second by header index for version bits 3 (MPEG-1), 2 (MPEG-2), 0 (MPEG-2.5).
+RATES = {3: (44_100, 48_000, 32_000), 2: (22_050, 24_000, 16_000), 0: (11_025, 12_000, 8_000)}
 SIDE = 17
 MAIN = 4 + 2 + SIDE
 SMALL, LARGE = 6, 7
@@ -52,28 +55,50 @@ def crc16(data: bytes) -> int:
     return crc
 
 
-def _header(index: int) -> bytes:
+def _own_header(index: int) -> bytes:
     # sync, MPEG-1, Layer III, with checksum | bitrate, 48 kHz, no padding | mono
     return bytes((0xFF, 0xFA, index << 4 | 1 << 2, 0xC0))
 
 
-def frame_size(header: bytes) -> int:
-    """Bytes of the frame a header announces; 0 if it isn't one of MPEG-1 Layer III."""
-    if len(header) < 4 or header[0] != 0xFF or header[1] & 0xFE != 0xFA:
-        return 0
-    index, rate, pad = header[2] >> 4, header[2] >> 2 & 3, header[2] >> 1 & 1
-    if index in (0, 15) or rate == 3:
-        return 0
-    return 144_000 * KBITS[index] // RATES[rate] + pad
+@dataclass(frozen=True)
+class Header:
+    """What a Layer III frame header says: bytes of the frame and of its side information, samples, rate, kbit/s, checksum."""
+
+    size: int
+    side: int
+    samples: int
+    rate: int
+    kbits: int
+    protected: bool
+
+
+@lru_cache(maxsize=4096)
+def header(data: bytes) -> Header | None:
+    """The header that four bytes are, or None: MPEG-1, 2 and 2.5, Layer III, of a stated bitrate."""
+    if len(data) < 4 or data[0] != 0xFF or data[1] & 0xE6 != 0xE2:
+        return None
+    version, index, rate, pad = data[1] >> 3 & 3, data[2] >> 4, data[2] >> 2 & 3, data[2] >> 1 & 1
+    if version == 1 or index in (0, 15) or rate == 3:
+        return None
+    full, mono = version == 3, data[3] >> 6 == 3
+    kbits, hertz = (KBITS if full else KBITS_LOW)[index], RATES[version][rate]
+    side = (17 if mono else 32) if full else (9 if mono else 17)
+    return Header((144_000 if full else 72_000) * kbits // hertz + pad, side, 1152 if full else 576, hertz, kbits, not data[1] & 1)
+
+
+def frame_size(data: bytes) -> int:
+    """Bytes of the frame a header announces; 0 if it isn't one."""
+    found = header(bytes(data[:4]))
+    return found.size if found else 0
 
 
 def _prefix(index: int) -> bytes:
-    head, side = _header(index), bytes(SIDE)
+    head, side = _own_header(index), bytes(SIDE)
     return head + crc16(head[2:] + side).to_bytes(2, "big") + side
 
 
 _PREFIX = {i: _prefix(i) for i in (SMALL, LARGE)}
-_SIZE = {i: frame_size(_header(i)) for i in (SMALL, LARGE)}
+_SIZE = {i: frame_size(_own_header(i)) for i in (SMALL, LARGE)}
 _TAIL = {i: bytes(_SIZE[i] - MAIN - UNIT) for i in (SMALL, LARGE)}
 
 
@@ -116,41 +141,81 @@ class Audio:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
+    samples: int = 0
+    rate: int = 0
 
-    @property
-    def samples(self) -> int:
-        return self.frames * SAMPLES
+
+def _text(raw: bytes) -> str:
+    """A text frame: its first byte names the encoding."""
+    kinds = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+    return raw[1:].decode(kinds.get(raw[0], "latin-1"), "replace").rstrip("\0") if raw else ""
+
+
+def _safe(b: bytes) -> int:
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+
+
+def tags_before(data: bytes, out: Audio) -> int:
+    """Reads an ID3v2 tag (2.2, 2.3 or 2.4) at the start; the place behind it."""
+    if data[:3] != b"ID3" or len(data) < 10:
+        return 0
+    version, flags = data[3], data[5]
+    stop, at = min(len(data), 10 + _safe(data[6:10])), 10
+    body = data[:stop].replace(b"\xff\x00", b"\xff") if flags & 0x80 and version < 4 else data  # unsynchronised as a whole
+    last = min(stop, len(body))
+    if flags & 0x40 and version > 2:  # an extended header; 2.4 counts its size field in
+        at += _safe(body[at : at + 4]) if version == 4 else 4 + int.from_bytes(body[at : at + 4], "big")
+    wide, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= last and body[at] != 0:
+        name, raw = body[at : at + wide], body[at + wide : at + 2 * wide]
+        n = _safe(raw) if version == 4 else int.from_bytes(raw, "big")
+        if name[:1] == b"T":
+            out.tags[name.decode("latin-1")] = _text(body[at + head : min(at + head + n, last)])
+        at += head + n
+    return min(len(data), stop + (10 if flags & 0x10 and version == 4 else 0))  # 2.4 may have a footer
+
+
+def table_of(frame: bytes, body: int, out: Audio) -> bool:
+    """Reads the table of a variable-bitrate stream, if the frame is one: 'Xing' or 'Info' behind the side information,
+    or 'VBRI' 32 bytes behind the header."""
+    if frame[body : body + 4] in (b"Xing", b"Info"):
+        flags, p = int.from_bytes(frame[body + 4 : body + 8], "big"), body + 8
+        if flags & 1:
+            out.table_frames, p = int.from_bytes(frame[p : p + 4], "big"), p + 4
+        if flags & 2:
+            out.table_bytes, p = int.from_bytes(frame[p : p + 4], "big"), p + 4
+        out.toc = frame[p : p + 100] if flags & 4 else b"-"
+        return True
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out.table_bytes, out.table_frames = struct.unpack(">II", frame[46:54])
+        entries, _, wide, _ = struct.unpack(">HHHH", frame[54:62])
+        out.toc = frame[62 : 62 + entries * wide] or b"-"
+        return True
+    return False
 
 
 def decode(data: bytes, unit: int = UNIT) -> Audio:
-    out, at, end = Audio(), 0, len(data)
-    if data[:3] == b"ID3" and end >= 10:
-        size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-        stop, at = min(end, 10 + size), 10
-        while at + 10 <= stop and data[at] != 0:
-            name, n = data[at : at + 4], data[at + 4] << 21 | data[at + 5] << 14 | data[at + 6] << 7 | data[at + 7]
-            if name[:1] == b"T":
-                out.tags[name.decode("latin-1")] = data[at + 11 : at + 10 + n].decode("utf-8", "replace")
-            at += 10 + n
-        at = stop
+    out, end = Audio(), len(data)
+    at = tags_before(data, out)
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags["v1"] = data[end + 3 : end + 33].rstrip(b"\0").decode("latin-1")
     sums: dict[bytes, int] = {}
     payload, led = [], False
     while at < end:
-        size = frame_size(data[at : at + 4])
-        following = at + size
-        leads = bool(size) and (following == end or following < end and frame_size(data[following : following + 4]) > 0)
-        protected = not data[at + 1] & 1 if size else False
-        body = at + 4 + 2 * protected + (SIDE if size and data[at + 3] >> 6 == 3 else 32)
+        found = header(data[at : at + 4])
+        following = at + (found.size if found else 0)
+        leads = found is not None and (following == end or following < end and header(data[following : following + 4]) is not None)
         holds = False
-        if protected:
-            covered = data[at + 2 : at + 4] + data[at + 6 : body]
-            want = sums.get(covered)
-            if want is None:
-                want = sums[covered] = crc16(covered)
-            holds = want == (data[at + 4] << 8 | data[at + 5])
+        body = at
+        if found:
+            body = at + 4 + 2 * found.protected + found.side
+            if found.protected:
+                covered = data[at + 2 : at + 4] + data[at + 6 : body]
+                want = sums.get(covered)
+                if want is None:
+                    want = sums[covered] = crc16(covered)
+                holds = want == (data[at + 4] << 8 | data[at + 5])
         if not leads and not (led and holds and following <= end):
             nxt = data.find(b"\xff", at + 1, end)  # resynchronise
             nxt = nxt if nxt >= 0 else end
@@ -158,18 +223,13 @@ def decode(data: bytes, unit: int = UNIT) -> Audio:
             at, led = nxt, False
             continue
         led = leads
-        out.bad_checksums += protected and not holds
-        if not out.frames and not out.toc and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, p = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
-            if flags & 1:
-                out.table_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            if flags & 2:
-                out.table_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            out.toc = data[p : p + 100] if flags & 4 else b"-"
-        else:
+        out.bad_checksums += found.protected and not holds
+        if out.frames or out.toc or not table_of(data[at:following], body - at, out):
             out.frames += 1
+            out.samples += found.samples
+            out.rate = out.rate or found.rate
             out.offsets.append(at)
-            out.kbits.append(KBITS[data[at + 2] >> 4])
+            out.kbits.append(found.kbits)
             payload.append(data[body : body + unit])
         at = following
     out.payload = b"".join(payload)
@@ -180,7 +240,7 @@ def feature(audio: Audio) -> str:
     """Duration in exact samples, bitrates, checksums, table and a digest of all seek offsets."""
     seek = hashlib.sha256(struct.pack(f">{len(audio.offsets)}I", *audio.offsets)).hexdigest()[:16]
     mean = sum(audio.kbits) / max(1, len(audio.kbits))
-    return f"samples={audio.samples};ms={audio.samples * 1000 // RATE};frames={audio.frames};kbits={mean:.3f};bad={audio.bad_checksums};skipped={audio.skipped};table={audio.table_frames},{audio.table_bytes};seek={seek}"
+    return f"samples={audio.samples};ms={audio.samples * 1000 // (audio.rate or RATE)};frames={audio.frames};kbits={mean:.3f};bad={audio.bad_checksums};skipped={audio.skipped};table={audio.table_frames},{audio.table_bytes};seek={seek}"
 
 
 def padded(text: bytes | None) -> bytes:
