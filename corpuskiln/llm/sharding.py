@@ -4,7 +4,9 @@ A document's hash is 60 bits of md5 over id and text digest.  The directory is
 grown by rounds: bytes are summed by the next ``STEP`` prefix bits (map-side
 combined, so a hot prefix is one row per task), and each bucket above the limit
 splits on one more bit until it fits.  Only documents in buckets that are still
-too large after a round take part in the next, with the following bits.
+too large after a round take part in the next, with the following bits.  Leaves
+are found for the hashes alone; texts are joined once, with a broadcast table
+while one round is enough.
 
 A bucket that can't be split - a single document above the limit, or rows equal
 in id and text - becomes a shard of its own at full depth with ``oversized``
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.common import load, settle
+from corpuskiln.llm.common import columns, fresh, load, settle
 
 BITS, STEP = 60, 12
 LIMIT = 1 << 20
@@ -69,19 +71,41 @@ def directory(sized: DataFrame, limit: int) -> list[DataFrame]:
     return rounds
 
 
+def leaves(sized: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """The leaf (prefix or bits, depth, docs, bytes) of each hash, and whether it is found by the first ``STEP`` bits.
+
+    A directory of one round has 2**STEP leaves at most.  A deeper one is resolved on distinct hashes, which are
+    narrow, round by round; texts aren't touched."""
+    rounds = directory(sized, limit)
+    named = [p.filter("depth IS NOT NULL").select("prefix", F.struct("depth", "shard_docs", "shard_bytes").alias("leaf")) for p in rounds]
+    if len(named) == 1:
+        return named[0].select(F.col("prefix").alias("at"), "leaf.*"), True
+    open_, found = sized.select("bits").distinct(), None
+    for i, part in enumerate(named):
+        prefix = F.shiftright("bits", BITS - STEP * (i + 1))
+        met = open_.join(F.broadcast(part) if i == 0 else part, prefix == part["prefix"], "left").drop("prefix")
+        met = settle(met, "placed")
+        here = met.filter("leaf IS NOT NULL").select(F.col("bits").alias("at"), "leaf.*")
+        found = here if found is None else found.unionByName(here)
+        open_ = met.filter("leaf IS NULL").select("bits")
+    return found, False
+
+
 def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``docs`` with shard_id (the prefix bits as text), depth, shard_docs, shard_bytes, oversized."""
     docs = docs.drop(*ADDED)
     sized = settle(docs.select(hash_bits().alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "sized")
-    out = docs.withColumn("_bits", hash_bits()).withColumns({"_depth": F.lit(None).cast("int"), "_docs": F.lit(None).cast("long"), "_bytes": F.lit(None).cast("long")})
-    for i, parts in enumerate(directory(sized, limit)):
-        leaves = parts.filter("depth IS NOT NULL").select(F.col("prefix").alias("_prefix"), F.col("depth").alias("_d"), F.col("shard_docs").alias("_n"), F.col("shard_bytes").alias("_b"))
-        if i == 0:  # 2**STEP rows at most, whatever the input
-            leaves = F.broadcast(leaves)
-        out = out.join(leaves, F.shiftright("_bits", BITS - STEP * (i + 1)) == F.col("_prefix"), "left")
-        out = out.withColumns({"_depth": F.coalesce("_depth", "_d"), "_docs": F.coalesce("_docs", "_n"), "_bytes": F.coalesce("_bytes", "_b")}).drop("_prefix", "_d", "_n", "_b")
-    name = F.substring(F.lpad(F.bin("_bits"), BITS, "0"), F.lit(1), F.col("_depth"))
-    return out.withColumns({"shard_id": name, "depth": F.col("_depth"), "shard_docs": F.col("_docs"), "shard_bytes": F.col("_bytes"), "oversized": F.col("_bytes") > limit}).drop("_bits", "_depth", "_docs", "_bytes")
+    found, shallow = leaves(sized, limit)
+    bits, at, depth, n, size = fresh(docs, "bits", "at", "leaf_depth", "leaf_docs", "leaf_bytes")
+    found = found.toDF(at, depth, n, size)
+    hashed = docs.withColumn(bits, hash_bits())
+    if shallow:
+        out = hashed.join(F.broadcast(found), F.shiftright(bits, BITS - STEP) == found[at])
+    else:
+        out = hashed.join(found, hashed[bits] == found[at])
+    name = F.substring(F.lpad(F.bin(bits), BITS, "0"), F.lit(1), F.col(depth))
+    added = (name.alias("shard_id"), F.col(depth).alias("depth"), F.col(n).alias("shard_docs"), F.col(size).alias("shard_bytes"), (F.col(size) > limit).alias("oversized"))
+    return out.select(*columns(docs), *added)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
