@@ -33,19 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskiln.llm.common import Names, in_batches, load, raw_texts, row_key, window_prints
+from corpuskiln.llm.common import WORD_NAMES, columns, fresh, in_batches, load, raw_texts, row_key, settle, window_prints
 
 LEAST, THRESHOLD = 5, 0.5
 BLOCK_BYTES = 16 << 20
+#: Pairs of equal windows that a task holds at once.
+PAIRS = 2_000_000
 _WORD = re.compile(r"\w+")
-_NAMES = Names()
 _SIEVE = 1 << 22
 
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType())]))
 
 
 def word_names(text: bytes | None) -> np.ndarray:
-    return _NAMES.of(_WORD.findall((text or b"").decode().casefold()))
+    return WORD_NAMES.of(_WORD.findall((text or b"").decode().casefold()))
 
 
 class Seeds:
@@ -69,17 +70,49 @@ class Seeds:
         if not len(maybe):
             return []
         lo, hi = np.searchsorted(self.prints, prints[maybe], "left"), np.searchsorted(self.prints, prints[maybe], "right")
-        spots = np.repeat(maybe, hi - lo)
-        at = np.repeat(lo, hi - lo) + np.arange(len(spots)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        maybe, lo, hi = maybe[hi > lo], lo[hi > lo], hi[hi > lo]
         found = []
-        item = self.item[at]
-        for i in np.unique(item):
-            mine = item == i
+        if (hi - lo).sum() <= PAIRS:
+            spots = np.repeat(maybe, hi - lo)
+            at = np.repeat(lo, hi - lo) + np.arange(len(spots)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+            item = self.item[at]
+            for i in np.unique(item):
+                mine = item == i
+                found.append((i, matches(self.place[at[mine]], spots[mine], self.least)))
+        else:  # repetitive texts: item by item, some diagonals at a time
+            shared = np.zeros(len(self.items), bool)
+            for a, b in zip(lo.tolist(), hi.tolist()):
+                shared[self.item[a:b]] = True
+            order = np.argsort(prints[maybe], kind="stable")
+            found = [(i, long_matches(window_prints(self.items[i][1], self.least), prints[maybe][order], maybe[order], len(names), self.least)) for i in np.flatnonzero(shared)]
+        out = []
+        for i, runs in found:
             item_id, words = self.items[i]
-            covered, tiles = tile(matches(self.place[at[mine]], spots[mine], self.least), len(words), self.least)
+            covered, tiles = tile(runs, len(words), self.least)
             if tiles:
-                found.append((item_id, covered / len(words), tiles))
-        return sorted(found)
+                out.append((item_id, covered / len(words), tiles))
+        return sorted(out)
+
+
+def long_matches(item: np.ndarray, prints: np.ndarray, spots: np.ndarray, words: int, least: int) -> list[tuple[int, int, int]]:
+    """``matches`` of one item and the sorted ``prints`` of a document, without holding more than about ``PAIRS``
+    pairs of places: diagonals (spot - place) are taken in stretches, and no match spans two diagonals."""
+    lo, hi = np.searchsorted(prints, item, "left"), np.searchsorted(prints, item, "right")
+    places = np.flatnonzero(hi > lo)
+    if not len(places):
+        return []
+    out, at, step = [], -len(item), max(1, PAIRS // len(places))
+    while at < words:
+        stop = at + step  # a place has one spot per diagonal at most
+        place, spot = [], []
+        for p in places.tolist():
+            mine = spots[lo[p] : hi[p]]  # ascending
+            mine = mine[np.searchsorted(mine, p + at) : np.searchsorted(mine, p + stop)]
+            place.append(np.full(len(mine), p))
+            spot.append(mine)
+        out += matches(np.concatenate(place), np.concatenate(spot), least)
+        at = stop
+    return out
 
 
 def matches(place: np.ndarray, spot: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -96,8 +129,8 @@ def tile(found: list[tuple[int, int, int]], words: int, least: int) -> tuple[int
     heap = [(-n, p, s) for n, p, s in found]
     heapq.heapify(heap)
     item, text = bytearray(words), defaultdict(bool)
-    tiles = 0
-    while heap:
+    tiles, left = 0, words
+    while heap and left >= least:
         n, p, s = heapq.heappop(heap)
         free, run = [], 0
         for k in range(-n + 1):
@@ -110,54 +143,57 @@ def tile(found: list[tuple[int, int, int]], words: int, least: int) -> tuple[int
         if free and free[0][0] == -n:
             for k in range(-n):
                 item[p + k], text[s + k] = 1, True
-            tiles += 1
+            tiles, left = tiles + 1, left + n
         else:
             for run, k in free:
                 heapq.heappush(heap, (-run, p + k, s + k))
     return sum(item), tiles
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
-    """``docs`` with ``_hits``: every item that shares a tile with the text."""
+def _pass(docs: DataFrame, items: list[tuple[int, bytes]], into: str) -> DataFrame:
+    """``docs`` with a column of every item that shares a tile with the text."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
     ready: list[Seeds] = []
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ready:
             ready.append(Seeds(sent.value))
         for batch in batches:
-            hits = [[{"item_id": i, "coverage": c, "tiles": n} for i, c, n in ready[0].hits(word_names(t))] for t in raw_texts(batch.column("text"))]
+            hits = [[{"item_id": i, "coverage": c, "tiles": n} for i, c, n in ready[0].hits(word_names(t))] for t in raw_texts(batch.column(at))]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=[*batch.schema.names, "_hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=[*batch.schema.names, into])
 
-    return in_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_hits", HITS)]))
+    return in_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(into, HITS)]))
 
 
-def tiled(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_hits`` against the whole benchmark."""
+def tiled(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, into: str = "_hits") -> DataFrame:
+    """``docs`` with its hits against the whole benchmark, in a column whose name must be free."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     weight = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-weight // block_bytes))
     if blocks == 1:
-        return _pass(docs, [(r[0], r[1].encode()) for r in bench.collect()])
+        return _pass(docs, [(r[0], r[1].encode()) for r in bench.collect()], into)
     at = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    keyed, found = docs.withColumn("_key", row_key()), None
+    keyed, found = docs.select("text", row_key().alias("key")), None
     for b in range(blocks):
         items = [(r[0], r[1].encode()) for r in bench.filter(at == b).collect()]
-        part = _pass(keyed.select("_key", "text"), items).filter(F.size("_hits") > 0).select("_key", F.explode("_hits").alias("_hit"))
+        part = _pass(keyed, items, "hits").filter(F.size("hits") > 0).select("key", F.explode("hits").alias("hit"))
         found = part if found is None else found.unionByName(part)
-    per_doc = found.distinct().groupBy("_key").agg(F.sort_array(F.collect_list("_hit")).alias("_hits"))
-    out = keyed.join(per_doc, "_key", "left").drop("_key")
-    return out.withColumn("_hits", F.coalesce("_hits", F.array().cast(HITS)))
+    key, mine = fresh(docs, "key", "hits")
+    per_doc = settle(found.distinct().groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list("hit")).alias(mine)), "hits")
+    out = docs.withColumn(key, row_key()).join(per_doc, key, "left")
+    return out.select(*columns(docs), F.coalesce(F.col(mine), F.array().cast(HITS)).alias(into))
 
 
-def _leaks(threshold: float):
-    return F.filter("_hits", lambda h: h["coverage"] >= threshold)
+def _leaks(threshold: float, hits: str = "_hits"):
+    return F.filter(F.col(hits), lambda h: h["coverage"] >= threshold)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without contaminated ones, columns as they were."""
-    return tiled(docs, benchmark).filter(F.size(_leaks(threshold)) == 0).select(*[f"`{c}`" for c in docs.columns])
+    (hits,) = fresh(docs, "_hits")
+    return tiled(docs, benchmark, into=hits).filter(F.size(_leaks(threshold, hits)) == 0).select(*columns(docs))
 
 
 def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
