@@ -110,7 +110,7 @@ class Names(dict):
     """word -> 64-bit name.  The same word has the same name in every task; the
     cache is emptied when full, which only costs time."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         super().__init__()
         self.most = most
 
@@ -124,6 +124,10 @@ class Names(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One cache for all operators: a Python worker serves several of them in turn.
+WORD_NAMES = Names()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.common import Names, in_batches, load, mix, raw_texts, row_key, settle, signed, spread, window_prints
+from corpuskiln.llm.common import WORD_NAMES, in_batches, load, mix, raw_texts, row_key, settings, settle, signed, spread, window_prints
 from corpuskiln.llm.components import components
 
 SIZE, PERCENT = 5, 80
@@ -52,7 +52,6 @@ LEAST_BITS, MOST_BITS = 1 << 9, 1 << 14
 DRAWS, SIDE = 12, 256
 #: Rows of a tile up to which it is one row, held in memory.
 TILE_ROWS = 4096
-_NAMES = Names()
 _U = np.uint64
 
 
@@ -60,7 +59,7 @@ def shingle_sets(texts: list[bytes | None], size: int = SIZE) -> list[np.ndarray
     """Sorted distinct prints of the shingles of each text."""
     words = [(t or b"").lower().split() for t in texts]  # bytes.lower touches A-Z alone
     counts = np.array([len(w) for w in words], np.int64)
-    names = _NAMES.of(list(chain.from_iterable(words)))
+    names = WORD_NAMES.of(list(chain.from_iterable(words)))
     prints = window_prints(names, size)
     out, at = [], 0
     for n in counts.tolist():
@@ -233,14 +232,14 @@ def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, text) of the wanted documents. Where few are wanted, Spark's runtime filter (a Bloom
+    """(key, text) of the wanted documents, settled. Where few are wanted, Spark's runtime filter (a Bloom
     filter of fixed size) drops other texts before the shuffle."""
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "256MB")
-    return docs.select("key", "text").join(wanted.filter("n > 0").select("key"), "key")
+    with settings(docs.sparkSession, **BLOOM):
+        return settle(docs.select("key", "text").join(wanted.filter("n > 0").select("key"), "key").dropDuplicates(["key"]), "texts", after=(wanted,))
 
 
+#: Settings under which the join for texts gets its runtime filter.
+BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "1MB", "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "256MB"}
 PAIRS = "a long, b long, ka long, kb long, na long"
 
 
@@ -267,7 +266,7 @@ def verified(maybe: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     maybe = settle(maybe, "maybe")
     wanted = maybe.select(F.col("ka").alias("key"), F.col("na").alias("n")).unionByName(maybe.select(F.col("kb").alias("key"), F.col("na").alias("n")))
     wanted = settle(wanted.groupBy("key").agg(F.max("n").alias("n")), "wanted")
-    texts = settle(texts_of(docs, wanted).dropDuplicates(["key"]), "texts")
+    texts = texts_of(docs, wanted)
     both = maybe.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +278,7 @@ def verified(maybe: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return in_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long")
+    return settle(in_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long"), "links", after=(maybe, texts))
 
 
 def distances(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes], percent: int) -> np.ndarray:
@@ -357,11 +356,12 @@ def open_pairs(tile: DataFrame, part: DataFrame, classes: DataFrame, percent: in
     """Pairs of classes that share a tile, stand in different components of ``part`` and may link, with a
     document of each; and the tiles that hold several components."""
     placed = tile.select("tile", "cls", "n").join(part, "cls")
-    split = placed.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("tile")
-    placed = settle(placed.join(split, "tile"), "split-tiles")
+    # what a tile's rows are joined with is settled: Spark then knows its size, and a small one costs no deal by tile
+    split = settle(placed.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("tile"), "split")
+    placed = settle(placed.join(split, "tile"), "split-tiles", after=(split,))
     weight = placed.groupBy("tile", "comp").agg(F.count("*").alias("w"))
-    major = weight.groupBy("tile").agg(F.max(F.struct("w", "comp"))["comp"].alias("major"))
-    minor = settle(placed.join(major, "tile").filter("comp != major"), "minor")
+    major = settle(weight.groupBy("tile").agg(F.max(F.struct("w", "comp"))["comp"].alias("major")), "major")
+    minor = settle(placed.join(major, "tile").filter("comp != major"), "minor", after=(major,))
     several = minor.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("tile")
     in_tile = minor.join(several, "tile").select(F.col("tile").alias("grp"), "cls", "n", "comp")
     # groups of two kinds in one pass; should names of the two ever meet, pairs are compared in vain
@@ -385,12 +385,11 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = settle(firsts, "classes")
 
     stars = tile.filter("pivot IS NOT NULL").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    links = settle(verified(bounded(stars, firsts, percent), keyed, percent), "links")
-    comp = components(links)
+    comp = components(verified(bounded(stars, firsts, percent), keyed, percent))
     part = settle(shared.join(comp, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("comp", "cls").alias("comp")), "components")
     for nearest in (True, False):  # tiles whose classes are in different components, completed
         pairs, tile = open_pairs(tile, part, firsts, percent, nearest)
-        more = settle(verified(pairs, keyed, percent), "links")
+        more = verified(pairs, keyed, percent)
         lifted = more.join(part.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(part.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
         merged = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         part = settle(part.join(merged, part["comp"] == merged["node"], "left").select("cls", F.coalesce(merged["comp"], part["comp"]).alias("comp")), "components")

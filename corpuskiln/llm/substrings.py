@@ -39,13 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.common import Names, in_batches, inverse, load, mix, powers, raw_texts, row_key, settle, signed
+from corpuskiln.llm.common import WORD_NAMES, in_batches, inverse, load, mix, powers, raw_texts, row_key, settle, signed
 
 WIDTH, ROUNDS = 35, 3
 #: Words of one piece of work inside a task.
 PIECE = 400_000
 _BASE = 0x9E3779B97F4A7C15
-_NAMES = Names()
 _U = np.uint64
 #: The largest index of a symbol in a piece; a text of Spark is too short to have more.
 _LAST = _U((1 << 32) - 1)
@@ -167,11 +166,15 @@ def anchors(names: np.ndarray, lengths: np.ndarray, width: int = WIDTH, rounds:
     return doc[a], a - first[doc[a]], b - first[doc[a]], name, wording
 
 
+def names_of(text: bytes | None) -> np.ndarray:
+    return WORD_NAMES.of((text or b"").split())
+
+
 def _pieces(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Names of consecutive texts, about PIECE words at a time: (first text, names, lengths)."""
     at, held, total = 0, [], 0
     for i, text in enumerate(texts):
-        held.append(_NAMES.of((text or b"").split()))
+        held.append(names_of(text))
         total += len(held[-1])
         if total >= PIECE or i == len(texts) - 1:
             yield at, np.concatenate(held), np.array([len(x) for x in held])
@@ -202,7 +205,7 @@ def window_rows(docs: DataFrame, opened: DataFrame, width: int) -> DataFrame:
             for key, text, rows in zip(batch.column("key").to_pylist(), raw_texts(batch.column("text")), batch.column("rows")):
                 flat = rows.values.flatten()
                 name, a, b, alone = (x.to_numpy(zero_copy_only=False) for x in flat)
-                prints = Prints(_NAMES.of((text or b"").split()))
+                prints = Prints(names_of(text))
                 size = b - a + 1
                 row = np.repeat(np.arange(len(a)), size)
                 p = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + a[row]).astype(np.int64)
