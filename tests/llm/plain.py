@@ -72,9 +72,26 @@ def line_dedup(docs, least=20, documents=3):
 
 
 def unigram(docs, held_out):
+    spoken = [(d, words(low(t)) + [None]) for d, t in docs]  # None: the end
     c = Counter()
-    for d, t in docs:
+    for d, ws in spoken:
         if not held_out(d):
-            c.update(words(t) + [None])
+            c.update(ws)
     n, v = sum(c.values()), len(c)
-    return [(d, held_out(d), len(words(t)) + 1, sum(c[w] > 0 for w in words(t) + [None]), n, sum(log10((c[w] + 1) / (n + v + 1)) for w in words(t) + [None])) for d, t in docs]
+    return [(d, held_out(d), len(ws), sum(c[w] > 0 for w in ws), n, sum(log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in spoken]
+
+
+def targets(totals, weights=(5, 2, 1), share=1.5, cap=2.0):
+    names = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, active, out = share * sum(totals.values()), list(names), {}
+    while active:
+        total = sum(weight[s] for s in active)
+        above = [s for s in active if left * weight[s] / total > cap * totals[s]]
+        if not above:
+            out |= {s: left * weight[s] / total for s in active}
+            break
+        out |= {s: cap * totals[s] for s in above}
+        left -= sum(out[s] for s in above)
+        active = [s for s in active if s not in out]
+    return out

@@ -109,13 +109,27 @@ def test_distances_of_blocks():
                 assert 0 <= got[i, j] <= len(np.setxor1d(x, y))
 
 
-@pytest.mark.parametrize("limit", [linededup.BROADCAST_BYTES, 0])
-def test_line_dedup(docs, limit):
+@pytest.mark.parametrize("limit, shard, group", [(linededup.BROADCAST_BYTES, 200_000, 10), (1 << 20, 5, 10), (0, 200_000, 500_000), (0, 5, 2)])
+def test_line_dedup(docs, limit, shard, group, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard)
+    monkeypatch.setattr(linededup, "GROUP_PROBES", group)
     got = linededup.dedup_lines(docs, keep_text=False, broadcast_bytes=limit).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
     same(got, plain.line_dedup(corpus()))
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_line_shard_needs_fingerprint_and_count():
+    keys, documents = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 3
+    counts, keepers = np.arange(4000) % 5, np.arange(4000) * 10
+    levels, rest = mphf.build(keys)
+    order = np.argsort(mphf.Slots(levels, rest)(keys))
+    row = {"levels": levels, "rest": rest, "prints": linededup.prints(keys[order]).tobytes(), "counts": np.minimum(counts[order], documents).astype(np.uint8).tobytes(), "keepers": keepers[order][counts[order] >= documents].tobytes()}
+    shard = linededup.Shard(row, documents)
+    assert np.array_equal(shard.dropped(keys, keepers + (np.arange(4000) % 2)), (counts >= 3) & (np.arange(4000) % 2 == 1))
+    assert not shard.dropped(keys + np.uint64(1), keepers + 1).any()  # lines that aren't in the index
+    assert sum(len(x) for x in levels) < 4000  # packed bits
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 100_000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
     slots = mphf.Slots(*mphf.build(keys))(keys)
@@ -136,6 +150,7 @@ def test_sharding(docs):
         assert r.oversized == (r.shard_bytes > 2000) and (not r.oversized or r.depth == sharding.BITS)
     names = sorted(weight)
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))  # no shard inside another
+    assert max(map(len, names)) > sharding.STEP  # a directory of several rounds
     for name in names:  # a parent would not have fitted
         if name and not name.startswith("x"):
             assert sum(sum(v) for k, v in weight.items() if k.startswith(name[:-1])) > 2000
@@ -164,6 +179,28 @@ def crc(d):
     return zlib.crc32(str(d).encode()) if d is not None else 0
 
 
+def test_language_model_counts_lower_case(docs):
+    duckdb = pytest.importorskip("duckdb")
+    spoken = docs.select("doc_id", "text").toArrow()  # noqa: F841
+    want = duckdb.sql(r"""
+      WITH t AS (SELECT row_number() OVER () AS k, doc_id, doc_id IS NOT NULL AND held AS held, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS ws
+                 FROM (SELECT *, list_contains(getvariable('out_ids'), doc_id) AS held FROM spoken)),
+      w AS (SELECT k, doc_id, held, unnest(ws) AS w FROM t), c AS (SELECT w, count(*) AS c FROM w WHERE NOT coalesce(held, false) GROUP BY w)
+      SELECT doc_id, count(*), count(c), (SELECT sum(c) FROM c), sum(log10((coalesce(c, 0) + 1) / ((SELECT sum(c) FROM c) + 1 + (SELECT count(*) FROM c)))) FROM w LEFT JOIN c USING (w) GROUP BY k, doc_id
+    """.replace("getvariable('out_ids')", str([d for d, _ in corpus() if d is not None and crc(d) % 7 == 2] or "[]::BIGINT[]"))).fetchall()
+    key = lambda r: (str(r[0]), *r[1:3], round(r[4], 4))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.lm_scores(docs).collect()), key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want, key=key)):
+        assert g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-6 * abs(w[4]) + 1e-9
+
+
+def test_language_model_ignores_the_layout(docs):
+    key = lambda r: (str(r[0]), r[1], r[2])
+    one, two = (sorted(((r.doc_id, r.base_score, r.score) for r in lm.lm_scores(d).collect()), key=key) for d in (docs, docs.coalesce(1).repartition(7, F.col("text"))))
+    assert [x[0] for x in one] == [x[0] for x in two] and np.allclose([x[2] for x in one], [x[2] for x in two], rtol=1e-6)
+
+
 @pytest.mark.parametrize("head", [lm.HEAD, 16])
 def test_language_model(docs, head, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", head)
@@ -200,20 +237,22 @@ def test_gru_gradient():
     model.iw += rng.standard_normal(model.iw.shape).astype(np.float32)
     model.cw += rng.standard_normal(model.cw.shape).astype(np.float32)
     inputs, targets = rng.integers(0, 4, (5, 3)), rng.integers(0, 4, (5, 3))
+    inputs[2, 1] = inputs[3, 2] = model.start  # documents that begin inside the window
+    model.u += rng.standard_normal(model.u.shape).astype(np.float32)
     live, seen = np.ones((5, 3), bool), {}
     t = Trainer(model)
     t._move = lambda grad: seen.update(grad)
-    zero = np.zeros((3, 16), np.float32)
+    zero = rng.standard_normal((3, 16)).astype(np.float32)
     t.window(zero, inputs, targets, live)
 
     def loss():
         h, out = zero, 0.0
         for k in range(5):
-            h = model.step(h, inputs[k])[0]
+            h = model.step(h * (inputs[k] != model.start)[:, None].astype(np.float32), inputs[k])[0]
             out -= model.log_probs(h, targets[k]).sum()
         return out / 15
 
-    for name, at in (("u", (3, 20)), ("x", (int(inputs[2, 1]), 40)), ("cw", (2, 0)), ("iw", (0, 4, 1)), ("cb", (1,))):
+    for name, at in (("u", (3, 20)), ("x", (int(inputs[1, 1]), 40)), ("cw", (2, 0)), ("iw", (0, 4, 1)), ("cb", (1,))):
         a = getattr(model, name)
         old = a[at]
         a[at] = old + 1e-2
@@ -224,9 +263,13 @@ def test_gru_gradient():
         assert abs((up - down) / 2e-2 - seen[name][at]) < 2e-3, name
 
 
-def test_targets():
-    got = mixing.targets({"b": 100, "a": 10, None: 40, "c": 0})
-    assert abs(sum(got.values()) - 225) < 1e-9 and got["a"] == 20 and got["c"] == 0 and got["b"] <= 200 and got[None] <= 80
+@pytest.mark.parametrize("totals", [{"b": 100, "a": 10, None: 40, "c": 0}, {}, {"x": 0}, {None: 7}, {f"s{i:03}": i * i for i in range(150)}])
+def test_targets(spark, totals):
+    rows = [(s, n, 1) for s, n in totals.items()]
+    got = mixing.targets(spark.createDataFrame(rows, "source string, source_size long, docs long")).collect()
+    want = plain.targets(totals)
+    assert {r.source for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) for r in got)
 
 
 def test_mixing(docs):
@@ -241,7 +284,38 @@ def test_mixing(docs):
     for rs in by.values():
         assert rs[0].source_size == sum(r["size"] for r in rs)
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r["size"] for r in rs)
-    assert mixing.mixed(docs).count() == sum(r.times for r in rows)
+    want = plain.targets({s: rs[0].source_size for s, rs in by.items()})
+    assert all(abs(rs[0].target - want[s]) < 1e-6 for s, rs in by.items())
+
+
+@pytest.mark.parametrize("copies", [mixing.COPIES, 3])
+def test_mix_repeats_rows(spark, copies, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rows = [(1, "a b c", "s", 7)] * 50 + [(1, "a b c", "s", 8)] + [(i, "w " * (i % 9), "s", i) for i in range(40)] + [(None, None, None, None)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, key long").repartition(5)
+    out = [tuple(r) for r in mixing.mixed(d).collect()]
+    assert set(out) <= set(rows) and all(out.count(x) <= 2 * rows.count(x) for x in set(rows))
+    size = sum(len((r[1] or "").split()) for r in rows)
+    assert abs(sum(len((r[1] or "").split()) for r in out) - 1.5 * size) <= 9
+
+
+def test_landing_is_the_nearest_outcome():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        k = rng.integers(1, 9)
+        p, size = rng.uniform(0.05, 0.95, k), rng.integers(0, 500, k)
+        off = lambda x: round(abs(float(np.dot(x, size) - p @ size)), 6)
+        every = [[n >> i & 1 for i in range(k)] for n in range(1 << k)]
+        assert off(mixing.landing(p, size)) == min(map(off, every))
+
+
+def test_cube_keeps_probabilities():
+    """Over many seeds a document is taken as often as its probability says."""
+    size, p = np.random.default_rng(3).integers(1, 400, 40), np.linspace(0.1, 0.9, 40)
+    taken = np.mean([mixing.flight(p, size, np.random.default_rng(i), 2) for i in range(800)], axis=0)
+    assert np.abs(taken - p).max() < 0.08
+
+
 
 
 def test_flight_keeps_both_totals():
@@ -323,6 +397,27 @@ def test_tile_by_brute_force():
         assert got == (len(ma), tiles)
 
 
+def test_long_matches_in_stretches(monkeypatch):
+    r = random.Random(8)
+    for size in (1, 7, 10**6):
+        monkeypatch.setattr(tiling, "PAIRS", size)
+        for _ in range(25):
+            a, b = (np.array([ord(r.choice("ab")) for _ in range(r.randint(5, 40))], np.uint64) for _ in range(2))
+            pa_, pb = tiling.window_prints(a, 3), tiling.window_prints(b, 3)
+            pairs = np.array([(i, j) for i, x in enumerate(pa_) for j, y in enumerate(pb) if x == y], int).reshape(-1, 2)
+            order = np.argsort(pb, kind="stable")
+            assert sorted(tiling.long_matches(pa_, pb[order], order, len(b), 3)) == sorted(tiling.matches(pairs[:, 0], pairs[:, 1], 3))
+
+
+@pytest.mark.parametrize("pairs", [tiling.PAIRS, 10])
+def test_tiling_of_repetitive_texts(spark, pairs, monkeypatch):
+    monkeypatch.setattr(tiling, "PAIRS", pairs)
+    d = spark.createDataFrame([(1, "y " * 3000), (2, "x y " * 700), (3, "y y y y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "y " * 400), (2, "y x " * 50), (3, "z y z y z")], "item_id long, text string")
+    got = {r.doc_id: [(h.item_id, h.coverage, h.tiles) for h in r._hits] for r in tiling.tiled(d, bench).collect()}
+    assert got == {1: [(1, 1.0, 1)], 2: [(2, 1.0, 1)], 3: []}
+
+
 def test_media(docs):
     import hashlib
 
@@ -374,6 +469,7 @@ def test_language_model_trains_on_every_document(spark):
     for i in range(6):  # a table of one document each
         d = spark.createDataFrame([(i, "w0 w1 w2 w3 " * 5)], "doc_id long, text string")
         fresh = lm.Gru(head.word_counts, 1.0)
+        d = d.withColumn("key", F.xxhash64("text"))
         assert not np.array_equal(lm.train(d, head, lm.Gru(head.word_counts, 1.0)).pack(), fresh.pack()), i
 
 
@@ -399,3 +495,78 @@ def test_toxicity_bounds_rows(spark, monkeypatch):
     texts = spark.createDataFrame([(hot, f"text {i}") for i in range(3000)], "doc_id long, text string")
     toxicity.train(texts, labels, 200)
     assert seen[0] == 1 and 100 < seen[1] < 300
+
+
+def test_pair_without_marginal_effect(spark):
+    """Toxic where both words stand or neither does: no word alone depends on the label."""
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(1600):
+        w = [f"f{r.randrange(150)}" for _ in range(r.randint(3, 20))]
+        a, b = r.random() < 0.5, r.random() < 0.5
+        w += ["zig"] * a + ["zag"] * b
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a == b)))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(d, lab)
+    zig, zag = (toxicity.terms(w)[toxicity.terms(w) == toxicity.xxhash.xxh32_intdigest(b"w" + w) % toxicity.DIM][0] for w in (b"zig", b"zag"))
+    assert machine.held[zig] and machine.held[zag] and machine.held.sum() < 60
+    out = {x.doc_id: x.score for x in toxicity.score(d, machine).collect()}
+    held = [(out[i] > 0.5, t) for i, t in labels if crc(i) % 3 == 1]
+    assert np.mean([p == bool(t) for p, t in held]) > 0.9
+
+
+def test_factor_scores_by_brute_force():
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine()
+    m.bias, m.w, m.v = -0.3, rng.standard_normal(toxicity.DIM).astype(np.float32), rng.standard_normal((toxicity.DIM, toxicity.RANK)).astype(np.float32)
+    m.held[:] = True
+    docs = [np.sort(rng.choice(toxicity.DIM, k, replace=False)).astype(np.int32) for k in (0, 1, 2, 30)]
+    for d, got in zip(docs, m.score(docs)):
+        pairs = sum(float(m.v[s] @ m.v[t]) for i, s in enumerate(d) for t in d[:i])
+        z = m.bias + float(m.w[d].sum()) + pairs / max(1, len(d))
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_media_of_other_makers():
+    def frames(head, n):
+        size = media.frame_size(head)
+        return b"".join(head + bytes([i]) * (size - 4) for i in range(n))
+
+    # MPEG-2, Layer III, mono, 24 kHz, 64 kbit/s; MPEG-2.5, stereo, 8 kHz
+    low = media.decode(frames(bytes((0xFF, 0xF3, 0x84, 0xC0)), 5))
+    assert media.frame_size(bytes((0xFF, 0xF3, 0x84, 0xC0))) == 192 and (low.frames, low.samples, low.rate, low.kbits[0]) == (5, 5 * 576, 24_000, 64)
+    assert media.decode(frames(bytes((0xFF, 0xE3, 0x88, 0x00)), 3)).rate == 8_000
+    assert not media.frame_size(bytes((0xFF, 0xEB, 0x84, 0xC0))) and not media.frame_size(bytes((0xFF, 0xFD, 0x84, 0xC0)))  # a reserved version, Layer II
+    # a 2.3 tag: plain sizes above 127, text encodings, an extended header
+    long = "x" * 300
+    body = (6).to_bytes(4, "big") + bytes(6)
+    for name, raw in ((b"TIT2", b"\x00" + long.encode()), (b"TPE1", b"\x01" + "Ngô é".encode("utf-16")), (b"TALB", b"\x00caf\xe9"), (b"APIC", bytes(200))):
+        body += name + len(raw).to_bytes(4, "big") + b"\0\0" + raw
+    tag = b"ID3\x03\0\x40" + media._syncsafe(len(body)) + body
+    audio = media.decode(tag + frames(bytes((0xFF, 0xFB, 0x90, 0x00)), 4))
+    assert audio.tags == {"TIT2": long, "TPE1": "Ngô é", "TALB": "café"} and audio.frames == 4 and audio.offsets[0] == len(tag)
+    # a VBRI table in the first frame
+    head = bytes((0xFF, 0xFB, 0x90, 0x00))
+    size = media.frame_size(head)
+    table = b"VBRI" + bytes(6) + (4 * size).to_bytes(4, "big") + (3).to_bytes(4, "big") + bytes((0, 2, 0, 1, 0, 2, 0, 1)) + bytes(4)
+    first = head + bytes(32) + table
+    audio = media.decode(first + bytes(size - len(first)) + frames(head, 3))
+    assert (audio.table_frames, audio.table_bytes, audio.frames, audio.toc) == (3, 4 * size, 3, bytes(4))
+
+
+def test_license_variants(spark):
+    mit, gnu = licenses._MIT, licenses._GNU
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted. * in the documentation and/or other materials provided with the distribution."
+    rows = [
+        ("mit,mit-notice", f"{mit}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+        ("mit,mit-0", f"{mit}. THE SOFTWARE IS PROVIDED AS IS"), ("gpl,gpl-2.0", gnu.format("General Public License", "2")), ("gpl,gpl-3.0", gnu.format("General Public License", "3")),
+        ("gpl,lgpl,lgpl-2.1", gnu.format("Lesser General Public License", "2.1")), ("agpl,gpl", gnu.format("Affero General Public License", "3")),
+        ("bsd,bsd-2-clause", bsd + " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"),
+        ("bsd,bsd-3-clause", bsd + " * Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        ("", "permission is hereby denied free of charge to any person obtaining a copy of this software"), ("", "either version 4 of the license"),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(d).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for want, _ in rows]
