@@ -96,10 +96,14 @@ def interacting(docs: list[np.ndarray], labels: np.ndarray, both: np.ndarray, po
     odds = lambda p: np.log(p / (1 - p))
     alone = odds((pos[often] + 0.5) / (both[often] + 1))
     base = odds(np.clip(labels.mean(), 0.01, 0.99))
-    expect = np.clip(1 / (1 + np.exp(np.clip(base - alone[:, None] - alone[None, :], -30, 30))), 0.01, 0.99)
-    chi = (hits - n * expect) ** 2 / (n * expect * (1 - expect) + 1)
-    np.fill_diagonal(chi, 0)
-    return often[((n >= PAIR_ROWS) & (chi >= PAIR_CHI)).any(1)]
+    found = np.zeros(len(often), bool)
+    for k in range(0, len(often), 128):  # some rows at a time: the driver's memory is small
+        m, h = n[k : k + 128], hits[k : k + 128]
+        expect = np.clip(1 / (1 + np.exp(np.clip(base - alone[k : k + 128, None] - alone[None, :], -30, 30))), 0.01, 0.99)
+        chi = (h - m * expect) ** 2 / (m * expect * (1 - expect) + 1)
+        chi[np.arange(len(m)), np.arange(k, k + len(m))] = 0
+        found[k : k + 128] = ((m >= PAIR_ROWS) & (chi >= PAIR_CHI)).any(1)
+    return often[found]
 
 
 class Machine:
@@ -175,7 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine
     rows = sorted(in_batches(chosen, run, "doc_id long, toxic int, ids binary").collect(), key=lambda r: (r["doc_id"], r["ids"]))
     machine = Machine()
     if rows:
-        machine.fit([np.frombuffer(r["ids"], np.int32) for r in rows], np.array([float(r["toxic"] > 0) for r in rows]))
+        found, toxic = [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([float(r["toxic"] > 0) for r in rows])
+        del rows
+        machine.fit(found, toxic)
     return machine
 
 
