@@ -82,8 +82,8 @@ def first_match(text: Column, rules: list[Rule], flags: str = "(?iuU)") -> Colum
 
 def keyword_confidence(text: Column, words: list[str]) -> Column:
     """min(0.5 + 0.15 * distinct keywords contained, 0.9); null without any."""
-    low = F.lower(text)
-    n = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
+    low = F.lower(text)  # one expression, so it is evaluated once; inside a lambda it would be for each word
+    n = sum((F.contains(low, F.lit(w)).cast("int") for w in dict.fromkeys(words)), F.lit(0))
     return F.when(n > 0, F.round(F.least(0.5 + 0.15 * n, F.lit(0.9)), 6))
 
 
@@ -124,3 +124,47 @@ def strategies(scores: dict[str, Column], n: int = 2, least: float = 0.0) -> Col
     parts = [F.struct((-F.round(s, 6)).alias("by"), F.lit(i).alias("i"), F.lit(k).alias("name")) for i, (k, s) in enumerate(scores.items())]
     some = F.filter(F.array_sort(F.array(*parts)), lambda x: x["by"] < -least)
     return F.transform(F.slice(some, 1, n), lambda x: x["name"])
+
+
+def first_mapped(text: Column, mapping: dict[str, list[str]]) -> Column:
+    """The first value of an ordered mapping one of whose patterns is found; null without one."""
+    out = None
+    for value, patterns in mapping.items():
+        hit = matches(text, patterns)
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out if out is not None else F.lit(None).cast("string")
+
+
+def metadata_filters(query: Column, maps: dict[str, dict[str, list[str]]], unless: dict[tuple[str, str], list[str]] | None = None) -> Column:
+    """struct of what a question restricts: a value per mapping (not where one of its ``unless`` phrases makes it another
+    expression), the year (after 'năm', else a lone 20xx) and the article."""
+    low = F.lower(query)
+    parts = []
+    for name, mapping in maps.items():
+        value = first_mapped(low, mapping)
+        for (of, wrong), phrases in (unless or {}).items():
+            if of == name:
+                value = F.when((value == wrong) & F.rlike(low, F.lit("|".join(map(re.escape, phrases)))), F.lit(None)).otherwise(value)
+        parts.append(value.alias(name))
+    part = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
+    year = F.coalesce(part(r"(?U)năm\s+(20\d{2})"), part(r"(?U)\b(20\d{2})\b")).cast("int")
+    return F.struct(*parts, year.alias("year"), part(r"(?U)điều\s+(\d+[a-z]?)").alias("article"))
+
+
+def query_keywords(query: Column, stopwords: list[str], phrases: list[str], least: int = 3) -> Column:
+    """Phrases of two words first, then words of ``least`` letters that are neither stopwords nor numbers; each once."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    none = F.array().cast("array<string>")
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(none)
+    known = F.filter(pairs, lambda p: p.isin(*phrases)) if phrases else none
+    single = F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stopwords, "") & ~F.rlike(w, F.lit(r"^\d+$")))
+    return F.array_distinct(F.concat(known, single))
+
+
+def in_scope(query: Column, strong, blocked: list[str], context_words: list[str] = (), context=()) -> Column:
+    """Whether a question is the engine's business: a strong pattern says so; a blocked word, or a context word without its
+    context patterns, says no; anything else passes, blank ones don't."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    has = lambda words: F.rlike(low, F.lit("|".join(map(re.escape, words)))) if words else F.lit(False)
+    stray = has(list(context_words)) & ~matches(low, context)
+    return F.when(F.trim(low) == "", False).when(matches(low, strong), True).otherwise(~(has(blocked) | stray))

@@ -6,18 +6,25 @@ folding follow Unicode, because plain Java classes are ASCII.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import unicodedata
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what a token is.
 TOKEN = "[a-zA-ZÀ-ỹ0-9]+"
 WORD = r"(?U)\w+"
-#: Letters whose marks aren't separate code points after decomposition.
-_MARKED = {
-    "a": "àáảãạăằắẳẵặâầấẩẫậäå", "e": "èéẻẽẹêềếểễệë", "i": "ìíỉĩịîï", "o": "òóỏõọôồốổỗộơờớởỡợöø",
-    "u": "ùúủũụưừứửữựûü", "y": "ỳýỷỹỵÿ", "d": "đ", "c": "ç", "n": "ñ",
-}
+
+
+def _bare(letter: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+
+
+#: Lower-case Latin letters with marks and what they are without; đ has no decomposition and is d.
+_LATIN = [chr(i) for block in ((0xC0, 0x250), (0x1E00, 0x1F00)) for i in range(*block)]
+_MARKED = {c: _bare(c) for c in _LATIN if c == c.lower() and len(_bare(c)) == 1 and _bare(c) != c} | {"đ": "d"}
 
 
 def col(c: Column | str) -> Column:
@@ -25,9 +32,19 @@ def col(c: Column | str) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    """Lower case without diacritics; đ becomes d."""
-    plain = "".join(k * len(v) for k, v in _MARKED.items())
-    return F.translate(F.lower(col(c)), "".join(_MARKED.values()), plain)
+    """Lower case without diacritics, composed or combining; đ becomes d."""
+    bare = F.translate(F.lower(col(c)), "".join(_MARKED), "".join(_MARKED.values()))
+    return F.when(F.rlike(bare, F.lit(r"\p{M}")), F.regexp_replace(bare, r"\p{M}+", "")).otherwise(bare)
+
+
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value computed once, however often fn uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def strip(c: Column | str) -> Column:
+    """Without blanks and line ends at both ends."""
+    return F.btrim(col(c), F.lit(" \n\t\r"))
 
 
 def tokens(c: Column | str, pattern: str = TOKEN) -> Column:
@@ -44,6 +61,25 @@ def keywords(c: Column | str, stopwords: Iterable[str] = (), least: int = 2) ->
     return F.filter(token_set(c, WORD), lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
 
 
+#: Expressions of several words that are one keyword.
+COMPOUNDS = (r"Điều\s+\d+", r"Khoản\s+\d+", r"Nghị\s+định", r"Thông\s+tư", r"Quyết\s+định", r"Luật\s+\w+")
+
+
+def legal_keywords(c: Column | str, stopwords: Iterable[str] = ()) -> Column:
+    """``keywords`` and, behind them, legal expressions of several words."""
+    several = [F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("(?iuU)" + p), F.lit(0)), lambda m: F.lower(m)) for p in COMPOUNDS]
+    return F.array_distinct(F.concat(keywords(c, stopwords), *several))
+
+
+def like_terms(c: Column | str, stopwords: Iterable[str] = (), phrases: Iterable[str] = (), most: int = 12) -> Column:
+    """The ``most`` longest of a question's keywords and of the phrases it holds: what a content search asks for."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])) if phrases else F.array().cast("array<string>")
+    terms = F.array_distinct(F.concat(legal_keywords(c, stopwords), held))
+    order = F.array_sort(F.transform(terms, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return F.slice(F.transform(order, lambda x: x["t"]), 1, most)
+
+
 def share_of(part: Column, whole: Column) -> Column:
     """|part ∩ whole| / |part|, 0 when part is empty."""
     return F.when(F.size(part) > 0, F.size(F.array_intersect(part, whole)) / F.size(part)).otherwise(F.lit(0.0))
@@ -106,7 +142,7 @@ def length_bucket(c: Column, edges: Iterable[int] = (40, 80, 120, 200)) -> Colum
     return out.otherwise(F.lit(f"{low}+"))
 
 
-def placeholder_to_null(c: Column | str, names: Iterable[str] = ("", "string", "null", "none", "n/a", "undefined")) -> Column:
+def placeholder_to_null(c: Column | str, names: Iterable[str] = ("", "string", "null", "none", "undefined", "n/a", "na", "-")) -> Column:
     return F.when(F.lower(F.trim(col(c))).isin(*names), F.lit(None)).otherwise(col(c))
 
 
@@ -129,6 +165,74 @@ def safe_filename(c: Column | str, most: int = 120) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.trim(col(c)), r'[\\/:*?"<>|\x00-\x1f]+', "_"), r"\s+", " "), 1, most)
 
 
+#: What text recognition makes of words, and the words.
+RECOGNISED = (
+    ("ĐỔ#", "ĐỔI"), (r"\bQUYẾTĐỊNH\b", "QUYẾT ĐỊNH"), (r"\bNGHỊĐỊNH\b", "NGHỊ ĐỊNH"), (r"\bTHÔNGTƯ\b", "THÔNG TƯ"), (r"\bBỘTRƯỞNG\b", "BỘ TRƯỞNG"),
+    (r"\bBỘVĂN\b", "BỘ VĂN"), ("CHƯ>", "CHƯƠNG"), ("Đ6ều", "Điều"), ("Điề6", "Điều"), ("Điề-", "Điều"), ("ĐIỀ-", "ĐIỀU"), (r"\bD[i1]ều\b", "Điều"),
+    (r"\b[ĐÐ]i[eê]u\b", "Điều"), (r"\bChuong\b", "Chương"),
+)
+#: Lines of headers and footers, and words of signature lines.
+HEADER_LINES = (
+    r"Trang\s+\d+(\s*/\s*\d+)?", r"Page\s+\d+(\s*/\s*\d+)?", r"[-–—]?\s*\d+\s*[-–—]?", r"CỘNG\s+HÒA\s+XÃ\s+HỘI\s+CHỦ\s+NGHĨA\s+VIỆT\s+NAM",
+    r"Độc\s+lập\s*-\s*Tự\s+do\s*-\s*Hạnh\s+phúc", "_{3,}", r"\.{4,}",
+)
+SIGNATURES = ("nơi nhận", "tm.", "kt.", "tuq.", "tl.", "ký tên", "đã ký")
+
+
+def composed(c: Column | str) -> Column:
+    """Unicode's composed form (NFC); texts without combining marks skip Python's work, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+    return nfc(col(c))
+
+
+def normalised(c: Column | str) -> Column:
+    """Line ends, control characters, escapes, recognition errors, dashes and blanks of an (NFC) text put right."""
+    out = F.regexp_replace(col(c), r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"\\[abtnfrv]", " "), r"\\[a-zA-Z]+", "")
+    for wrong, right in RECOGNISED:
+        out = F.regexp_replace(out, "(?U)" + wrong, right)
+    out = F.regexp_replace(F.regexp_replace(out, "[–—]", "-"), r"[ \t]+", " ")
+    return strip(F.regexp_replace(F.regexp_replace(out, r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n"))
+
+
+def without_headers(c: Column | str, shorter: int = 140) -> Column:
+    """Lines of headers, footers and (short ones) signatures removed."""
+    drop = r"(?iuU)^\s*(?:" + "|".join(HEADER_LINES) + r")\s*$"
+    sign = "|".join(s.replace(".", "[.]") for s in SIGNATURES)
+    kept = F.filter(F.split(col(c), "\n"), lambda ln: ~F.rlike(ln, F.lit(drop)) & ~(F.rlike(F.lower(ln), F.lit(sign)) & (F.length(F.trim(ln)) < shorter)))
+    return F.array_join(kept, "\n")
+
+
+def article_blocks(c: Column | str, most: int = 500) -> Column:
+    """The blocks of a text that open with an article header of number 1..``most``; what stands before the first is left out."""
+    parts = F.split(col(c), r"(?imuU)^(?=\s*Điều\s+\d+)")
+    number = lambda b: F.regexp_extract(b, r"(?iuU)^\s*Điều\s+(\d+)", 1).try_cast("int")
+    return F.transform(F.filter(parts, lambda b: F.coalesce(number(b).between(1, most), F.lit(False))), lambda b: strip(b))
+
+
+def decision_intro(c: Column | str) -> Column:
+    """What a decision says from its line 'QUYẾT ĐỊNH:' to its first article or the end; null without that line."""
+    return F.nullif(strip(F.regexp_extract(col(c), r"(?siuU)(?:^|\n)\s*(QUYẾT\s+ĐỊNH\s*:.*?)(?=\n\s*Điều\s+\d+\b|\z)", 1)), F.lit(""))
+
+
+def cleaned(c: Column | str) -> Column:
+    """Normalised, without headers, blanks collapsed."""
+    return strip(F.regexp_replace(F.regexp_replace(without_headers(normalised(c)), r" *\n *", "\n"), r"\n{3,}", "\n\n"))
+
+
+def preprocessed(c: Column | str) -> Column:
+    """Normalised, without headers, and where article blocks are found, rebuilt from intro and blocks."""
+    def rebuilt(clean: Column) -> Column:
+        return let(article_blocks(clean), lambda blocks: F.when(F.size(blocks) > 0, F.concat_ws("\n\n", decision_intro(clean), blocks)).otherwise(clean))
+
+    return let(cleaned(c), rebuilt)
+
+
 def without_controls(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 

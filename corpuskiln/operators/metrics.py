@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 def frequency(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    share = F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2)
-    out = counts.withColumn("percent", share)
+    total = df.agg(F.count("*").alias("_all"))  # one row
+    out = counts.crossJoin(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col("n") / F.col("_all"), 2)).drop("_all")
     return out.orderBy(F.col("n").desc(), column).limit(n) if n else out
 
 
+def tallies(df: DataFrame, flags: list[str], scores: list[str] = ()) -> DataFrame:
+    """One row: how often each flag is true, and the mean of each score."""
+    return df.agg(F.count("*").alias("n"), *[F.count_if(F.col(f)).alias(f) for f in flags], *[F.round(F.avg(s), 4).alias(s) for s in scores])
+
+
 def cross_tab(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count("*").alias("n"))
 
@@ -48,21 +53,31 @@ def top_confusions(df: DataFrame, gold: str, predicted: str, n: int = 10) -> Dat
     return confusion(df, gold, predicted).filter("gold != predicted").orderBy(F.col("n").desc(), "gold", "predicted").limit(n)
 
 
-def exclusive_quartiles(df: DataFrame, by: str, value: str) -> DataFrame:
+def exclusive_quartiles(df: DataFrame, by: str, value: str, whole: int = 200_000, accuracy: int = 10_000) -> DataFrame:
     """Quartiles by the exclusive rule: position k*(n+1)/4, clamped to the data, interpolated.
 
-    Ranks decide which (at most six) values of a group matter, so no group is
-    gathered: only a window over the group's order is needed."""
-    w = Window.partitionBy(by).orderBy(value)
-    rows = df.filter(F.col(value).isNotNull()).select(by, value, F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    aggs = []
-    for k in (1, 2, 3):
-        m = F.lit(k) * (F.col("n") + 1)
-        j = F.greatest(F.lit(1), F.least(F.floor(m / 4), F.col("n") - 1))
-        low, high = F.max(F.when(F.col("i") == j, F.col(value))), F.max(F.when(F.col("i") == j + 1, F.col(value)))
-        delta = F.max(m - 4 * j)
-        aggs.append(F.round(F.coalesce((low * (4 - delta) + high * delta) / 4, low), 6).alias(f"q{k}"))
-    return rows.groupBy(by).agg(F.max("n").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *aggs)
+    No group is sorted whole.  Approximate percentiles, whose error in rank is known, give a stretch of values around
+    each quartile (for groups of up to ``whole`` rows: all of them); what lies below it is counted, and only the
+    distinct values of the stretch are put in order."""
+    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
+    e = 4.0 / accuracy
+    edges = [min(max(k / 4 + d, 0.0), 1.0) for k in (1, 2, 3) for d in (-e, e)]
+    stats = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", edges, accuracy).alias("p"))
+    m = lambda k: F.lit(k) * (F.col("n") + 1)
+    j = lambda k: F.greatest(F.lit(1), F.least(F.floor(m(k) / 4), F.col("n") - 1))
+    small = F.col("n") <= max(whole, 2 * accuracy)
+    part = lambda k: F.struct(F.lit(k).alias("k"), j(k).alias("j"), (m(k) - 4 * j(k)).alias("d"), F.when(small, F.col("low")).otherwise(F.col("p")[2 * k - 2]).alias("from"), F.when(small, F.col("high")).otherwise(F.col("p")[2 * k - 1]).alias("to"))
+    asked = stats.select(by, F.explode(F.array(*[part(k) for k in (1, 2, 3)])).alias("q")).select(by, "q.*")
+    counts = rows.groupBy(by, "v").agg(F.count("*").alias("c"))
+    met = counts.join(asked, by).filter(F.col("v") <= F.col("to"))
+    inside = F.when(F.col("v") >= F.col("from"), F.col("v"))  # null: all values below, as one row
+    met = met.groupBy(by, "k", "j", "d", inside.alias("v")).agg(F.sum("c").alias("c"))
+    up_to = F.sum("c").over(Window.partitionBy(by, "k").orderBy(F.col("v").asc_nulls_first()))
+    at = lambda i: F.max(F.when((F.col("up_to") >= i) & (F.col("up_to") - F.col("c") < i), F.col("v")))
+    pairs = met.withColumn("up_to", up_to).groupBy(by, "k").agg(at(F.col("j")).alias("lo"), at(F.col("j") + 1).alias("hi"), F.max("d").alias("d"))
+    mean = F.round(F.coalesce((F.col("lo") * (4 - F.col("d")) + F.col("hi") * F.col("d")) / 4, F.col("lo")), 6)
+    found = pairs.groupBy(by).agg(*[F.max(F.when(F.col("k") == k, mean)).alias(f"q{k}") for k in (1, 2, 3)])
+    return stats.select(by, "n", "mean", "low", "high").join(found, by)
 
 
 def _gram(words: Column, n: int):

@@ -59,6 +59,16 @@ def dynamic_cap(df: DataFrame, score: str, group: str, rank: str = "rank", amend
     return stats.select("query_id", cap.cast("long").alias("cap"))
 
 
+def with_cap(df: DataFrame, score: str, group: str, rank: str = "rank") -> DataFrame:
+    """Rows with their query's ``cap`` (as ``dynamic_cap``), in windows over the same few ranked rows instead of a second pass."""
+    q = Window.partitionBy("query_id")
+    at = lambda n: F.max(F.when(F.col(rank) == n, F.col(score))).over(q)
+    gap = F.round(at(1) - at(2), 9)
+    groups = F.size(F.collect_set(F.when(F.col(rank) <= 5, F.col(group))).over(q))
+    cap = F.when(F.count("*").over(q) < 2, 1).when((gap < 0.10) & (groups >= 3), 5).when((gap < 0.20) & (groups >= 2), 3).otherwise(1)
+    return df.withColumn("cap", cap.cast("long"))
+
+
 def penalised(df: DataFrame, score: str, query_labels: str, labels: str, penalty: float = 0.30) -> Column:
     """Score minus a penalty when both label sets are known and disjoint."""
     apart = (F.size(query_labels) > 0) & (F.size(labels) > 0) & ~F.arrays_overlap(query_labels, labels)
@@ -80,9 +90,15 @@ def group_scores(df: DataFrame, groups: list[str], score: str) -> DataFrame:
     return ranked(sums, "query_id", [F.col("group_score").desc(), *[F.col(c) for c in groups]], "group_rank")
 
 
-def quota(df: DataFrame, by: str, order: list[Column], most: int, groups: int) -> DataFrame:
-    """``max(1, most // groups)`` first rows of each group, ``most`` in all (per query)."""
-    return top_k(df, by, order, max(1, most // max(1, groups)), "in_group")
+def quota(df: DataFrame, by: str, order: list[Column], most: int, groups: int | Column = 1, over: str | None = None) -> DataFrame:
+    """``max(1, most // groups)`` first rows of each group. With ``over`` (such as query_id), ``groups`` is the number
+    of groups of each value of it, and no value keeps more than ``most`` rows: groups take turns, first rows first."""
+    if over is None:
+        return top_k(df, by, order, max(1, most // max(1, groups)), "in_group")
+    n = df.groupBy(over).agg(F.count_distinct(by).alias("_n"))
+    rows = ranked(df, [over, by], order, "in_group").join(n, over)
+    rows = rows.filter(F.col("in_group") <= F.greatest(F.lit(1), F.floor(most / F.col("_n")))).drop("_n")
+    return top_k(rows, over, [F.col("in_group"), F.col(by), *order], most, "_all").drop("_all")
 
 
 def budget_prefix(df: DataFrame, by: str, order: list[Column], size: Column, budget: int) -> DataFrame:

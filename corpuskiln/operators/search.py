@@ -45,15 +45,32 @@ def cascade(tiers: list[DataFrame], by: str = "query_id") -> DataFrame:
     return every.join(F.broadcast(best), F.col(by).eqNullSafe(F.col("_by")) & (F.col("tier") == F.col("_best"))).drop("_by", "_best")
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(term, key, tf): the inverted index of folded tokens."""
-    return docs.select(key, F.explode(X.tokens(X.fold(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def first_tier(tiers: list[DataFrame], order: list[Column], k: int, by: str = "query_id") -> DataFrame:
+    """The first k rows, in order, of each query's first tier that has any, with ``tier`` and ``rank``. Tiers are cut to k rows a
+    query first, so what a window then sees is small, and nothing is computed twice."""
+    cut = [top_k(t, by, order, k, "_n").drop("_n").withColumn("tier", F.lit(i).cast("long")) for i, t in enumerate(tiers, 1)]
+    every = reduce(DataFrame.unionByName, cut)
+    best = every.withColumn("_best", F.min("tier").over(Window.partitionBy(by))).filter("tier = _best").drop("_best")
+    return top_k(best, by, order, k)
+
+
+def postings(docs: DataFrame, key: str, text: str = "text", asked: DataFrame | None = None, pattern: str = X.TOKEN) -> DataFrame:
+    """(term, key, tf): the inverted index of folded tokens. With ``asked`` (rows of terms, a set of questions) only
+    those terms' postings: other tokens are dropped where they are read, before anything is shuffled."""
+    words = X.tokens(X.fold(text), pattern)
+    if asked is None:
+        rows = docs.select(key, F.explode(words).alias("term"))
+    else:
+        terms = asked.select(F.explode("terms").alias("t")).agg(F.collect_set("t").alias("_asked"))
+        mine = docs.select(key, words.alias("_words")).crossJoin(F.broadcast(terms))  # one row
+        rows = mine.select(key, F.explode(F.filter("_words", lambda w: F.array_contains("_asked", w))).alias("term"))
+    return rows.groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
 def match_all(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Documents that hold every term of a query, scored by summed log term frequency.
 
-    ``queries`` has query_id and terms; only postings of asked terms are read past the join."""
+    ``queries`` has query_id and terms; ``index`` are ``postings``, best those of the asked terms."""
     asked = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
     met = index.join(small(asked), "term")
     found = met.groupBy("query_id", key).agg(F.count("*").alias("have"), F.first("n_terms").alias("n_terms"), F.round(F.sum(F.log(F.lit(1.0) + F.col("tf"))), 6).alias("score"))
@@ -67,9 +84,12 @@ def cover_density(docs: DataFrame, queries: DataFrame, key: str, title: str | No
     weights (title, body) over one plus the words in it that aren't terms. Zones follow one another.
     The stretch search is one Arrow pass over matching documents only."""
     terms = queries.select("query_id", F.array_distinct("terms").alias("terms"))
-    words = X.tokens(X.fold(text))
-    heads = X.tokens(X.fold(title)) if title else F.array().cast("array<string>")
-    matched = docs.select(key, heads.alias("heads"), words.alias("words")).join(small(terms), F.forall("terms", lambda t: F.array_contains("words", t) | F.array_contains("heads", t)) & (F.size("terms") > 0))
+    body, head = X.fold(text), X.fold(title) if title else F.lit("")
+    folded = docs.select(key, head.alias("h"), body.alias("b"))
+    # a token is a part of the text: what lacks one as a part isn't tokenised
+    maybe = folded.join(small(terms), F.forall("terms", lambda t: F.contains("b", t) | F.contains("h", t)) & (F.size("terms") > 0))
+    spoken = maybe.select("query_id", key, "terms", X.tokens("h").alias("heads"), X.tokens("b").alias("words"))
+    matched = spoken.filter(F.forall("terms", lambda t: F.array_contains("words", t) | F.array_contains("heads", t)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -100,55 +120,61 @@ def cover_rank(heads: list[str], words: list[str], terms: list[str], weights: tu
     return round(score, 6)
 
 
+def _packed(rows: DataFrame, key: str, vector: str, most: int, name: str) -> DataFrame:
+    """Blocks of up to ``most`` rows: their keys and their vectors as one matrix of doubles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), most):
+                part = pdf.iloc[at : at + most]
+                yield pd.DataFrame({f"{name}_keys": [part["key"].tolist()], name: [np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()]})
+
+    kind = dict(rows.dtypes)[key]
+    return rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(run, f"{name}_keys array<{kind}>, {name} binary")
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, k: int, vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """Exact cosine top-k of unit vectors after pre-filtering.
 
-    Query vectors (broadcast when small) form a matrix per task; a batch of vectors is one matrix
-    product, and each batch keeps only its k best per query, so little is shuffled."""
+    Both sides are packed into blocks; a pair of blocks is one matrix product, of which only the k best per query go
+    on.  Nothing passes through the driver, and few query blocks are broadcast (their size is checked by Spark)."""
     pool = vectors.filter(where) if where is not None else vectors
-    rows = queries.select("query_id", F.col(vector).cast("array<double>").alias("q"))
-    spark = vectors.sparkSession
-    blocks, out = _query_blocks(rows), []
-    schema = f"query_id long, {key} {dict(vectors.dtypes)[key]}, score double"
-    for ids, matrix in blocks:
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                scores = matrix @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T
-                keys = pdf[key].to_numpy()
+    left = _packed(pool, key, vector, 8192, "m")
+    right = _packed(queries.select("query_id", vector), "query_id", vector, 4096, "q")
+    kind = dict(vectors.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for keys, m, ids, q in zip(pdf["m_keys"], pdf["m"], pdf["q_keys"], pdf["q"]):
+                keys, ids = np.asarray(keys), np.asarray(ids)
+                scores = np.frombuffer(q, np.float64).reshape(len(ids), -1) @ np.frombuffer(m, np.float64).reshape(len(keys), -1).T
                 n = min(k, scores.shape[1])
                 # ties at the k-th place are kept here and settled by key below
                 kth = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-                q, at = np.nonzero(np.round(scores, 6) >= np.round(kth, 6)[:, None])
-                yield pd.DataFrame({"query_id": ids[q], key: keys[at], "score": np.round(scores[q, at], 6)})
+                row, at = np.nonzero(np.round(scores, 6) >= np.round(kth, 6)[:, None])
+                yield pd.DataFrame({"query_id": ids[row], key: keys[at], "score": np.round(scores[row, at], 6)})
 
-        out.append(pool.select(key, F.col(vector).alias("v")).mapInPandas(run, schema))
-    found = reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
+    found = left.crossJoin(right).mapInPandas(run, f"query_id long, {key} {kind}, score double")
     return top_k(found, "query_id", [F.col("score").desc(), F.col(key)], k)
 
 
-def _query_blocks(rows: DataFrame, most: int = 4096) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Query vectors in blocks of at most ``most``: a stated query set, block by block."""
-    found, block = [], []
-    for r in rows.toLocalIterator():
-        block.append(r)
-        if len(block) == most:
-            found.append(block)
-            block = []
-    if block:
-        found.append(block)
-    return [(np.array([r["query_id"] for r in b], np.int64), np.array([r["q"] for r in b], np.float64)) for b in found]
+def prototype_scores(items: DataFrame, prototypes: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """The best similarity of each item to each label's prototypes. Prototypes are one packed matrix that is joined to
+    packed items, so a block of items is one product."""
+    left = _packed(items, key, vector, 8192, "m")
+    right = _packed(prototypes.repartition(1), "label", vector, 1 << 20, "q")  # a fixed small set
+    kind, name = dict(items.dtypes)[key], dict(prototypes.dtypes)["label"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for keys, m, labels, q in zip(pdf["m_keys"], pdf["m"], pdf["q_keys"], pdf["q"]):
+                names, of = np.unique(np.asarray(labels), return_inverse=True)
+                sims = np.round(np.frombuffer(m, np.float64).reshape(len(keys), -1) @ np.frombuffer(q, np.float64).reshape(len(labels), -1).T, 6)
+                best = np.stack([sims[:, of == i].max(1) for i in range(len(names))], 1)
+                yield pd.DataFrame({key: np.repeat(np.asarray(keys), len(names)), "label": np.tile(names, len(keys)), "sim": best.ravel()})
 
-def prototype_scores(items: DataFrame, prototypes: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """The best similarity of each item to each label's prototypes (a fixed small set)."""
-    p = prototypes.select("label", F.col(vector).alias("p"))
-    sim = F.round(X.cosine(F.col(vector), F.col("p")), 6)
-    return items.join(F.broadcast(p)).select(key, "label", sim.alias("sim")).groupBy(key, "label").agg(F.max("sim").alias("sim"))
+    found = left.crossJoin(right).mapInPandas(run, f"{key} {kind}, label {name}, sim double")
+    return found.groupBy(key, "label").agg(F.max("sim").alias("sim"))
 
 
 def gap_decision(scores: DataFrame, key: str, high: tuple[float, float] = (0.72, 0.06), low: tuple[float, float] = (0.60, 0.08)) -> DataFrame:
@@ -180,7 +206,38 @@ def resolve_references(queries: DataFrame, documents: DataFrame, ref: str = "ref
     exact = q.join(d, q["r"] == d["n"]).select(*cols)
     prefix, folded = opens("r", "n"), opens("f", "g")
     bare = q.filter(~F.rlike("f", F.lit(r"^\d{4}$|/\d{4}(?!\d)"))).join(d, head(F.col("f")) == head(F.col("g"))).select(*cols)
-    return top_k(cascade([exact, prefix, folded, bare]), "query_id", [F.col(key)], most)
+    return first_tier([exact, prefix, folded, bare], [F.col(key)], most)
+
+
+def full_text(queries: DataFrame, docs: DataFrame, key: str, title: str, text: str, k: int, where: Column | None = None, prefix: bool = False) -> DataFrame:
+    """(query_id, key, score, rank): documents that hold every token of a question in title or text (``prefix``: as the
+    beginning of a word), by cover density with the title weighing more; ``where`` filters documents first."""
+    pool = docs.filter(where) if where is not None else docs
+    asked = queries.select("query_id", X.token_set(X.fold("query")).alias("terms")).filter("size(terms) > 0")
+    if prefix:  # words that begin with a term count as the term
+        words = X.tokens(X.fold(F.concat_ws(" ", title, text)))
+        met = pool.select(key, words.alias("w")).join(small(asked), F.forall("terms", lambda t: F.exists("w", lambda w: w.startswith(t))))
+        hits = F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.log(1.0 + F.size(F.filter("w", lambda w: w.startswith(t)))))
+        found = met.select("query_id", key, F.round(hits, 6).alias("score"))
+    else:
+        found = cover_density(pool, asked, key, title, text)
+    return top_k(found, "query_id", [F.col("score").desc(), F.col(key)], k)
+
+
+def closest(found: DataFrame, asked: str, held: str, key: str) -> DataFrame:
+    """The held text nearest to what was asked, per question: one that contains it first, then the nearest length, then text."""
+    order = F.struct((~F.contains(F.lower(held), F.lower(asked))).alias("no"), F.abs(F.length(held) - F.length(asked)).alias("off"), F.col(held).alias("text"), F.col(key).alias("key"))
+    return found.groupBy("query_id").agg(F.min(order).alias("m")).select("query_id", F.col("m.key").alias(key), F.col("m.text").alias(held))
+
+
+def topped_up(lists: list[DataFrame], k: int, key: str = "doc_id", wanted: int | None = None) -> DataFrame:
+    """The first list's rows, and where a question has fewer than ``wanted`` (k) of them, those of the next lists that
+    it doesn't have yet, in order of lists and ranks; k at most."""
+    every = reduce(DataFrame.unionByName, [df.select("query_id", key, "rank", F.lit(i).alias("list")) for i, df in enumerate(lists)])
+    once = every.groupBy("query_id", key).agg(F.min(F.struct("list", "rank")).alias("at")).select("query_id", key, "at.*")
+    own = once.withColumn("_own", F.count(F.when(F.col("list") == 0, 1)).over(Window.partitionBy("query_id")))
+    kept = own.filter((F.col("list") == 0) | (F.col("_own") < (wanted or k))).drop("_own")
+    return top_k(kept.withColumnRenamed("rank", "rank_in_list"), "query_id", [F.col("list"), F.col("rank_in_list"), F.col(key)], k)
 
 
 def topic_tiers(pairs: DataFrame, terms: str, title: str, content: str) -> DataFrame:

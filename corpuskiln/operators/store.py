@@ -77,3 +77,51 @@ def follow_ups(queries: DataFrame, conversations: DataFrame, pattern: str) -> Da
     rows = queries.join(conversations.select("conversation_id", "document_history"), "conversation_id", "left")
     lean = F.rlike("query", F.lit(pattern)) & (F.size("document_history") > 0)
     return rows.withColumn("query", F.when(lean, F.concat_ws(" ", "query", F.concat(F.lit("("), last, F.lit(")")))).otherwise(F.col("query"))).drop("document_history")
+
+
+def logged(logs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The log with new entries (query, answer, documents, confidence, latency_ms, created_at); ids are hashes of the entry."""
+    key = F.xxhash64("query", "answer", F.col("created_at").cast("string"))
+    return logs.unionByName(entries.withColumn("log_id", key), allowMissingColumns=True)
+
+
+def new_conversations(conversations: DataFrame, titles: DataFrame, now: Column) -> DataFrame:
+    """Conversations with new ones (title): ids of 12 hex digits from title and time."""
+    rows = titles.select(F.substring(F.sha2(F.concat_ws("|", "title", now.cast("string")), 256), 1, 12).alias("conversation_id"), "title", now.alias("created_at"), now.alias("updated_at"))
+    return conversations.unionByName(rows, allowMissingColumns=True)
+
+
+def merged_context(conversations: DataFrame, changes: DataFrame) -> DataFrame:
+    """Each conversation's context (map) with its changes (conversation_id, context): new keys replace old ones."""
+    new = changes.select("conversation_id", F.col("context").alias("_new"))
+    none = F.create_map().cast("map<string,string>")
+    old = F.map_filter(F.coalesce("context", none), lambda k, v: ~F.map_contains_key(F.coalesce("_new", none), k))
+    return conversations.join(new, "conversation_id", "left").withColumn("context", F.map_concat(old, F.coalesce("_new", none))).drop("_new")
+
+
+def repaired_numbers(table: DataFrame, number: str = "doc_number") -> DataFrame:
+    """A table with file-like numbers (45_2024_QH15_583769) in their clean form and ``repaired`` where one changed; run on
+    documents and chunks alike."""
+    parts = [F.regexp_extract(F.trim(number), r"^(\d+)[/_](\d{4})[/_]([A-Za-zĐđ][A-Za-zĐđ0-9\-]*)(?:_\d+)*$", i) for i in (1, 2, 3)]
+    clean = F.when(parts[0] != "", F.concat_ws("/", *parts)).otherwise(F.col(number))
+    return table.withColumn("repaired", F.coalesce(clean != F.col(number), F.lit(False))).withColumn(number, clean)
+
+
+def report(tables: dict[str, DataFrame], path: str, rows: int = 50) -> str:
+    """Writes each table as JSON below ``path`` and returns them as Markdown, the first ``rows`` of each."""
+    out = []
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
+        shown = [[str(v) for v in r] for r in table.limit(rows).collect()]
+        out.append("\n".join([f"## {name}", "", "| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns), *("| " + " | ".join(r) + " |" for r in shown)]))
+    return "\n\n".join(out) + "\n"
+
+
+def with_columns(table: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The wanted columns (name -> type) of a table, null where an older version lacks one."""
+    return table.select(*[F.col(c) if c in table.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()])
+
+
+def seeded_sample(table: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows in an order that a seed fixes, whatever the layout."""
+    return table.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

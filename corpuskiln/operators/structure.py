@@ -15,18 +15,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import text as X
 from corpuskiln.operators import chunks as C
 
 
 @dataclass(frozen=True)
 class Patterns:
-    appendix: str = r"(?iu)^\s*phụ lục(\s|$)"
-    chapter: str = r"(?iu)^\s*chương\s+([IVXLCDM]+|\d+)\s*[.:]?\s*(.*)$"
-    section: str = r"(?iu)^\s*mục\s+(\d+[a-z]?)\s*[.:]?\s*(.*)$"
-    article: str = r"(?iu)^\s*điều\s+(\d+[a-z]?)\s*[.:]?\s*(.*)$"
-    clause: str = r"^\s*(\d{1,3})[.)]\s+(.*)$"
-    point: str = r"^\s*([a-zđ])\)\s+(.*)$"
-    inline_point: str = r"(?<=[;.:!])\s+(?=[a-zđ]\)\s)"
+    appendix: str = r"(?iuU)^\s*(Phụ\s*lục|Mẫu\s*(?:số|biểu)?|Biểu\s*mẫu|Bảng)\b"
+    table: str = r"(?U)^\s*[\wÀ-ỹ0-9()\-/.:]+(?:\s{2,}|\t+).+"
+    chapter: str = r"(?iuU)^\s*Chương\s+([IVXLCDM]+|\d+)\b[.\-–:]*\s*(.*)$"
+    section: str = r"(?iuU)^\s*Mục\s+(\d+[A-Za-z]?)\s*[.\-–:]?\s*(.*)$"
+    article: str = r"(?iuU)^\s*(?:Điều|Dieu)\s*(\d+[A-Za-z]?)\s*[.\-–:]?\s*(.*)$"
+    clause: str = r"(?iuU)^\s*(?:Khoản\s+)?(\d+[A-Za-z]?)\s*[.)]\s*(.*)$"
+    point: str = r"(?iuU)^\s*([a-zđ])\s*[).]\s*(.*)$"
+    inline_point: str = r"(?iuU)(?<=[;.:!])\s+([a-zđ])\s*\)\s+"
+    #: Words from which on a line of columns is a table's.
+    table_words: int = 7
     longest_title: int = 220
 
 
@@ -44,8 +48,10 @@ def _count(flag: Column, *keys: str) -> Column:
 
 def lines_of(docs: DataFrame, p: Patterns = Patterns(), text: str = "text") -> DataFrame:
     """(document_id, line_no, line, kind flags and the islands each line is in); appendices are cut off."""
-    split = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), p.inline_point, "\n")
-    rows = docs.select("document_id", F.posexplode(F.split(split, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).filter("line != ''")
+    split = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), p.inline_point, "\n$1) ")
+    rows = docs.select("document_id", F.posexplode(F.split(split, "\n")).alias("line_no", "line"))
+    columns = _hit("line", p.table) & (F.size(F.split(F.trim("line"), r"\s+")) >= p.table_words)
+    rows = rows.filter(~columns).withColumn("line", F.trim("line")).filter("line != ''")
     rows = rows.withColumn("_cut", _count(_hit("line", p.appendix), "document_id")).filter("_cut = 0").drop("_cut")
     rows = rows.withColumn("outline", ~F.max(_hit("line", p.article)).over(Window.partitionBy("document_id")))
     article = F.when(F.col("outline"), _hit("line", p.clause)).otherwise(_hit("line", p.article))
@@ -130,6 +136,50 @@ def chunks_of(articles: DataFrame, clauses: DataFrame, titles: DataFrame) -> Dat
     return every.select("document_id", "article_ord", F.explode(parts).alias("c")).select("document_id", "article_ord", "c.*")
 
 
+def trimmed(content: Column | str, p: Patterns = Patterns()) -> Column:
+    """An article's or clause's text up to a line, not its first, that opens another article or chapter."""
+    c = F.col(content) if isinstance(content, str) else content
+    lines = F.split(F.coalesce(c, F.lit("")), "\n")
+    cut = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i > 0) & (_hit(F.get(lines, i), p.article) | _hit(F.get(lines, i), p.chapter)))
+    return X.strip(F.array_join(F.slice(lines, 1, F.coalesce(F.get(cut, F.lit(0)), F.size(lines))), "\n"))
+
+
+def segments(content: Column | str, points: bool = True, p: Patterns = Patterns()) -> Column:
+    """An article's text in pieces, a new one at each line that opens a chapter, article, clause or (``points``) point."""
+    c = F.col(content) if isinstance(content, str) else content
+    lines = F.split(F.coalesce(c, F.lit("")), "\n")
+    opens = lambda ln: _hit(ln, p.article) | _hit(ln, p.chapter) | _hit(ln, p.clause) | (_hit(ln, p.point) if points else F.lit(False))
+    marked = F.array_join(F.transform(lines, lambda ln: F.when(opens(ln), F.concat(F.lit("\u0001"), ln)).otherwise(ln)), "\n")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: X.strip(x)), lambda x: x != "")
+
+
+def linked(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with ids (hashes of what a row stands for, so a rerun finds the same ones) and references: articles to
+    chapters and sections, clauses to articles, chunks to articles and to the clause they are from.  Where a number
+    occurs twice in a document, the last article of that number is the one that chunks are linked to."""
+    chapters = tables["chapters"].select("document_id", F.xxhash64("document_id", "chapter_number").alias("chapter_id"), "chapter_number", "title", "sort_order")
+    articles = tables["articles"].withColumn("article_id", F.xxhash64("document_id", "article_ord"))
+    chapter = F.when(F.col("chapter_number").isNotNull(), F.xxhash64("document_id", "chapter_number"))
+    section = F.when(F.col("section_number").isNotNull(), F.xxhash64("document_id", F.coalesce("chapter_number", F.lit("")), F.lit("section"), "section_number"))
+    articles = articles.withColumns({"chapter_id": chapter, "section_id": section})
+    first = articles.filter("section_id IS NOT NULL").groupBy("section_id", "chapter_id", "document_id", "section_number").agg(F.min("article_ord").alias("first"))
+    sections = first.withColumn("sort_order", F.row_number().over(Window.partitionBy("document_id", "chapter_id").orderBy("first"))).drop("first")
+    last = articles.groupBy("document_id", "article_number").agg(F.max_by("article_id", "article_ord").alias("link_id"))
+    clauses = tables["clauses"].withColumns({"article_id": F.xxhash64("document_id", "article_ord"), "clause_id": F.xxhash64("document_id", "article_ord", "clause_ord", "clause_number", "kind")})
+    numbered = tables["chunks"].join(articles.select("document_id", "article_ord", "article_number"), ["document_id", "article_ord"]).join(last, ["document_id", "article_number"])
+    parent = F.regexp_replace(F.coalesce("clause_number", F.lit("")), r"\.sub\.\d+$", "")
+    named = F.when(parent == "1", "Khoản 1").otherwise(parent)
+    known = clauses.groupBy(F.col("article_id").alias("link_id"), F.col("clause_number").alias("parent")).agg(F.min("clause_id").alias("clause_id"))
+    chunks = numbered.withColumn("parent", named).join(known, ["link_id", "parent"], "left").withColumnRenamed("link_id", "article_id").drop("parent")
+    chunks = chunks.withColumn("chunk_id", F.xxhash64("document_id", "article_ord", F.coalesce("clause_number", F.lit("")), "chunk_type", "text"))
+    return {**tables, "chapters": chapters, "sections": sections, "articles": articles, "clauses": clauses, "chunks": chunks}
+
+
+def chunk_metrics(chunks: DataFrame) -> DataFrame:
+    """(document_id, n_chunks, mean_chars) per document."""
+    return chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.round(F.avg(F.length("text")), 2).alias("mean_chars"))
+
+
 def rejected(docs: DataFrame, articles: DataFrame) -> DataFrame:
     return docs.select("document_id").join(articles.select("document_id").distinct(), "document_id", "left_anti").withColumn("reason", F.lit("no articles"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import rules as U
 from corpuskiln.functions import text as X
 from corpuskiln.operators import answer as A
+from corpuskiln.operators import lookup as K
 from corpuskiln.operators import providers as P
 from corpuskiln.operators import ranks as R
 from corpuskiln.operators import search as S
@@ -18,17 +19,22 @@ from corpuskiln.plans import ingest as I
 class Engine:
     """``chunks``: chunk_id, document_id, doc_number, document_title, article_number, text, embedding."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, embedder: P.Embedder | None = None, rules: dict | None = None):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, embedder: P.Embedder | None = None, rules: dict | None = None, tables: dict[str, DataFrame] | None = None):
         self.spark, self.chunks, self.rules = spark, chunks, rules or {"structural": [], "routing": {}, "overrides": []}
-        self.embedder = embedder or P.HashedTokens()
+        self.embedder, self.tables = embedder or P.HashedTokens(), tables or {}
 
     @classmethod
-    def ingest(cls, spark: SparkSession, path: str, **options) -> tuple[Engine, dict[str, DataFrame]]:
+    def ingest(cls, spark: SparkSession, path: str, at: str | None = None, **options) -> tuple[Engine, dict[str, DataFrame]]:
+        """An engine over the files of a folder, and its tables. With ``at`` the tables are written below it and read back:
+        files are parsed once, not once per use."""
         from corpuskiln.sources import files
 
         tables = I.corpus_tables(files.files(spark, path))
-        articles = tables["articles"].select("document_id", "article_ord", "article_number")
-        return cls(spark, tables["chunk_vectors"].join(articles, ["document_id", "article_ord"]), **options), tables
+        if at:
+            for name, table in tables.items():
+                table.write.mode("overwrite").parquet(f"{at}/{name}")
+                tables[name] = spark.read.parquet(f"{at}/{name}")
+        return cls(spark, tables["chunk_vectors"], tables=tables, **options), tables
 
     def search(self, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
         """Vector and keyword rankings fused, reranked, diversified; ``where`` filters chunks before scoring."""
@@ -43,6 +49,19 @@ class Engine:
         top = R.top_k(rows, "query_id", [F.col("rerank_score").desc(), F.col("r0")], k)
         return R.diversified(top, "document_id").drop("rank", "r0", "embedding").withColumnRenamed("new_rank", "rank")
 
+    def search_widened(self, queries: DataFrame, where: Column, k: int = 10, least: int = 3) -> DataFrame:
+        """``search`` among filtered chunks; questions that find fewer than ``least`` there get unfiltered hits behind them."""
+        near = self.search(queries, k, where)
+        few = queries.join(near.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < least).drop("n")
+        ids = S.topped_up([near, self.search(few, k)], k, "chunk_id", least)
+        return ids.join(self.chunks.drop("embedding"), "chunk_id").join(queries, "query_id")
+
+    def search_variants(self, queries: DataFrame, variants: DataFrame, k: int = 5) -> DataFrame:
+        """``search``, topped up from the questions' variants (query_id, variant, query) where it finds fewer than k."""
+        lists = [self.search(queries, k)] + [self.search(variants.filter(F.col("variant") == i).select("query_id", "query"), k) for i in (1, 2, 3)]
+        ids = S.topped_up(lists, k, "chunk_id")
+        return ids.join(self.chunks.drop("embedding"), "chunk_id").join(queries, "query_id")
+
     def classify(self, queries: DataFrame) -> DataFrame:
         """Structural label and confidence, and the routing groups whose patterns match."""
         hit = U.first_match(F.col("query"), self.rules["structural"])
@@ -60,8 +79,62 @@ class Engine:
         out = queries.join(text, "query_id", "left").join(context, "query_id", "left").join(cited, "query_id", "left").join(mean, "query_id", "left")
         return out.withColumn("confidence", A.confidence(F.coalesce("mean", F.lit(0.0)), F.coalesce("answer", F.lit("")), ["Điều", "Khoản"])).drop("mean")
 
+    def lookup(self, queries: DataFrame) -> DataFrame:
+        """Passages for questions that name an article, a number or a law; needs the corpus tables of ``ingest``."""
+        return K.lookup(queries, self.tables["documents"], self.tables["articles"], self.tables["clauses"])
+
+    def copilot(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, query, intent, route, answer, confidence): questions that name what they want are answered by lookup,
+        those outside the field (rules: scope) are declined, all others by ``answer``."""
+        seen = self.classify(queries)
+        scope = self.rules.get("scope")
+        allowed = U.in_scope(F.col("query"), scope["strong"], scope["blocked"]) if scope else F.lit(True)
+        asked = queries.withColumn("_ok", allowed)
+        direct = A.P.extractive_answer(self.lookup(queries)).withColumn("route", F.lit("lookup")) if self.tables else None
+        said = self.answer(asked.filter("_ok").drop("_ok"), k).select("query_id", F.col("answer").alias("said"), "confidence")
+        out = asked.join(said, "query_id", "left")
+        out = out.join(direct.select("query_id", F.col("answer").alias("found"), "route"), "query_id", "left") if direct is not None else out.withColumns({"found": F.lit(None).cast("string"), "route": F.lit(None).cast("string")})
+        text = F.when(~F.col("_ok"), A.NO_INFO).otherwise(F.coalesce("found", "said", F.lit(A.NO_INFO)))
+        route = F.when(~F.col("_ok"), "declined").otherwise(F.coalesce("route", F.lit("search")))
+        rows = out.select("query_id", A.with_heading(text).alias("answer"), route.alias("route"), "confidence")
+        return seen.select("query_id", "query", "intent").join(rows, "query_id")
+
+    def summarise(self, queries: DataFrame, budget: int = 22_000) -> DataFrame:
+        """(query_id, document_id, summary): the first articles of each question's best document that fit the budget."""
+        best = K.best_document(queries, self.tables["documents"])
+        rows = best.join(self.tables["articles"], "document_id").withColumn("line", F.concat_ws("\n", F.concat_ws(". ", "article_number", F.nullif("title", F.lit(""))), "content"))
+        kept = R.budget_prefix(rows, "query_id", [F.col("article_ord")], F.length("line"), budget)
+        lines = F.transform(F.sort_array(F.collect_list(F.struct("article_ord", "line"))), lambda x: x["line"])
+        return kept.groupBy("query_id", "document_id").agg(F.array_join(lines, "\n\n").alias("summary"))
+
+    def compare(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """(query_id, side, document_id, context): passages of the two documents that a question compares."""
+        sides = K.compared_documents(queries, self.tables["documents"]).filter("document_id IS NOT NULL")
+        rows = sides.join(self.chunks.select("document_id", "chunk_id", "text"), "document_id")
+        top = R.top_k(rows, ["query_id", "side"], [F.col("chunk_id")], k)
+        return top.groupBy("query_id", "side", "document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n---\n").alias("context"))
+
+    def tool(self, name: str, queries: DataFrame) -> DataFrame:
+        """summarize, extract (lookup), classify, compare or draft (a skeleton with the legal basis that search finds)."""
+        if name == "draft":
+            found = self.search(queries, 8)
+            refs = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", A.source_label(F.col("doc_number"), F.col("document_title")).alias("l")))), lambda x: x["l"]).alias("refs"))
+            return queries.join(refs, "query_id", "left").select("query_id", A.draft_basis(F.col("query"), F.coalesce("refs", F.array().cast("array<string>"))).alias("draft"))
+        return {"summarize": self.summarise, "extract": self.lookup, "classify": self.classify, "compare": self.compare}[name](queries)
+
+    @staticmethod
+    def procedures(queries: DataFrame, table: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+        """Steps of each question's best procedure, or, with ``aliases``, which documents are still missing."""
+        return A.document_check(queries, table, aliases) if aliases is not None else A.best_procedure(queries, table)
+
+    def document(self, document_id: int) -> DataFrame:
+        """A document's row with its chapters, articles and chunks counted."""
+        count = lambda t: self.tables[t].filter(F.col("document_id") == document_id).agg(F.count("*").alias(f"n_{t}"))
+        return self.tables["documents"].filter(F.col("document_id") == document_id).crossJoin(count("chapters")).crossJoin(count("articles")).crossJoin(count("chunk_vectors"))
+
     def delete(self, ids: DataFrame) -> Engine:
-        return Engine(self.spark, store.delete_cascade({"c": self.chunks}, ids)["c"], self.embedder, self.rules)
+        left = store.delete_cascade({"c": self.chunks, **self.tables}, ids)
+        return Engine(self.spark, left.pop("c"), self.embedder, self.rules, left)
 
     def documents(self, offset: int = 0, limit: int = 20) -> DataFrame:
         return self.chunks.groupBy("document_id", "doc_number").agg(F.count("*").alias("n_chunks")).orderBy("document_id").offset(offset).limit(limit)

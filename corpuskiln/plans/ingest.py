@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import legal as G
 from corpuskiln.functions import text as X
+from corpuskiln.operators import layers as L
 from corpuskiln.operators import providers, structure
 from corpuskiln.sources import files
 
-#: Lines dropped by the cleaner: page numbers and rules.
-NOISE = r"^\s*(?:\d+|-+\s*\d+\s*-+|_{3,}|\*{3,})\s*$"
-
-
 def documents_of(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, unreadable) of binary files. Ids are hashes of paths, so a rerun finds the same ones."""
+    """(documents, unreadable) of binary files. Ids are hashes of paths, so a rerun finds the same ones.
+
+    The text is cleaned but not rebuilt from its article blocks (``X.preprocessed``), which would lose what stands above
+    the first article: number, dates and the heading of the first chapter."""
     read = files.texts(raw)
-    text = X.clean_lines("text", NOISE)
-    number = files.number_from_name(F.col("path"), F.col("text"))
-    docs = read.filter("error IS NULL").select(
-        F.xxhash64("path").alias("document_id"), "path", number.alias("doc_number"), X.spoken_date("text").alias("issued_date"),
-        F.concat_ws(" ", number).alias("title"), X.year_in(number).alias("year"), text.alias("text"),
+    stem = G.file_stem(F.col("path"))
+    good = read.filter("error IS NULL").withColumn("text", X.cleaned(X.composed("text"))).withColumn("doc_number", G.document_number(stem, F.col("text")))
+    good = good.withColumn("document_type", G.document_kind(F.col("doc_number"), stem, F.col("text"))).withColumn("abstract", G.subject(F.col("text"), F.col("document_type")))
+    issued = G.issued_date(F.col("text"))
+    title = G.canonical_title(F.col("document_type"), F.col("doc_number"), issued, F.col("abstract"))
+    docs = good.select(
+        F.xxhash64("path").alias("document_id"), "path", "doc_number", "document_type", "abstract", issued.alias("issued_date"), G.effective_date(F.col("text")).alias("effective_date"),
+        F.coalesce(title, stem).alias("title"), X.year_in("doc_number").alias("year"), "text",
     )
     return docs, read.filter("error IS NOT NULL").select(F.xxhash64("path").alias("document_id"), F.col("error").alias("reason"))
 
 
-def corpus_tables(raw: DataFrame, patterns: structure.Patterns = structure.Patterns(), embedder: providers.Embedder | None = None) -> dict[str, DataFrame]:
+def corpus_tables(raw: DataFrame, patterns: structure.Patterns = structure.Patterns(), embedder: providers.Embedder | None = None, vocabulary: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """documents, chapters, sections, articles, clauses, chunk_vectors and ingest_errors. With a ``vocabulary``
+    (domain -> keywords) documents get their domains, the first of which is ``legal_domain``."""
     docs, unreadable = documents_of(raw)
-    tables = structure.parsed(docs, patterns)
+    tables = structure.linked(structure.parsed(docs, patterns))
     good = docs.join(tables["errors"], "document_id", "left_anti")
-    chunks = tables["chunks"].withColumn("chunk_id", F.xxhash64("document_id", "article_ord", "clause_number", "chunk_type", "text"))
-    payload = good.select("document_id", "doc_number", F.col("title").alias("document_title"), "year")
-    vectors = providers.embedded(chunks.join(payload, "document_id"), provider=embedder)
-    return {"documents": good, "chapters": tables["chapters"], "articles": tables["articles"], "clauses": tables["clauses"], "chunk_vectors": vectors, "ingest_errors": tables["errors"].unionByName(unreadable)}
+    if vocabulary:
+        labels = L.document_labels(L.domain_hits(F.concat_ws(" ", "title", F.substring("text", 1, 2500)), vocabulary, n=9))
+        good = good.withColumn("law_intents", labels).withColumn("legal_domain", F.get("law_intents", F.lit(0)))
+    payload = good.select("document_id", "doc_number", F.col("title").alias("document_title"), "document_type", "year")
+    vectors = providers.embedded(tables["chunks"].join(payload, "document_id"), provider=embedder)
+    return {"documents": good, "chapters": tables["chapters"], "sections": tables["sections"], "articles": tables["articles"], "clauses": tables["clauses"], "chunk_vectors": vectors, "ingest_errors": tables["errors"].unionByName(unreadable)}
+
+
+def reembedded(vectors: DataFrame, embedder: providers.Embedder) -> DataFrame:
+    """The same chunks with another model's vectors: one partitioned pass, no pages to keep track of."""
+    return providers.embedded(vectors.drop("embedding"), provider=embedder)

@@ -87,9 +87,8 @@ p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
 q AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM {terms_sql()})
 SELECT query_id, doc_id, round(sum(ln(1 + tf)), 6) AS score FROM p JOIN q USING (term) GROUP BY query_id, doc_id, n HAVING count(*) = n""")
 def fts_and_match(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").withColumn("text", X.fold("text"))
-    index = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return S.match_all(with_terms(spark), index, "doc_id")
+    asked = with_terms(spark)
+    return S.match_all(asked, S.postings(load(spark, sf_dir, "documents"), "doc_id", asked=asked, pattern="[a-z0-9]+"), "doc_id")
 
 
 @register()
@@ -282,8 +281,7 @@ SELECT query_id, doc_id, source, final_score, new_rank AS rank FROM o WHERE new_
 def hybrid_search(spark, sf_dir):
     """Flagship: keyword and length rankings fused, reranked, penalised, boosted, diversified, capped."""
     rows = penalised(spark, sf_dir).select("query_id", "doc_id", "source", "final_score", "rank")
-    caps = R.dynamic_cap(rows, "final_score", "source")
-    spread = R.diversified(rows, "source").join(F.broadcast(caps), "query_id").filter("new_rank <= cap")
+    spread = R.diversified(R.with_cap(rows, "final_score", "source"), "source").filter("new_rank <= cap")
     return spread.select("query_id", "doc_id", "source", "final_score", F.col("new_rank").alias("rank"))
 
 

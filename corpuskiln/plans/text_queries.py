@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.functions import rules as U
 from corpuskiln.functions import text as X
+from corpuskiln.operators import answer as A
 from corpuskiln.operators import chunks as C
 from corpuskiln.operators import metrics as M
 from corpuskiln.plans.common import load
@@ -140,9 +141,8 @@ def multi_label_topn(spark, sf_dir):
 
 @register("SELECT doc_id, round(least(round(n_chars::DOUBLE / (n_chars + 1000), 6) + 0.05 * (contains(text, 'License')::INT + contains(text, '.')::INT + contains(text, '|')::INT), 1.0), 3) AS confidence FROM documents")
 def answer_confidence(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
-    markers = sum((F.contains("text", F.lit(m)).cast("int") for m in ("License", ".", "|")), F.lit(0))
-    return d.select("doc_id", F.round(F.least(F.round(F.col("n_chars") / (F.col("n_chars") + 1000), 6) + 0.05 * markers, F.lit(1.0)), 3).alias("confidence"))
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + 1000), 6)
+    return load(spark, sf_dir, "documents").select("doc_id", A.confidence(score, F.col("text"), ["License", ".", "|"]).alias("confidence"))
 
 
 @register(r"""
@@ -152,9 +152,10 @@ SELECT conv_id, turn, answered::BIGINT AS answered, asked::BIGINT AS asked, aske
 def completeness_check(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     n = lambda t: F.size(F.array_distinct(F.regexp_extract_all(t, F.lit("[A-Z][a-z]+"), F.lit(0)))).cast("long")
-    a = c.filter("role = 'assistant'").select("conv_id", "turn", n("text").alias("answered"))
-    q = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), n("text").alias("asked"))
-    return a.join(q, ["conv_id", "turn"]).withColumn("complete", (F.col("asked") == 0) | (F.col("answered") >= F.col("asked")))
+    a = c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    q = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    rows = a.join(q, ["conv_id", "turn"]).withColumn("complete", A.complete(F.col("context"), F.col("answer"), "([A-Z][a-z]+)"))
+    return rows.select("conv_id", "turn", n("answer").alias("answered"), n("context").alias("asked"), "complete")
 
 
 @register(r"""
@@ -172,9 +173,9 @@ def strip_accents_key(spark, sf_dir):
 
 
 @register("""
-WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations WHERE role = 'user'),
+WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
 g AS (SELECT unnest(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS phrase FROM t)
-SELECT phrase, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 3""")
+SELECT phrase, count(*) AS n FROM g GROUP BY 1""")
 def ngram_counts(spark, sf_dir):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     labelled = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
@@ -182,9 +183,9 @@ def ngram_counts(spark, sf_dir):
 
 
 @register("""
-WITH s AS (SELECT list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 60) AS ws, toxic AS y FROM documents JOIN labels USING (doc_id)),
+WITH s AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS ws, toxic AS y FROM documents JOIN labels USING (doc_id)),
 b AS (SELECT avg(y) AS base FROM s),
-g AS (SELECT DISTINCT rn, y, phrase FROM (SELECT row_number() OVER () AS rn, y, unnest(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]))) AS phrase FROM s) WHERE length(phrase) >= 4),
+g AS (SELECT DISTINCT rn, y, phrase FROM (SELECT row_number() OVER () AS rn, y, unnest(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS phrase FROM s) WHERE length(phrase) >= 4),
 c AS (SELECT phrase, count(*) AS n, sum(y)::BIGINT AS hits FROM g GROUP BY 1),
 m AS (SELECT * FROM c WHERE hits > 0 ORDER BY hits DESC, phrase LIMIT 400)
 SELECT phrase, hits AS support, n, round(hits / n, 6) AS precision, round(hits / n / base, 6) AS lift FROM m, b WHERE hits >= 5 AND round(hits / n, 6) >= 0.7 ORDER BY lift DESC, precision DESC, support DESC, phrase LIMIT 12""")

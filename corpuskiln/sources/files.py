@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import legal as G
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -55,7 +57,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: str, required: list[str], limit: int | None = None) -> DataFrame:
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).dropna(subset=required)
+    """Elements of a JSON array whose required fields are there and, where they are texts, not blank. ``limit`` takes
+    the first ones of the file, which is one task's as a JSON array can't be split."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    kinds = dict(rows.dtypes)
+    for name in required:
+        filled = F.col(name).isNotNull()
+        rows = rows.filter(filled & (F.trim(name) != "") if kinds.get(name) == "string" else filled)
     return rows.limit(limit) if limit else rows
 
 
@@ -67,9 +75,5 @@ def joined_pages(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def number_from_name(path: Column, text: Column) -> Column:
-    """A document number from a file name like 13_2025_TT-ABC, else from the text, else the stem."""
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z]+$", "")
-    parts = [F.regexp_extract(stem, r"(\d{1,4})_(\d{4})_([A-Za-zĐđ]+(?:-[A-Za-zĐđ0-9]+)*)", i) for i in (1, 2, 3)]
-    named = F.when(parts[0] != "", F.concat_ws("/", *parts))
-    said = F.nullif(F.regexp_extract(text, r"(?iu)số:\s*(\d{1,4}/\d{4}/[A-ZĐ]+(?:-[A-ZĐ0-9]+)*)", 1), F.lit(""))
-    return F.coalesce(named, said, F.substring(stem, 1, 100))
+    """A document's number from its file's name, else from its text, else the name."""
+    return G.document_number(G.file_stem(path), text)
