@@ -112,10 +112,8 @@ def topic_lookup(questions: DataFrame, documents: DataFrame, articles: DataFrame
 def lookup(questions: DataFrame, documents: DataFrame, articles: DataFrame, clauses: DataFrame) -> DataFrame:
     """The first way that finds anything, per question: by article, by number, by topic in a named law."""
     order = [F.col("score").desc(), F.col("article_id"), F.col("clause_id").asc_nulls_first()]
-    every = None
-    for i, way in enumerate((article_lookup, number_lookup, topic_lookup)):
-        rows = way(questions, documents, articles, clauses).withColumn("way", F.lit(i))
-        every = rows if every is None else every.unionByName(rows)
+    ways = (article_lookup, number_lookup, topic_lookup)
+    every = R.union([way(questions, documents, articles, clauses).withColumn("way", F.lit(i)) for i, way in enumerate(ways)])
     first = every.withColumn("_best", F.min("way").over(Window.partitionBy("query_id"))).filter("way = _best").drop("_best")
     return R.ranked(first, "query_id", order)
 
@@ -218,7 +216,7 @@ def expanded_articles(passages: DataFrame, chunks: DataFrame, most: int = 1) ->
 
 def with_missing(passages: DataFrame, more: DataFrame, text: str = "text", first: int = 100) -> DataFrame:
     """Passages and those further ones whose beginning none of them has."""
-    every = passages.withColumn("_src", F.lit(0)).unionByName(more.withColumn("_src", F.lit(1)), allowMissingColumns=True)
+    every = R.union([passages.withColumn("_src", F.lit(0)), more.withColumn("_src", F.lit(1))])
     cut = F.sha2(F.substring(F.coalesce(text, F.lit("")), 1, first), 256)
     known = every.withColumn("_cut", cut).withColumn("_old", F.max((F.col("_src") == 0).cast("int")).over(Window.partitionBy("query_id", "_cut")))
     once = R.ranked(known, ["query_id", "_cut", "_src"], [F.col("rank")], "_n")

@@ -59,25 +59,25 @@ def exclusive_quartiles(df: DataFrame, by: str, value: str, whole: int = 200_000
     No group is sorted whole.  Approximate percentiles, whose error in rank is known, give a stretch of values around
     each quartile (for groups of up to ``whole`` rows: all of them); what lies below it is counted, and only the
     distinct values of the stretch are put in order."""
-    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).alias("v"))
     e = 4.0 / accuracy
     edges = [min(max(k / 4 + d, 0.0), 1.0) for k in (1, 2, 3) for d in (-e, e)]
-    stats = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", edges, accuracy).alias("p"))
+    stats = rows.groupBy("_by").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", edges, accuracy).alias("p"))
     m = lambda k: F.lit(k) * (F.col("n") + 1)
     j = lambda k: F.greatest(F.lit(1), F.least(F.floor(m(k) / 4), F.col("n") - 1))
     small = F.col("n") <= max(whole, 2 * accuracy)
     part = lambda k: F.struct(F.lit(k).alias("k"), j(k).alias("j"), (m(k) - 4 * j(k)).alias("d"), F.when(small, F.col("low")).otherwise(F.col("p")[2 * k - 2]).alias("from"), F.when(small, F.col("high")).otherwise(F.col("p")[2 * k - 1]).alias("to"))
-    asked = stats.select(by, F.explode(F.array(*[part(k) for k in (1, 2, 3)])).alias("q")).select(by, "q.*")
-    counts = rows.groupBy(by, "v").agg(F.count("*").alias("c"))
-    met = counts.join(asked, by).filter(F.col("v") <= F.col("to"))
+    asked = stats.select("_by", F.explode(F.array(*[part(k) for k in (1, 2, 3)])).alias("q")).select("_by", "q.*")
+    counts = rows.groupBy("_by", "v").agg(F.count("*").alias("c"))
+    met = counts.join(asked, "_by").filter(F.col("v") <= F.col("to"))
     inside = F.when(F.col("v") >= F.col("from"), F.col("v"))  # null: all values below, as one row
-    met = met.groupBy(by, "k", "j", "d", inside.alias("v")).agg(F.sum("c").alias("c"))
-    up_to = F.sum("c").over(Window.partitionBy(by, "k").orderBy(F.col("v").asc_nulls_first()))
+    met = met.groupBy("_by", "k", "j", "d", inside.alias("v")).agg(F.sum("c").alias("c"))
+    up_to = F.sum("c").over(Window.partitionBy("_by", "k").orderBy(F.col("v").asc_nulls_first()))
     at = lambda i: F.max(F.when((F.col("up_to") >= i) & (F.col("up_to") - F.col("c") < i), F.col("v")))
-    pairs = met.withColumn("up_to", up_to).groupBy(by, "k").agg(at(F.col("j")).alias("lo"), at(F.col("j") + 1).alias("hi"), F.max("d").alias("d"))
+    pairs = met.withColumn("up_to", up_to).groupBy("_by", "k").agg(at(F.col("j")).alias("lo"), at(F.col("j") + 1).alias("hi"), F.max("d").alias("d"))
     mean = F.round(F.coalesce((F.col("lo") * (4 - F.col("d")) + F.col("hi") * F.col("d")) / 4, F.col("lo")), 6)
-    found = pairs.groupBy(by).agg(*[F.max(F.when(F.col("k") == k, mean)).alias(f"q{k}") for k in (1, 2, 3)])
-    return stats.select(by, "n", "mean", "low", "high").join(found, by)
+    found = pairs.groupBy("_by").agg(*[F.max(F.when(F.col("k") == k, mean)).alias(f"q{k}") for k in (1, 2, 3)])
+    return stats.select("_by", "n", "mean", "low", "high").join(found, "_by").withColumnRenamed("_by", by)
 
 
 def _gram(words: Column, n: int):

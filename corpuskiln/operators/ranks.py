@@ -21,6 +21,13 @@ def first_by_key(df: DataFrame, key: str | list[str], order: list[Column]) -> Da
     return top_k(df, key, order, 1, "_first").drop("_first")
 
 
+def union(parts: list[DataFrame], by: str = "query_id") -> DataFrame:
+    """The rows of all parts, which may each be ordered by windows over ``by``. Spark 4.1 then pairs the parts' partitions, and
+    fails where adaptive execution has given them different numbers; a column that is computed claims no partitioning."""
+    parted = [df.withColumn(by, F.element_at(F.array(by), 1)) for df in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parted)
+
+
 def rrf(lists: list[DataFrame], key: list[str], k: int = 60, rank: str = "rank", score: str = "score") -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (1-based ranks) within ``query_id``.
 
@@ -28,7 +35,7 @@ def rrf(lists: list[DataFrame], key: list[str], k: int = 60, rank: str = "rank",
     highest ``score`` (first list on ties).  Only ids, ranks and scores travel.
     """
     cols = ["query_id", *key, rank, score]
-    every = reduce(DataFrame.unionByName, [df.select(*cols, F.lit(i).alias("list")) for i, df in enumerate(lists)])
+    every = union([df.select(*cols, F.lit(i).alias("list")) for i, df in enumerate(lists)])
     fused = every.groupBy("query_id", *key).agg(
         F.sum(1.0 / (k + F.col(rank))).alias("rrf_score"),
         F.max(score).alias(score),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as X
-from corpuskiln.operators.ranks import top_k
+from corpuskiln.operators.ranks import top_k, union
 
 #: Bytes of a query side up to which it is broadcast; beyond it, Spark chooses the join.
 BROADCAST_BYTES = 8 << 20
@@ -40,7 +39,7 @@ def keyword_scores(queries: DataFrame, docs: DataFrame, terms: str = "terms", te
 
 def cascade(tiers: list[DataFrame], by: str = "query_id") -> DataFrame:
     """Rows of each query's first tier that has any."""
-    every = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i).cast("long")) for i, t in enumerate(tiers, 1)])
+    every = union([t.withColumn("tier", F.lit(i).cast("long")) for i, t in enumerate(tiers, 1)], by)
     best = every.groupBy(F.col(by).alias("_by")).agg(F.min("tier").alias("_best"))  # a row per query
     return every.join(F.broadcast(best), F.col(by).eqNullSafe(F.col("_by")) & (F.col("tier") == F.col("_best"))).drop("_by", "_best")
 
@@ -48,9 +47,9 @@ def cascade(tiers: list[DataFrame], by: str = "query_id") -> DataFrame:
 def first_tier(tiers: list[DataFrame], order: list[Column], k: int, by: str = "query_id") -> DataFrame:
     """The first k rows, in order, of each query's first tier that has any, with ``tier`` and ``rank``. Tiers are cut to k rows a
     query first, so what a window then sees is small, and nothing is computed twice."""
-    cut = [top_k(t, by, order, k, "_n").drop("_n").withColumn("tier", F.lit(i).cast("long")) for i, t in enumerate(tiers, 1)]
-    every = reduce(DataFrame.unionByName, cut)
-    best = every.withColumn("_best", F.min("tier").over(Window.partitionBy(by))).filter("tier = _best").drop("_best")
+    every = union([t.withColumn("tier", F.lit(i).cast("long")) for i, t in enumerate(tiers, 1)], by)
+    cut = top_k(every, [by, "tier"], order, k, "_n").drop("_n")
+    best = cut.withColumn("_best", F.min("tier").over(Window.partitionBy(by))).filter("tier = _best").drop("_best")
     return top_k(best, by, order, k)
 
 
@@ -233,7 +232,7 @@ def closest(found: DataFrame, asked: str, held: str, key: str) -> DataFrame:
 def topped_up(lists: list[DataFrame], k: int, key: str = "doc_id", wanted: int | None = None) -> DataFrame:
     """The first list's rows, and where a question has fewer than ``wanted`` (k) of them, those of the next lists that
     it doesn't have yet, in order of lists and ranks; k at most."""
-    every = reduce(DataFrame.unionByName, [df.select("query_id", key, "rank", F.lit(i).alias("list")) for i, df in enumerate(lists)])
+    every = union([df.select("query_id", key, "rank", F.lit(i).alias("list")) for i, df in enumerate(lists)])
     once = every.groupBy("query_id", key).agg(F.min(F.struct("list", "rank")).alias("at")).select("query_id", key, "at.*")
     own = once.withColumn("_own", F.count(F.when(F.col("list") == 0, 1)).over(Window.partitionBy("query_id")))
     kept = own.filter((F.col("list") == 0) | (F.col("_own") < (wanted or k))).drop("_own")
