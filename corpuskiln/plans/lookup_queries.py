@@ -115,10 +115,10 @@ def topic_lookup(spark, sf_dir):
 
 
 @register(f"""
-WITH {_CORPUS}, r AS (SELECT query_id, article_id, no, n, query_id % 4 AS kind, row_number() OVER (PARTITION BY query_id ORDER BY article_id) AS i FROM ask JOIN arts USING (document_id)),
-w AS (SELECT *, bool_or(kind = 0 AND no = n) OVER (PARTITION BY query_id) AS hit, bool_or(kind = 2 AND no % 3 = 1) OVER (PARTITION BY query_id) AS alike FROM r),
-v AS (SELECT *, CASE WHEN hit THEN 'asked' WHEN alike THEN 'title' WHEN kind = 1 THEN 'general' WHEN kind = 3 THEN 'overlap' ELSE 'first' END AS way FROM w),
-o AS (SELECT query_id, article_id, way, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN way = 'title' AND no % 3 = 1 THEN 0 ELSE 1 END, article_id) AS rank FROM v WHERE way <> 'asked' OR no = n)
+WITH {_CORPUS}, r AS (SELECT query_id, article_id, no, n, query_id % 4 AS kind, query_id % 4 = 0 AND split_part(content, ' ', 3) = n::VARCHAR AS said, row_number() OVER (PARTITION BY query_id ORDER BY article_id) AS i FROM ask JOIN arts USING (document_id)),
+w AS (SELECT *, bool_or(kind = 0 AND no = n) OVER (PARTITION BY query_id) AS hit, bool_or(kind = 2 AND no % 3 = 1) OVER (PARTITION BY query_id) AS alike, bool_or(said) OVER (PARTITION BY query_id) AS shared FROM r),
+v AS (SELECT *, CASE WHEN hit THEN 'asked' WHEN alike THEN 'title' WHEN kind = 1 THEN 'general' WHEN kind = 3 OR shared THEN 'overlap' ELSE 'first' END AS way FROM w),
+o AS (SELECT query_id, article_id, way, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN way = 'title' AND no % 3 = 1 OR way = 'overlap' AND said THEN 0 ELSE 1 END, article_id) AS rank FROM v WHERE way <> 'asked' OR no = n)
 SELECT query_id, article_id, way, (CASE WHEN way IN ('overlap', 'first') THEN 0.78 ELSE 1.0 END)::DOUBLE AS score, rank FROM o WHERE rank <= CASE way WHEN 'asked' THEN 1 WHEN 'title' THEN 1 WHEN 'general' THEN 30 WHEN 'overlap' THEN 18 ELSE 15 END""")
 def direct_article_choice(spark, sf_dir):
     docs, arts, _ = corpus(spark, sf_dir)

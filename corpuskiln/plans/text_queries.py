@@ -179,7 +179,8 @@ SELECT phrase, count(*) AS n FROM g GROUP BY 1""")
 def ngram_counts(spark, sf_dir):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     labelled = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return labelled.select(F.explode(M.ngrams(words)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    spoken = labelled.select(words.alias("ws"))  # a column first: inside a lambda the words would be found again for each of them
+    return spoken.select(F.explode(M.ngrams(F.col("ws"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
 @register("""
