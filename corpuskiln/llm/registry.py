@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from corpuskiln.llm import jaccard, licenses, linededup, lm, media, mixing, resampling, sharding, substrings, tiling, toxicity
+from corpuskiln.llm import jaccard, licenses, linededup, lm, media, mixing, repair, resampling, sharding, substrings, tiling, toxicity
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_tiling": tiling.op9_tiling,
     "op10_media": media.op10_media,
     "op12_resampling": resampling.op12_resampling,
+    "op13_repair": repair.op13_repair,
 }
 ORACLE_SQL = {
     "op1_substrings": substrings.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_sharding": sharding.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
     "op12_resampling": resampling.OP12_SQL,
+    "op13_repair": repair.OP13_SQL,
 }

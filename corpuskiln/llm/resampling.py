@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.common import in_batches, load, raw_texts, settle, spread
+from corpuskiln.llm.common import in_batches, load, numbered, raw_texts, settle
 
 LONGEST, BUCKETS = 2, 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 25, 7
@@ -165,21 +165,6 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0)))).cast("long")
 
 
-def numbered(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
-    """Rows with their number (1, 2, ...) in an order of all rows: a range partitioning, and in each partition the
-    numbers after those of the partitions before it."""
-    placed = rows.repartitionByRange(spread(rows), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = settle(placed, "ordered")
-    part = F.shiftright("_at", 33)
-    before, offsets = 0, []
-    for row in sorted(placed.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):  # one row per partition
-        offsets.append((row["part"], before))
-        before += row["count"]
-    offset = rows.sparkSession.createDataFrame(offsets, "_part long, _before long")
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(offset), part == F.col("_part")).withColumn(into, F.col("_before") + within + 1).drop("_at", "_part", "_before")
-
-
 def drawn(scored: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_features, weight, score, rank): rank of the drawn documents, else null."""
     fit = F.col("n_words") >= least_words
