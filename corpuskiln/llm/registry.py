@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from corpuskiln.llm import jaccard, licenses, linededup, lm, media, mixing, repair, resampling, sharding, substrings, tiling, toxicity
+from corpuskiln.llm import jaccard, licenses, linededup, lm, media, mixing, pii, repair, resampling, sharding, substrings, tiling, toxicity
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_tiling": tiling.op9_tiling,
     "op10_media": media.op10_media,
+    "op11_pii": pii.op11_pii,
     "op12_resampling": resampling.op12_resampling,
     "op13_repair": repair.op13_repair,
 }
