@@ -15,8 +15,8 @@ per source is left, solved by trying all its outcomes.  A hot source is thus
 many groups.  Buckets come from row hashes, so reruns agree on any layout.
 
 Defined cases: null text has size 0; a source of size 0 has target 0 and takes
-nothing; repeated rows are separate documents; an empty table gives an empty
-result; extra columns are ignored by ``mix`` and kept by ``mixed``, whatever
+nothing; repeated rows are separate documents, which are flown as a count; an empty
+table gives an empty result; very long texts are only counted; extra columns are ignored by ``mix`` and kept by ``mixed``, whatever
 their names.  The number of sources may grow with the input (web hosts): their
 order and targets are found by Spark, the driver sees a few sums.
 """
@@ -35,7 +35,7 @@ from corpuskiln.llm.common import columns, fresh, load, settle, spread
 
 GROUP, FAN, LANDING = 2000, 64, 12
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (5, 2, 1)
-#: Times one row is repeated by one task.
+#: Rows that one row is turned into by one task.
 COPIES = 1000
 _EPS = 1e-9
 _OUTCOMES = ((np.arange(1 << LANDING)[:, None] >> np.arange(LANDING)) & 1).astype(np.float64)
@@ -123,28 +123,31 @@ def _same(docs: DataFrame, names: list[str]) -> Column:
     return F.xxhash64(*parts)
 
 
-def mix(docs: DataFrame, like: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
-    """(doc_id, source, key, nth, size, source_size, target, times, taken), a row per document.
-    ``key`` is a hash of the columns ``like``; ``nth`` numbers rows that agree in them."""
+def chosen(docs: DataFrame, like: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
+    """(doc_id, source, key, copies, size, source_size, target, sure, extra), a row per distinct document: each of its ``copies``
+    is taken ``sure`` times and ``extra`` of them once more. ``key`` is a hash of the columns ``like``.
+
+    Copies are alike in every constraint, so moving their probabilities against each other ends with whole copies and one
+    fractional one; that one alone flies on, and a row that is repeated a billion times costs as much as one row."""
     words = F.expr(r"size(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0))").cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _same(docs, list(like)).alias("key"), words.alias("size"))
     sized = settle(sized.groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("copies")), "sized")
-    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("docs"))
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("docs"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / GROUP)).cast("long")
     sources = settle(targets(settle(totals, "totals")).select("source", "source_size", "target", ratio.alias("ratio"), buckets.alias("buckets")), "sources")
-    units = sized.withColumn("nth", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
     # few sources are broadcast by Spark, which knows the size of the settled table; a hot one among many is split by it
-    units = units.join(sources, units["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    units = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     sure = F.least(F.floor(F.col("ratio") + _EPS), F.lit(int(CAP)))
-    units = units.withColumns({"sure": sure, "p": F.greatest(F.lit(0.0), F.col("ratio") - sure), "bucket": F.pmod(F.xxhash64("key", "nth"), F.col("buckets"))}).drop("ratio")
+    units = units.withColumn("sure", sure).withColumn("all", F.col("copies") * F.greatest(F.lit(0.0), F.col("ratio") - F.col("sure")))
+    units = units.withColumn("extra", F.floor(F.col("all") + _EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("all") - F.col("extra"))).withColumn("bucket", F.pmod("key", F.col("buckets")))
     most = sources.agg(F.coalesce(F.max("buckets"), F.lit(1))).first()[0]
-    schema = "source string, doc_id long, key long, size long, nth long, source_size long, target double, buckets long, sure long, p double, bucket long"
+    schema = "source string, doc_id long, key long, copies long, size long, source_size long, target double, buckets long, sure long, extra long, p double, bucket long"
     cols = [c.split()[0] for c in schema.split(", ")]
 
     def fly(last: bool, turn: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["key", "nth"], ignore_index=True)
+            pdf = pdf.sort_values(["key", "size", "doc_id"], ignore_index=True)
             seed = xxhash.xxh3_64_intdigest(f"{pdf['source'].iloc[0]}|{pdf['bucket'].iloc[0]}|{turn}".encode())
             p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
             p = flight(p, size, np.random.default_rng(seed))
@@ -167,7 +170,22 @@ def mix(docs: DataFrame, like: tuple[str, ...] = ("doc_id", "text", "source")) -
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    times = (F.col("sure") + F.col("p")).cast("long")
+    return out.select("doc_id", "source", "key", "copies", "size", "source_size", "target", "sure", (F.col("extra") + F.col("p").cast("long")).alias("extra"))
+
+
+def mix(docs: DataFrame, like: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
+    """(doc_id, source, key, nth, size, source_size, target, times, taken), a row per document; ``nth`` numbers
+    rows that agree in the columns ``like``. Rows of many copies are told off in blocks of ``COPIES`` by several tasks."""
+    rows = settle(chosen(docs, like), "chosen")
+    told = lambda df, first, last: df.withColumn("nth", F.explode(F.sequence(first, last)))
+    out = told(rows.filter(F.col("copies") <= COPIES), F.lit(1).cast("long"), F.col("copies"))
+    many = rows.filter(F.col("copies") > COPIES)
+    if not many.isEmpty():
+        block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+        blocks = many.withColumn("block", block).repartition(spread(docs), "key", "block")
+        at = F.col("block") * COPIES
+        out = out.unionByName(told(blocks, at + 1, F.least(F.col("copies"), at + COPIES)).drop("block"))
+    times = (F.col("sure") + (F.col("nth") <= F.col("extra")).cast("int")).cast("long")
     return out.select("doc_id", "source", "key", "nth", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
@@ -180,7 +198,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     names = docs.columns
     lowest = F.lit(-(2**63))
     one = docs.withColumns({key: _same(docs, names), who: F.coalesce(F.col("doc_id").cast("long"), lowest)}).dropDuplicates([key, who])
-    taken = mix(docs, tuple(names)).filter("times > 0").groupBy(F.col("key").alias(key), F.coalesce("doc_id", lowest).alias(who)).agg(F.sum("times").alias(times))
+    total = F.sum(F.col("copies") * F.col("sure") + F.col("extra")).cast("long")
+    taken = chosen(docs, tuple(names)).groupBy(F.col("key").alias(key), F.coalesce("doc_id", lowest).alias(who)).agg(total.alias(times)).filter(F.col(times) > 0)
     taken = settle(taken, "taken")
     repeat = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
     few = one.join(taken.filter(F.col(times) <= COPIES), [key, who])
