@@ -26,6 +26,8 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +77,7 @@ class Seeds:
         if (hi - lo).sum() <= PAIRS:
             spots = np.repeat(maybe, hi - lo)
             at = np.repeat(lo, hi - lo) + np.arange(len(spots)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            item = self.item[at]
-            for i in np.unique(item):
-                mine = item == i
-                found.append((i, matches(self.place[at[mine]], spots[mine], self.least)))
+            found = by_item(self.item[at], self.place[at], spots, self.least)
         else:  # repetitive texts: item by item, some diagonals at a time
             shared = np.zeros(len(self.items), bool)
             for a, b in zip(lo.tolist(), hi.tolist()):
@@ -115,13 +114,21 @@ def long_matches(item: np.ndarray, prints: np.ndarray, spots: np.ndarray, words:
     return out
 
 
+def by_item(item: np.ndarray, place: np.ndarray, spot: np.ndarray, least: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Each item's maximal matches (length, place in the item, spot in the document) from equal windows: one sort for
+    all items, so many items that share a few words cost no pass each."""
+    order = np.lexsort((place, spot - place, item))
+    item, place, diagonal = item[order], place[order], (spot - place)[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(diagonal) != 0) | (np.diff(place) != 1)]) if len(place) else np.zeros(0, int)
+    runs = np.diff(np.r_[first, len(place)]) + least - 1
+    rows = zip(item[first].tolist(), runs.tolist(), place[first].tolist(), (place + diagonal)[first].tolist())
+    return [(i, [r[1:] for r in mine]) for i, mine in groupby(rows, itemgetter(0))]
+
+
 def matches(place: np.ndarray, spot: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, place in the item, spot in the document) from equal windows."""
-    order = np.lexsort((place, spot - place))
-    place, diagonal = place[order], (spot - place)[order]
-    first = np.flatnonzero(np.r_[True, (np.diff(diagonal) != 0) | (np.diff(place) != 1)]) if len(place) else np.zeros(0, int)
-    runs = np.diff(np.r_[first, len(place)])
-    return [(int(n) + least - 1, int(place[f]), int(place[f] + diagonal[f])) for f, n in zip(first, runs)]
+    """The maximal matches of one item."""
+    found = by_item(np.zeros(len(place), np.int64), place, spot, least)
+    return found[0][1] if found else []
 
 
 def tile(found: list[tuple[int, int, int]], words: int, least: int) -> tuple[int, int]:

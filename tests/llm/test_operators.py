@@ -570,3 +570,30 @@ def test_license_variants(spark):
     d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan(d).collect()}
     assert [got[i] for i in range(len(rows))] == [want for want, _ in rows]
+
+
+def test_mixing_counts_repeated_rows(spark):
+    """A row repeated very often flies as one count; every copy gets its row, and the source its target."""
+    n = 300_000
+    many = spark.range(n).selectExpr("1L doc_id", "'two words' text", "'a' source")
+    some = spark.createDataFrame([(i, "w " * i, "b") for i in range(2, 40)], "doc_id long, text string, source string")
+    chosen = mixing.chosen(many.unionByName(some)).filter("source = 'a'").collect()
+    assert len(chosen) == 1 and chosen[0].copies == n
+    rows = mixing.mix(many.unionByName(some)).groupBy("source", "target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("times").alias("most")).collect()
+    for r in rows:
+        assert r.n == (n if r.source == "a" else 38) and abs(r.taken - r.target) <= 40 and r.most <= 2
+
+
+def test_tiling_of_many_items_with_one_stem():
+    """Items that share a question stem cost one sort, not a pass each."""
+    import time
+
+    r = random.Random(1)
+    say = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    stem = "which of the following statements is true about "
+    seeds = tiling.Seeds([(i, (stem + say(25)).encode()) for i in range(4000)])
+    doc = tiling.word_names((say(500) + " " + stem + " " + say(600)).encode())
+    began = time.perf_counter()
+    hits = seeds.hits(doc)
+    assert time.perf_counter() - began < 0.5
+    assert len(hits) == 4000 and all(c >= 8 / 33 for _, c, n in hits)
