@@ -3,7 +3,8 @@
 Tables: documents (document_id, doc_number, title, issued_date, effective_date), articles (article_id,
 document_id, article_number, title, content), clauses (clause_id, article_id, clause_number, content).
 A table of questions is one plan.  Numbers meet documents in equi-joins; names are word lists that must
-stand in a title, which is no equality, so the questions are the broadcast side of a scan of titles.
+stand in a title, which is no equality, so a question and a title meet by the rarest run of three
+characters of the question's longest word, and the words are looked for where that is shared.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import legal as G
 from corpuskiln.functions import text as X
 from corpuskiln.operators import ranks as R
-from corpuskiln.operators.search import first_tier, resolve_references, small
+from corpuskiln.operators.search import first_tier, resolve_references
+from corpuskiln.operators.textindex import longest, meeting
+from corpuskiln.sources.tables import written
 
 
 def parsed(questions: DataFrame) -> DataFrame:
@@ -31,10 +34,17 @@ def documents_named(asked: DataFrame, documents: DataFrame, most: int = 10) -> D
     holds = lambda w: F.contains(F.col("t"), w) | F.contains(F.col("n"), w)
     year = F.col("year").cast("string")
     dated = F.col("year").isNull() | F.contains("n", year) | F.contains("t", year) | F.coalesce(F.year("issued_date") == F.col("year"), F.lit(False)) | F.coalesce(F.year("effective_date") == F.col("year"), F.lit(False))
-    core = F.slice(F.filter("words", lambda w: F.length(w) > 2), 1, 3)
+    q = q.withColumn("core", F.slice(F.filter("words", lambda w: F.length(w) > 2), 1, 3))
     cols = ["query_id", "document_id", "issued_date", "effective_date"]
-    strict = d.join(small(q), F.forall("words", holds) & dated).select(*cols)
-    loose = d.join(small(q.withColumn("core", core).filter("size(core) > 0")), F.forall("core", holds)).select(*cols)
+    # pairs meet by a word of the name, or, where there is none, by the year; the rest is seen in the row
+    said = d.select("document_id", F.concat_ws("\n", "t", "n").alias("said"))
+    pivot = q.select("query_id", F.explode(F.array_distinct(F.array(longest("words"), longest("core"), F.when(F.size("words") == 0, year).otherwise("")))).alias("term"))
+    bare = q.filter(F.size("words") == 0).select("query_id", "year")
+    dates = d.select("document_id", F.explode(F.array_distinct(F.array_compact(F.array(F.year("issued_date").cast("string"), F.year("effective_date").cast("string"))))).alias("year"))
+    pairs = meeting(pivot, said, "document_id", "said").unionByName(bare.withColumn("year", year).join(dates, "year").select("query_id", "document_id")).distinct()
+    met = d.join(pairs, "document_id").join(q, "query_id")
+    strict = met.filter(F.forall("words", holds) & dated).select(*cols)
+    loose = met.filter((F.size("core") > 0) & F.forall("core", holds)).select(*cols)
     order = [F.desc_nulls_last("effective_date"), F.desc_nulls_last("issued_date"), F.col("document_id").desc()]
     return first_tier([strict, loose], order, most).select("query_id", "document_id", "rank")
 
@@ -44,7 +54,8 @@ def _passages(found: DataFrame, articles: DataFrame, documents: DataFrame, claus
     ``keep``: further columns of ``found``."""
     head = documents.select("document_id", "doc_number", F.col("title").alias("document_title"))
     rows = found.join(articles.select("article_id", "document_id", "article_number", "title", "content"), "article_id").join(head, "document_id")
-    parts = clauses.select("article_id", F.struct(F.col("clause_id").cast("long").alias("clause_id"), "clause_number", F.col("content").alias("said")).alias("c"))
+    wanted = found.select("article_id").distinct()  # only their clauses are collected
+    parts = clauses.join(wanted, "article_id", "left_semi").select("article_id", F.struct(F.col("clause_id").cast("long").alias("clause_id"), "clause_number", F.col("content").alias("said")).alias("c"))
     number = X.canonical_number("article_number")
     line = F.concat(F.lit("Điều "), number, F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(". "), F.col("title"))).otherwise(F.lit("")))
     title, none = F.nullif(F.trim("document_title"), F.lit("")), F.lit(None)
@@ -110,12 +121,15 @@ def topic_lookup(questions: DataFrame, documents: DataFrame, articles: DataFrame
 
 
 def lookup(questions: DataFrame, documents: DataFrame, articles: DataFrame, clauses: DataFrame) -> DataFrame:
-    """The first way that finds anything, per question: by article, by number, by topic in a named law."""
+    """The first way that finds anything, per question: by article, by number, by topic in a named law. A way is asked
+    only what the ones before it left open."""
     order = [F.col("score").desc(), F.col("article_id"), F.col("clause_id").asc_nulls_first()]
-    ways = (article_lookup, number_lookup, topic_lookup)
-    every = R.union([way(questions, documents, articles, clauses).withColumn("way", F.lit(i)) for i, way in enumerate(ways)])
-    first = every.withColumn("_best", F.min("way").over(Window.partitionBy("query_id"))).filter("way = _best").drop("_best")
-    return R.ranked(first, "query_id", order)
+    left, every = questions, []
+    for i, way in enumerate((article_lookup, number_lookup, topic_lookup)):
+        found = written(way(left, documents, articles, clauses).withColumn("way", F.lit(i)), name="way")
+        every.append(found)
+        left = left.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return R.ranked(R.union(every), "query_id", order)
 
 
 def choose_articles(held: DataFrame, articles: DataFrame, all_of: int = 180, general: int = 30, overlap: int = 18, plain: int = 15) -> DataFrame:
@@ -160,10 +174,14 @@ def best_document(questions: DataFrame, documents: DataFrame) -> DataFrame:
     lead = lambda c: F.nullif(F.regexp_extract(c, r"^(\d+/\d{4})", 1), F.lit(""))
     long = lambda n: F.filter(F.slice("words", 1, n), lambda w: F.length(w) >= 2)
     holds = lambda c: F.forall(c, lambda w: F.contains(F.col("t"), w))
-    asked = small(q.withColumns({"five": long(5), "three": long(3)}))
+    asked = q.withColumns({"five": long(5), "three": long(3)})
+    numbers = meeting(asked.select("query_id", F.col("ref").alias("term")), d.select("document_id", "n"), "document_id", "n")
+    titles = meeting(asked.select("query_id", F.explode(F.array_distinct(F.array(longest("five"), longest("three")))).alias("term")), d.select("document_id", "t"), "document_id", "t")
+    named = d.join(titles, "document_id").join(asked, "query_id")
     tiers = [
-        d.join(asked, (F.col("ref") != "") & F.contains("n", F.col("ref"))), q.withColumn("k", lead("ref")).join(d.withColumn("k", lead("n")), "k"),
-        d.join(asked, (F.size("five") > 0) & holds("five")), d.join(asked, (F.size("three") > 0) & (F.size("words") > 1) & holds("three")),
+        d.join(numbers, "document_id").join(asked, "query_id").filter((F.col("ref") != "") & F.contains("n", F.col("ref"))),
+        q.withColumn("k", lead("ref")).join(d.withColumn("k", lead("n")), "k"),
+        named.filter((F.size("five") > 0) & holds("five")), named.filter((F.size("three") > 0) & (F.size("words") > 1) & holds("three")),
     ]
     return first_tier([t.select("query_id", "document_id") for t in tiers], [F.col("document_id")], 1).select("query_id", "document_id", "tier")
 
@@ -188,10 +206,24 @@ def compared_documents(questions: DataFrame, documents: DataFrame) -> DataFrame:
 def metadata_search(questions: DataFrame, documents: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
     """(query_id, chunk_id, rank): chunks that hold any keyword, of documents whose title holds the field.
     ``questions``: query_id, field (or null), keywords (empty: any chunk)."""
-    low = chunks.join(documents.select("document_id", F.lower("title").alias("t")), "document_id").select("chunk_id", "t", F.lower("text").alias("c"))
-    q = small(questions.select("query_id", F.lower("field").alias("field"), F.transform("keywords", F.lower).alias("keywords")))
-    hit = (F.col("field").isNull() | F.contains("t", F.col("field"))) & ((F.size("keywords") == 0) | F.exists("keywords", lambda k: F.contains(F.col("c"), k)))
-    return R.top_k(low.join(q, hit).select("query_id", "chunk_id"), "query_id", [F.col("chunk_id")], most)
+    words = F.transform("keywords", F.lower)  # an empty one is in every text
+    q = questions.select("query_id", F.lower("field").alias("field"), F.when(F.array_contains(words, ""), F.array().cast("array<string>")).otherwise(words).alias("keywords"))
+    titled = documents.select("document_id", F.lower(F.coalesce("title", F.lit(""))).alias("t"))
+    low = chunks.select("chunk_id", "document_id", F.lower(F.coalesce("text", F.lit(""))).alias("c"))
+    said = (F.size("keywords") == 0) | F.exists("keywords", lambda k: F.contains(F.col("c"), k))
+    fielded = q.filter("field IS NOT NULL")
+    met = meeting(fielded.select("query_id", F.col("field").alias("term")), titled, "document_id", "t").join(titled, "document_id").join(fielded, "query_id")
+    within = met.filter(F.contains("t", F.col("field"))).join(low, "document_id").filter(said)
+    free = q.filter("field IS NULL")
+    worded = meeting(free.select("query_id", F.explode("keywords").alias("term")), low.select("chunk_id", "c"), "chunk_id", "c")
+    anywhere = worded.join(low, "chunk_id").join(free, "query_id").filter(said)
+    # a question without field and keywords wants any chunks: the first ones
+    first = chunks.select("chunk_id").orderBy("chunk_id").limit(most)
+    anything = q.filter((F.col("field").isNull() | (F.col("field") == "")) & (F.size("keywords") == 0)).crossJoin(F.broadcast(first))
+    blank = fielded.filter("field = '' AND size(keywords) > 0")
+    rest = meeting(blank.select("query_id", F.explode("keywords").alias("term")), low.select("chunk_id", "c"), "chunk_id", "c").join(low, "chunk_id").join(blank, "query_id").filter(said)
+    found = R.union([t.select("query_id", "chunk_id") for t in (within, anywhere, anything, rest)])
+    return R.top_k(found.distinct(), "query_id", [F.col("chunk_id")], most)
 
 
 def match_score(query: Column, number: Column, names_document: Column, semantic: Column, title: Column, text: Column, article: Column, chunk_type: Column) -> Column:

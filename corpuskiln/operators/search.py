@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as X
 from corpuskiln.operators.ranks import top_k, union
+from corpuskiln.operators.textindex import GramIndex, TextIndex
 
 #: Bytes of a query side up to which it is broadcast; beyond it, Spark chooses the join.
 BROADCAST_BYTES = 8 << 20
@@ -26,13 +27,17 @@ def query_table(spark: SparkSession, rows: list[tuple], schema: str = "query_id
     return spark.createDataFrame(rows, schema)
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame, terms: str = "terms", text: str = "text", first: int | None = None) -> DataFrame:
+def keyword_scores(queries: DataFrame, docs: DataFrame, terms: str = "terms", text: str = "text", first: int | None = None, index: GramIndex | None = None, key: str = "doc_id") -> DataFrame:
     """Each query's candidates (any term contained) with the share of terms contained.
 
-    Containment isn't an equality, so queries are the broadcast side of a scan of the documents: a block
-    of queries against all rows, filtered where they are read."""
+    With an ``index`` of the texts (whose keys are ``key``) queries meet documents by grams, an equi-join for any number
+    of queries.  Without one, queries are the broadcast side of one scan, which is the better plan for a few of them."""
     low = docs.withColumn("_low", F.lower(F.substring(text, 1, first) if first else F.col(text))).withColumn("_all", F.lower(text) if first else F.col("_low"))
-    pairs = low.join(small(queries), F.exists(terms, lambda t: F.contains(F.col("_all"), t)))
+    if index is None:
+        pairs = low.join(small(queries), F.exists(terms, lambda t: F.contains(F.col("_all"), t)))
+    else:
+        met = index.holding(queries.select("query_id", F.col(terms).alias("terms")), docs, key, text)
+        pairs = low.join(met, key).join(queries, "query_id")
     hits = F.size(F.filter(terms, lambda t: F.contains(F.col("_low"), t)))
     return pairs.withColumn("score", F.round(hits / F.greatest(F.size(terms), F.lit(1)), 6)).drop("_low", "_all")
 
@@ -41,7 +46,7 @@ def cascade(tiers: list[DataFrame], by: str = "query_id") -> DataFrame:
     """Rows of each query's first tier that has any."""
     every = union([t.withColumn("tier", F.lit(i).cast("long")) for i, t in enumerate(tiers, 1)], by)
     best = every.groupBy(F.col(by).alias("_by")).agg(F.min("tier").alias("_best"))  # a row per query
-    return every.join(F.broadcast(best), F.col(by).eqNullSafe(F.col("_by")) & (F.col("tier") == F.col("_best"))).drop("_by", "_best")
+    return every.join(best, F.col(by).eqNullSafe(F.col("_by")) & (F.col("tier") == F.col("_best"))).drop("_by", "_best")
 
 
 def first_tier(tiers: list[DataFrame], order: list[Column], k: int, by: str = "query_id") -> DataFrame:
@@ -57,12 +62,9 @@ def postings(docs: DataFrame, key: str, text: str = "text", asked: DataFrame | N
     """(term, key, tf): the inverted index of folded tokens. With ``asked`` (rows of terms, a set of questions) only
     those terms' postings: other tokens are dropped where they are read, before anything is shuffled."""
     words = X.tokens(X.fold(text), pattern)
-    if asked is None:
-        rows = docs.select(key, F.explode(words).alias("term"))
-    else:
-        terms = asked.select(F.explode("terms").alias("t")).agg(F.collect_set("t").alias("_asked"))
-        mine = docs.select(key, words.alias("_words")).crossJoin(F.broadcast(terms))  # one row
-        rows = mine.select(key, F.explode(F.filter("_words", lambda w: F.array_contains("_asked", w))).alias("term"))
+    rows = docs.select(key, F.explode(words).alias("term"))
+    if asked is not None:  # the terms of all questions, as a table; Spark broadcasts it while it is small
+        rows = rows.join(small(asked.select(F.explode("terms").alias("term")).distinct()), "term", "left_semi")
     return rows.groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
@@ -208,18 +210,17 @@ def resolve_references(queries: DataFrame, documents: DataFrame, ref: str = "ref
     return first_tier([exact, prefix, folded, bare], [F.col(key)], most)
 
 
-def full_text(queries: DataFrame, docs: DataFrame, key: str, title: str, text: str, k: int, where: Column | None = None, prefix: bool = False) -> DataFrame:
+def full_text(queries: DataFrame, docs: DataFrame, key: str, title: str, text: str, k: int, where: Column | None = None, prefix: bool = False, index: TextIndex | None = None) -> DataFrame:
     """(query_id, key, score, rank): documents that hold every token of a question in title or text (``prefix``: as the
-    beginning of a word), by cover density with the title weighing more; ``where`` filters documents first."""
+    beginning of a word), by cover density with the title weighing more; ``where`` filters documents first. With an
+    ``index`` of title and text only its blocks are read; a prefix search makes one where none is given."""
     pool = docs.filter(where) if where is not None else docs
     asked = queries.select("query_id", X.token_set(X.fold("query")).alias("terms")).filter("size(terms) > 0")
-    if prefix:  # words that begin with a term count as the term
-        words = X.tokens(X.fold(F.concat_ws(" ", title, text)))
-        met = pool.select(key, words.alias("w")).join(small(asked), F.forall("terms", lambda t: F.exists("w", lambda w: w.startswith(t))))
-        hits = F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.log(1.0 + F.size(F.filter("w", lambda w: w.startswith(t)))))
-        found = met.select("query_id", key, F.round(hits, 6).alias("score"))
-    else:
+    if index is None and not prefix:
         found = cover_density(pool, asked, key, title, text)
+    else:
+        index = index or TextIndex.build(docs, key, text, title)
+        found = index.ranked(asked, prefix, where=pool.select(key) if where is not None else None).withColumnRenamed("key", key)
     return top_k(found, "query_id", [F.col("score").desc(), F.col(key)], k)
 
 

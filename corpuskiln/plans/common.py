@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuskiln.operators.textindex import GramIndex, TextIndex
 
 #: (query_id, wording) of the standing query set.
 ASKED = (
@@ -18,15 +21,35 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({i}L, '{q}')" for i, q in ASKED)  # a local relation: its size is known to the optimizer
+def asked(spark: SparkSession, rows: tuple = ASKED) -> DataFrame:
+    rows = ", ".join(f"({i}L, '{q}')" for i, q in rows)  # a local relation: its size is known to the optimizer
     return spark.sql(f"SELECT * FROM VALUES {rows} AS q(query_id, query)")
 
 
-def asked_sql() -> str:
-    return "(VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in ASKED) + ") AS q(query_id, query)"
+def asked_sql(rows: tuple = ASKED) -> str:
+    return "(VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in rows) + ") AS q(query_id, query)"
 
 
-def terms_sql(alias: str = "terms") -> str:
+def terms_sql(alias: str = "terms", rows: tuple = ASKED) -> str:
     """The standing queries with their distinct tokens."""
-    return f"(SELECT query_id, query, list_distinct(string_split(query, ' ')) AS {alias} FROM {asked_sql()})"
+    return f"(SELECT query_id, query, list_distinct(string_split(query, ' ')) AS {alias} FROM {asked_sql(rows)})"
+
+
+_INDEXES: dict[tuple[str, str, str], TextIndex | GramIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the documents' texts, with language and source as title; written once per session."""
+    docs = load(spark, sf_dir, "documents").withColumn("title", F.concat_ws(" ", "lang", "source"))
+    return _once(spark, sf_dir, "words", lambda: TextIndex.build(docs, "doc_id", "text", "title"))
+
+
+def gram_index(spark: SparkSession, sf_dir: str) -> GramIndex:
+    return _once(spark, sf_dir, "grams", lambda: GramIndex.build(load(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build):
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _INDEXES:
+        _INDEXES[at] = build()
+    return _INDEXES[at]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import text as X
 from corpuskiln.operators import ranks as R
 from corpuskiln.operators import search as S
-from corpuskiln.plans.common import asked, load, terms_sql
+from corpuskiln.plans.common import ASKED, asked, gram_index, load, terms_sql, text_index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,8 +24,8 @@ def register(sql: str | None = None):
     return add
 
 
-def with_terms(spark: SparkSession) -> DataFrame:
-    return asked(spark).withColumn("terms", F.array_distinct(F.split("query", " ")))
+def with_terms(spark: SparkSession, rows: tuple = ASKED) -> DataFrame:
+    return asked(spark, rows).withColumn("terms", F.array_distinct(F.split("query", " ")))
 
 
 _SCORE = "round(len(list_filter(terms, lambda t: contains(lower(text), t)))::DOUBLE / greatest(len(terms), 1), 6)"
@@ -91,10 +91,64 @@ def fts_and_match(spark, sf_dir):
     return S.match_all(asked, S.postings(load(spark, sf_dir, "documents"), "doc_id", asked=asked, pattern="[a-z0-9]+"), "doc_id")
 
 
-@register()
+def _cover_sql(title: str, meets: str, rows: tuple = ASKED) -> str:
+    """Cover density in SQL: of all stretches between the terms' latest places, the first of each beginning is a cover."""
+    fold = lambda c: f"regexp_extract_all(replace(strip_accents(lower({c})), 'đ', 'd'), '[a-zA-ZÀ-ỹ0-9]+')"
+    lasts = ", ".join(f"max(CASE WHEN ti = {k} THEN r END) OVER (PARTITION BY query_id, doc_id ORDER BY r) AS l{k}" for k in range(1, 6))
+    every = " AND ".join(f"(n < {k} OR l{k} IS NOT NULL)" for k in range(1, 6))
+    return f"""
+WITH d AS (SELECT doc_id, {fold(title)} AS h, {fold("text")} AS w FROM documents),
+tok AS (SELECT doc_id, len(h) AS nh, unnest(list_concat(h, w)) AS w, generate_subscripts(list_concat(h, w), 1) - 1 AS place FROM d),
+asked AS (SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY t) AS ti, n FROM (SELECT query_id, unnest(terms) AS t, len(terms) AS n FROM {terms_sql(rows=rows)})),
+spots AS (SELECT query_id, doc_id, n, ti, place, CASE WHEN place < nh THEN 1.0 ELSE 0.4 END::DOUBLE AS weight, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place, ti) AS r FROM tok JOIN asked ON {meets}),
+lasts AS (SELECT query_id, doc_id, n, r, {lasts} FROM spots),
+covers AS (SELECT query_id, doc_id, least(l1, l2, l3, l4, l5) AS b, min(r) AS e FROM lasts WHERE {every} GROUP BY ALL),
+c AS (SELECT query_id, doc_id, b, count(*) / sum(1 / weight) / (2 + max(place) - min(place) - count(DISTINCT place)) AS s FROM covers JOIN spots USING (query_id, doc_id) WHERE r BETWEEN b AND e GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM c GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
+
+
+#: (query_id, wording): terms of titles and texts.
+TITLED = ((1, "en license"), (2, "src1 of"), (3, "de src5 und"), (4, "fr la"), (5, "es src que"))
+
+
+@register(_cover_sql("lang || ' ' || source", "w = t", TITLED))
+def title_density_rank(spark, sf_dir):
+    """Full-text search over language and source (the title, weighing more) and text, from the index alone."""
+    return text_index(spark, sf_dir).top(with_terms(spark, TITLED), 10).withColumnRenamed("key", "doc_id")
+
+
+@register(_cover_sql("lang || ' ' || source", "starts_with(w, t)", TITLED))
+def prefix_density_rank(spark, sf_dir):
+    """The same with terms as beginnings of words."""
+    return text_index(spark, sf_dir).top(with_terms(spark, TITLED), 10, prefix=True).withColumnRenamed("key", "doc_id")
+
+
+#: Questions of the standing documents: every one whose id is divisible by 50 asks for its first three longer words.
+_ASKING = """
+asks AS (SELECT doc_id AS query_id, list_filter(regexp_extract_all(lower(text), '[a-z]{6,}'), lambda w, i: list_position(regexp_extract_all(lower(text), '[a-z]{6,}'), w) = i)[1:3] AS terms FROM (SELECT doc_id, text FROM documents WHERE doc_id % 50 = 0)),
+asking AS (SELECT query_id, terms FROM asks WHERE len(terms) > 0)"""
+
+
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").filter("doc_id % 50 = 0")
+    terms = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))), 1, 3)
+    return d.select(F.col("doc_id").alias("query_id"), terms.alias("terms")).filter("size(terms) > 0")
+
+
+@register(_ASKING.replace("asks AS", "WITH asks AS", 1) + """
+SELECT query_id, doc_id, round(len(list_filter(terms, lambda t: contains(lower(text), t)))::DOUBLE / len(terms), 6) AS score FROM documents, asking
+WHERE len(list_filter(terms, lambda t: contains(lower(text), t))) > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30""")
+def substring_search(spark, sf_dir):
+    """Parts of words, for many questions: they meet documents by runs of three characters."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = S.keyword_scores(asking(spark, sf_dir), docs, index=gram_index(spark, sf_dir))
+    return R.top_k(found, "query_id", [F.col("score").desc(), F.col("doc_id")], 30).select("query_id", "doc_id", "score")
+
+
+@register(_cover_sql("''", "w = t"))
 def cover_density_rank(spark, sf_dir):
-    found = S.cover_density(load(spark, sf_dir, "documents"), with_terms(spark).select("query_id", "terms"), "doc_id")
-    return R.top_k(found, "query_id", [F.col("score").desc(), F.col("doc_id")], 10)
+    return text_index(spark, sf_dir).top(with_terms(spark), 10, title=False).withColumnRenamed("key", "doc_id")
 
 
 _DOT = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
