@@ -227,3 +227,16 @@ def structure_chunks(spark, sf_dir):
 
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     return parsed(docs, Patterns(**PLAIN))["chunks"].select("document_id", "article_ord", "clause_number", "chunk_type", F.length("text").alias("n_chars"))
+
+
+@register()
+def parse_tree_udtf(spark, sf_dir):
+    """The line-by-line parser: every article with its clauses and points, and how its pieces are stored."""
+    from corpuskiln.operators import tree
+    from corpuskiln.operators.structure import Patterns
+
+    p = Patterns(**PLAIN)
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    found = tree.articles(docs, p)
+    n_points = F.aggregate("clauses", F.lit(0), lambda s, c: s + F.size(c["points"]))
+    return found.select("document_id", "article_ord", "label", "title", F.md5("content").alias("digest"), F.size("clauses").alias("n_clauses"), n_points.alias("n_points"))
