@@ -10,6 +10,7 @@ numbered lines; documents with neither have no rows and are reported by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -184,8 +185,9 @@ def rejected(docs: DataFrame, articles: DataFrame) -> DataFrame:
     return docs.select("document_id").join(articles.select("document_id").distinct(), "document_id", "left_anti").withColumn("reason", F.lit("no articles"))
 
 
-def parsed(docs: DataFrame, p: Patterns = Patterns()) -> dict[str, DataFrame]:
-    lines = lines_of(docs, p)
-    articles, clauses = articles_of(lines, p), clauses_of(lines, p)
+def parsed(docs: DataFrame, p: Patterns = Patterns(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """All tables of documents; ``keep`` is applied to what several of them read (writing it, for instance)."""
+    lines = keep(lines_of(docs, p))
+    articles, clauses = keep(articles_of(lines, p)), keep(clauses_of(lines, p))
     titles = docs.select("document_id", "title") if "title" in docs.columns else docs.select("document_id", F.lit("").alias("title"))
     return {"chapters": chapters_of(lines, p), "articles": articles, "clauses": clauses, "chunks": chunks_of(articles, clauses, titles), "errors": rejected(docs, articles)}

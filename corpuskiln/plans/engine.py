@@ -14,6 +14,8 @@ from corpuskiln.operators import ranks as R
 from corpuskiln.operators import search as S
 from corpuskiln.operators import store
 from corpuskiln.plans import ingest as I
+from corpuskiln.sources.buckets import Buckets
+from corpuskiln.sources.tables import written
 
 
 class Engine:
@@ -25,15 +27,18 @@ class Engine:
 
     @classmethod
     def ingest(cls, spark: SparkSession, path: str, at: str | None = None, **options) -> tuple[Engine, dict[str, DataFrame]]:
-        """An engine over the files of a folder, and its tables. With ``at`` the tables are written below it and read back:
-        files are parsed once, not once per use."""
+        """An engine over the files of a folder, and its tables. With ``at`` the tables are kept below it in buckets of
+        documents, where files that were taken in before are replaced (``sources.buckets``)."""
         from corpuskiln.sources import files
 
-        tables = I.corpus_tables(files.files(spark, path))
+        raw = files.files(spark, path)
         if at:
-            for name, table in tables.items():
-                table.write.mode("overwrite").parquet(f"{at}/{name}")
-                tables[name] = spark.read.parquet(f"{at}/{name}")
+            store_ = Buckets(spark, at)
+            I.ingested(raw, store_)
+            tables = {name: store_.table(name) for name in store_.names()}
+        else:
+            tables = I.corpus_tables(raw)
+            tables["chunk_vectors"] = written(tables["chunk_vectors"], name="chunk_vectors")
         return cls(spark, tables["chunk_vectors"], tables=tables, **options), tables
 
     def search(self, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:

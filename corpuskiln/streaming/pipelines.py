@@ -12,16 +12,18 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuskiln.plans import ingest
+from corpuskiln.sources.buckets import Buckets
 
 
 def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """New files become corpus tables; each file counts once, a file that fails is an error row."""
+    """New files become corpus tables in buckets of documents; each file counts once, a file that fails is an error row."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{docx,doc,txt}").load(folder)
 
+    store = Buckets(spark, out)
+
     def commit(batch: DataFrame, batch_id: int) -> None:
-        for name, table in ingest.corpus_tables(batch).items():
-            # a replayed batch overwrites its own part, so tables hold each file once
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        # a replayed batch, like a file that has changed, replaces its documents' rows in all tables
+        ingest.ingested(batch, store)
 
     return raw.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
