@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import text as X
 from corpuskiln.operators import ranks as R
 from corpuskiln.operators import search as S
-from corpuskiln.plans.common import ASKED, asked, gram_index, load, terms_sql, text_index
+from corpuskiln.plans.common import ASKED, asked, cell_index, gram_index, load, terms_sql, text_index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,6 +173,19 @@ def vector_topk_filtered(spark, sf_dir):
     return S.vector_top_k(probe_vectors(spark, sf_dir), load(spark, sf_dir, "embeddings"), "vec_id", 10, where=F.col("label").isin(1, 3))
 
 
+@register()
+def vector_index_topk(spark, sf_dir):
+    """The same neighbours through cells: the probes are tuned to find 0.95 of them on a sample."""
+    return cell_index(spark, sf_dir).search(probe_vectors(spark, sf_dir), 20)
+
+
+@register(_vector_sql(10, "e.label IN (1, 3)"))
+def vector_index_exact(spark, sf_dir):
+    """Every cell probed, filtered by a column: the exact way of the index."""
+    index = cell_index(spark, sf_dir)
+    return index.search(probe_vectors(spark, sf_dir), 10, where=F.col("label").isin(1, 3), probes=len(index.centres))
+
+
 _PROTO = """
 WITH p AS (SELECT label, embedding AS q FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3),
 m AS (SELECT vec_id, p.label, max(round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 6)) AS sim FROM embeddings, p GROUP BY ALL)"""
