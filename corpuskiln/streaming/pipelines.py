@@ -1,4 +1,4 @@
-"""Streams: continuous ingest of files, and per-conversation state."""
+"""Streams: continuous ingest of files, and kept messages; further keyed state is in ``state``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,8 +40,3 @@ def newest_messages(messages: DataFrame, most: int = 100) -> DataFrame:
 
     return messages.groupBy("conversation_id").applyInPandasWithState(update, "conversation_id long, n_kept long, oldest long", "kept array<long>", "update", GroupStateTimeout.NoTimeout)
 
-
-def cache_stream(answers: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """The latest answer per key within the time to live; event time decides, late answers are dropped."""
-    keyed = answers.withWatermark("at", ttl)
-    return keyed.groupBy("key", F.window("at", ttl)).agg(F.max_by("answer", "at").alias("answer"), F.max("at").alias("at"))
