@@ -279,3 +279,23 @@ def shown_date(d: Column) -> Column:
 def document_label(kind: Column, number: Column, title: Column) -> Column:
     """'kind number', with the title when there is no number."""
     return F.when(F.coalesce(number, F.lit("")) != "", F.concat_ws(" ", F.nullif(kind, F.lit("")), number)).otherwise(F.coalesce(title, F.lit("")))
+
+
+#: What a question asks for by its words.
+EXPLAINING = ("là gì", "nghĩa là gì", "hiểu như thế nào", "giải thích", "định nghĩa", "khái niệm", "có nghĩa", "ý nghĩa", "như thế nào", "thế nào là")
+COMPARING = ("so sánh", "khác nhau", "giống nhau", "đối chiếu", "khác gì", "điểm khác", "so với", "phân biệt", "sự khác biệt", "điểm giống")
+BROAD = ("chính sách", "các quy định", "toàn bộ", "tất cả", "danh mục", "liệt kê", "những quy định", "các điều")
+
+
+def query_features(query: Column, short: int = 30, long: int = 100) -> Column:
+    """struct of the eleven features by which a way of retrieval is chosen: what a question names, what it asks for, its length."""
+    q = X.strip(F.coalesce(query, F.lit("")))
+    low, flags = F.lower(q), question_flags(q)
+    says = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    n = F.length(q)
+    parts = {
+        "has_article_ref": flags["names_article"], "has_clause_ref": F.rlike(q, F.lit(r"(?iuU)khoản\s+\d+")), "has_doc_number": F.rlike(q, F.lit(r"(?U)\d{2,}/\d{4}/[A-ZĐa-zđ0-9\-]+")),
+        "is_procedure_like": flags["is_procedural"], "needs_explanation": says(EXPLAINING), "needs_comparison": says(COMPARING), "asks_fine_amount": flags["asks_fine"],
+        "needs_broad_coverage": says(BROAD), "query_length": n, "is_short_query": n < short, "is_long_query": n > long,
+    }
+    return F.struct(*[c.alias(k) for k, c in parts.items()])

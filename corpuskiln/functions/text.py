@@ -247,11 +247,24 @@ def clean_lines(c: Column | str, drop: str, hint: str | None = None, shorter: in
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
-def supported_lines(answer: Column | str, context: Column | str, pattern: str) -> Column:
-    """Lines of an answer whose cited numbers all stand in the context; null when none is left."""
-    known = F.regexp_extract_all(F.coalesce(col(context), F.lit("")), F.lit(pattern), F.lit(0))
-    kept = F.filter(F.split(col(answer), "\n"), lambda ln: F.size(F.array_except(F.regexp_extract_all(ln, F.lit(pattern), F.lit(0)), known)) == 0)
-    return F.nullif(F.array_join(kept, "\n"), F.lit(""))
+#: Fixed value: a document's number as an answer cites it.
+CITED = r"(?U)\b(\d+[/_]\d{4}[/_][A-ZĐa-zđ\-]+)\b"
+
+
+def supported_lines(answer: Column | str, context: Column | str, pattern: str = CITED, normal: Callable[[Column], Column] = normal_reference) -> Column:
+    """An answer without the lines that cite what the context doesn't; null when none is left. What is cited is compared
+    in its normal form.  A context that cites nothing says nothing about the answer, which then stays as it is, like
+    one whose citations all stand in the context."""
+    found = lambda c: F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: normal(m))
+    known = found(F.coalesce(col(context), F.lit("")))
+
+    def kept(known: Column) -> Column:
+        lines = F.split(col(answer), "\n")
+        good = F.filter(lines, lambda ln: F.size(F.array_except(found(ln), known)) == 0)
+        rest = strip(F.regexp_replace(F.array_join(good, "\n"), r"\n{3,}", "\n\n"))
+        return F.when((F.size(known) == 0) | (F.size(good) == F.size(lines)), col(answer)).otherwise(F.nullif(rest, F.lit("")))
+
+    return let(known, kept)
 
 
 def json_object(c: Column | str) -> Column:

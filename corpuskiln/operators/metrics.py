@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskiln.sources.tables import written
+
 
 def frequency(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
@@ -93,16 +101,67 @@ def ngrams(words: Column, longest: int = 3) -> Column:
     return F.concat(*parts)
 
 
+#: Slots of the sieve of frequent parts: 2 MB, however many parts there are.
+SLOTS = 1 << 24
+
+
+def sieve(phrases: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """A bit for the hash of each phrase (column ``phrase``). What isn't in the table may pass, what is always does."""
+    slot = F.pmod(F.xxhash64("phrase"), F.lit(slots)) + 1  # numbers of bits count from 1
+    bits = phrases.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    out = np.zeros(slots, bool)
+    for row in bits.collect():  # 4 KB a bucket of 32768 bits
+        held = np.flatnonzero(np.unpackbits(np.frombuffer(row["m"], np.uint8), bitorder="little"))
+        out[(row["b"] - 1) * 32768 + held] = True
+    return out
+
+
+def _slot(phrase: str, slots: int) -> int:
+    h = xxhash.xxh64_intdigest(phrase.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % slots
+
+
+def _grown(samples: DataFrame, words: str, n: int, passed: np.ndarray) -> DataFrame:
+    """(y, phrase): the distinct n-grams of each sample both of whose (n-1)-grams pass the sieve."""
+    sent, slots = samples.sparkSession.sparkContext.broadcast(np.packbits(passed)), len(passed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = np.unpackbits(sent.value).astype(bool)[:slots], {}
+        for batch in batches:
+            ys, grams = [], []
+            for y, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [" ".join(ws[i : i + n - 1]) for i in range(len(ws or ()) - n + 2)]
+                if len(known) > 1 << 18:
+                    known.clear()
+                good = [known[p] if p in known else known.setdefault(p, bits[_slot(p, slots)]) for p in parts]
+                mine = {f"{p} {ws[i + n - 1]}" for i, p in enumerate(parts[:-1]) if good[i] and good[i + 1]}
+                grams += mine
+                ys += [y] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(grams, pa.string())], names=["_y", "phrase"])
+
+    return samples.select("_y", words).mapInArrow(run, "_y int, phrase string")
+
+
 def mined_phrases(samples: DataFrame, words: str, target: Column, longest: int = 3, support: int = 5, precision: float = 0.70, candidates: int = 400, keep: int = 12, least: int = 4) -> DataFrame:
     """Phrases that predict ``target``: support, precision and lift over the base rate.
 
     A phrase counts once per sample; of the most common ``candidates`` phrases
-    of target samples (a report's size) the best ``keep`` are returned."""
-    marked = samples.select(F.col(words).alias("_w"), target.cast("int").alias("_y"))
+    of target samples (a report's size) the best ``keep`` are returned.
+
+    Phrases grow level by level.  One that ``support`` target samples hold has only parts that so many hold, so words
+    are counted first, pairs are made only where both words are that frequent, and triples only where both pairs are; what
+    is frequent reaches the tasks as a sieve of bits.  Rare phrases, which are nearly all, are never shuffled."""
+    marked = samples.select(target.cast("int").alias("_y"), F.col(words).alias("_w"))
     base = marked.agg(F.avg("_y").alias("base"))
-    grams = marked.select("_y", F.explode(F.array_distinct(ngrams(F.col("_w"), longest))).alias("phrase")).filter(F.length("phrase") >= least)
-    counts = grams.groupBy("phrase").agg(F.count("*").alias("n"), F.sum("_y").alias("hits"))
-    common = counts.filter("hits > 0").orderBy(F.col("hits").desc(), "phrase").limit(candidates)
+    grams = marked.select("_y", F.explode(F.array_distinct("_w")).alias("phrase"))
+    levels = []
+    for n in range(1, longest + 1):
+        counts = grams.groupBy("phrase").agg(F.count("*").alias("n"), F.sum("_y").alias("hits")).filter(F.col("hits") >= support)
+        levels.append(written(counts, name="phrases"))
+        if n < longest:
+            grams = _grown(marked, "_w", n + 1, sieve(levels[-1]))
+    every = reduce(DataFrame.unionByName, levels).filter(F.length("phrase") >= least)
+    common = every.orderBy(F.col("hits").desc(), "phrase").limit(candidates)
     scored = common.crossJoin(F.broadcast(base)).withColumn("precision", F.round(F.col("hits") / F.col("n"), 6))
-    scored = scored.withColumn("lift", F.round(F.col("hits") / F.col("n") / F.col("base"), 6)).filter((F.col("hits") >= support) & (F.col("precision") >= precision))
+    scored = scored.withColumn("lift", F.round(F.col("hits") / F.col("n") / F.col("base"), 6)).filter(F.col("precision") >= precision)
     return scored.orderBy(F.col("lift").desc(), F.col("precision").desc(), F.col("hits").desc(), "phrase").limit(keep).select("phrase", F.col("hits").alias("support"), "n", "precision", "lift")

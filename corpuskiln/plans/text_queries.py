@@ -159,8 +159,9 @@ def completeness_check(spark, sf_dir):
 
 
 @register(r"""
-WITH p AS (SELECT a.conv_id, a.turn, a.text AS t, regexp_extract_all(q.text, '[A-Z][a-z]+') AS known FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1)
-SELECT conv_id, turn, nullif(array_to_string(list_filter(string_split(t, chr(10)), lambda l: len(list_filter(regexp_extract_all(l, '[A-Z][a-z]+'), lambda w: NOT list_contains(known, w))) = 0), chr(10)), '') AS kept FROM p""")
+WITH p AS (SELECT a.conv_id, a.turn, a.text AS t, string_split(a.text, chr(10)) AS ls, list_transform(regexp_extract_all(q.text, '[A-Z][a-z]+'), lambda w: lower(w)) AS known FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1),
+k AS (SELECT *, list_filter(ls, lambda l: len(list_filter(regexp_extract_all(l, '[A-Z][a-z]+'), lambda w: NOT list_contains(known, lower(w)))) = 0) AS good FROM p)
+SELECT conv_id, turn, CASE WHEN len(known) = 0 OR len(good) = len(ls) THEN t ELSE nullif(trim(regexp_replace(array_to_string(good, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)), '') END AS kept FROM k""")
 def strip_unsupported_lines(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     q = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
