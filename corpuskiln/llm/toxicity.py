@@ -66,8 +66,11 @@ def terms(text: bytes | None) -> np.ndarray:
 
 def associated(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Which ids stand in enough documents and depend on the label, alone or together with another one."""
-    ids, y = np.concatenate(docs), np.repeat(labels, [len(d) for d in docs])
-    both, pos = np.bincount(ids, minlength=DIM).astype(float), np.bincount(ids, y, DIM)
+    both, pos = np.zeros(DIM), np.zeros(DIM)
+    for k in range(0, len(docs), 1024):  # some documents at a time: the driver's memory is small
+        part, toxic = docs[k : k + 1024], labels[k : k + 1024] > 0
+        both += np.bincount(np.concatenate(part), minlength=DIM)
+        pos += np.bincount(np.concatenate([d for d, t in zip(part, toxic) if t] or [part[0][:0]]), minlength=DIM)
     n, p = float(len(labels)), float(labels.sum())
     neg, off = both - pos, (p - pos, (n - p) - (both - pos))
     chi = n * (pos * off[1] - neg * off[0]) ** 2 / np.maximum(1e-9, p * (n - p) * both * (n - both))
@@ -176,10 +179,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine
 
     # about ``most`` rows at the largest
     chosen = keyed.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("doc_id", "text", "toxic")
-    rows = sorted(in_batches(chosen, run, "doc_id long, toxic int, ids binary").collect(), key=lambda r: (r["doc_id"], r["ids"]))
+    # written first and read partition by partition, so the driver's JVM never holds all of them
+    ready = settle(in_batches(chosen, run, "doc_id long, toxic int, ids binary"), "training-terms")
+    rows = sorted(((r["doc_id"], r["ids"], r["toxic"]) for r in ready.toLocalIterator()), key=lambda r: r[:2])
     machine = Machine()
     if rows:
-        found, toxic = [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([float(r["toxic"] > 0) for r in rows])
+        found, toxic = [np.frombuffer(ids, np.int32) for _, ids, _ in rows], np.array([float(t > 0) for *_, t in rows])
         del rows
         machine.fit(found, toxic)
     return machine
