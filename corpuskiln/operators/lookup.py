@@ -246,6 +246,18 @@ def expanded_articles(passages: DataFrame, chunks: DataFrame, most: int = 1) ->
     return top.select("query_id", "article_id", "rerank_score", "group_rank").join(chunks.select("article_id", "chunk_id", "text"), "article_id")
 
 
+def amendments_expanded(passages: DataFrame, documents: DataFrame, chunks: DataFrame, most: int = 180) -> DataFrame:
+    """(query_id, all of ``chunks``, rerank_score, rank): a question's passages from amending documents (their title says so)
+    give way to all chunks of those documents, in order, ahead of its other passages; at most ``most`` a question."""
+    amending = documents.filter(F.rlike(F.coalesce("title", F.lit("")), F.lit(G.AMENDING))).select("document_id")
+    hit = passages.select("query_id", "document_id", "rerank_score").join(amending, "document_id", "left_semi").groupBy("query_id", "document_id").agg(F.max("rerank_score").alias("rerank_score"))
+    cols = ["query_id", *chunks.columns, "rerank_score"]
+    whole = chunks.join(hit, "document_id").select(*cols, F.lit(1).alias("_src"), F.lit(0).cast("long").alias("_r"))
+    kept = passages.join(hit.select("query_id", "document_id"), ["query_id", "document_id"], "left_anti").select(*cols, F.lit(2).alias("_src"), F.col("rank").cast("long").alias("_r"))
+    every = R.union([whole, kept])
+    return R.top_k(every, "query_id", [F.col("_src"), F.col("_r"), F.col("document_id"), F.col("chunk_id")], most).drop("_src", "_r")
+
+
 def with_missing(passages: DataFrame, more: DataFrame, text: str = "text", first: int = 100) -> DataFrame:
     """Passages and those further ones whose beginning none of them has."""
     every = R.union([passages.withColumn("_src", F.lit(0)), more.withColumn("_src", F.lit(1))])

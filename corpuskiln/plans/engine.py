@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import legal as G
 from corpuskiln.functions import rules as U
 from corpuskiln.functions import text as X
 from corpuskiln.operators import answer as A
@@ -13,6 +14,8 @@ from corpuskiln.operators import providers as P
 from corpuskiln.operators import ranks as R
 from corpuskiln.operators import search as S
 from corpuskiln.operators import store
+from corpuskiln.operators.textindex import TextIndex
+from corpuskiln.operators.vectorindex import CellIndex
 from corpuskiln.plans import ingest as I
 from corpuskiln.sources.buckets import Buckets
 from corpuskiln.sources.tables import written
@@ -21,9 +24,9 @@ from corpuskiln.sources.tables import written
 class Engine:
     """``chunks``: chunk_id, document_id, doc_number, document_title, article_number, text, embedding."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, embedder: P.Embedder | None = None, rules: dict | None = None, tables: dict[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, embedder: P.Embedder | None = None, rules: dict | None = None, tables: dict[str, DataFrame] | None = None, cells: CellIndex | None = None):
         self.spark, self.chunks, self.rules = spark, chunks, rules or {"structural": [], "routing": {}, "overrides": []}
-        self.embedder, self.tables = embedder or P.HashedTokens(), tables or {}
+        self.embedder, self.tables, self.cells, self._words = embedder or P.HashedTokens(), tables or {}, cells, None
 
     @classmethod
     def ingest(cls, spark: SparkSession, path: str, at: str | None = None, **options) -> tuple[Engine, dict[str, DataFrame]]:
@@ -41,19 +44,57 @@ class Engine:
             tables["chunk_vectors"] = written(tables["chunk_vectors"], name="chunk_vectors")
         return cls(spark, tables["chunk_vectors"], tables=tables, **options), tables
 
+    @property
+    def words(self) -> TextIndex:
+        """The word index of the chunks with their documents' titles, written when it is first asked for."""
+        if self._words is None:
+            self._words = TextIndex.build(self.chunks, "chunk_id", "text", "document_title")
+        return self._words
+
+    def worded(self, queries: DataFrame, pool: DataFrame, n: int, filtered: bool) -> DataFrame:
+        """(query_id, chunk_id, score, rank): full-text hits by cover density, and for questions without any the chunks that
+        contain some of their longest words."""
+        asked = queries.select("query_id", X.token_set(X.fold("query")).alias("terms"))
+        full = self.words.ranked(asked, where=pool.select("chunk_id") if filtered else None).withColumnRenamed("key", "chunk_id")
+        full = written(R.top_k(full, "query_id", [F.col("score").desc(), F.col("chunk_id")], n), name="full")
+        left = queries.join(full.select("query_id").distinct(), "query_id", "left_anti").withColumn("terms", X.like_terms("query"))
+        said = S.keyword_scores(left.select("query_id", "terms"), pool.select("chunk_id", "text"), first=6000).select("query_id", "chunk_id", "score")
+        said = R.top_k(said, "query_id", [F.col("score").desc(), F.col("chunk_id")], n)
+        return R.union([full, said])
+
     def search(self, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
-        """Vector and keyword rankings fused, reranked, diversified; ``where`` filters chunks before scoring."""
+        """Vector and full-text rankings fused, reranked, diversified; ``where`` filters chunks before scoring. Vectors are
+        compared exactly, or through ``cells`` where the engine was given an index of them."""
         pool = self.chunks.filter(where) if where is not None else self.chunks
-        q = P.embedded(queries, "query", self.embedder).withColumn("terms", X.keywords("query"))
-        near = S.vector_top_k(q.select("query_id", "embedding"), pool, "chunk_id", 3 * k)
-        said = S.keyword_scores(q.select("query_id", "terms"), pool.select("chunk_id", "text"))
-        said = R.top_k(said, "query_id", [F.col("score").desc(), F.col("chunk_id")], 3 * k).select("query_id", "chunk_id", "score", "rank")
+        q = P.embedded(queries, "query", self.embedder)
+        if self.cells is not None:
+            near = self.cells.search(q.select("query_id", F.col("embedding").alias(self.cells.vector)), 3 * k, where)
+        else:
+            near = S.vector_top_k(q.select("query_id", "embedding"), pool, "chunk_id", 3 * k)
+        said = self.worded(queries, pool, 3 * k, where is not None)
         fused = R.rrf([near.select("query_id", "chunk_id", "score", "rank"), said], ["chunk_id"]).filter(F.col("rank") <= max(4 * k, 12))
         rows = pool.join(fused.select("query_id", "chunk_id", "rrf_score", F.col("rank").alias("r0")), "chunk_id").join(queries, "query_id")
         rows = rows.withColumn("rerank_score", P.overlap_rerank(F.col("query"), F.col("text")))
         top = R.top_k(rows, "query_id", [F.col("rerank_score").desc(), F.col("r0")], k)
         return R.diversified(top, "document_id").drop("rank", "r0", "embedding").withColumnRenamed("new_rank", "rank")
 
+    def retrieve(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """Passages of every question by one plan: what it names is looked up; a question that wants several articles and got
+        one goes on, like those that name nothing, to ``search``; passages of amending documents bring the whole document."""
+        if not self.tables:
+            return self.search(queries, k).withColumn("way", F.lit("search"))
+        flags = G.question_flags(F.col("query"))
+        asked = queries.withColumn("_several", flags["wants_several"] & ~flags["names_article"])
+        found = self.lookup(queries)
+        articles = found.groupBy("query_id").agg(F.count_distinct("article_id").alias("_n"))
+        settled = asked.join(articles, "query_id").filter(~F.col("_several") | (F.col("_n") > 1)).select("query_id", "query")
+        titles = self.tables["documents"].select("document_id", F.col("title").alias("document_title"))
+        named = found.join(settled, "query_id").join(titles, "document_id").withColumn("rerank_score", F.col("score")).withColumn("way", F.lit("lookup"))
+        rest = written(queries.join(settled.select("query_id"), "query_id", "left_anti"), name="rest")
+        said = self.search(rest, k)
+        whole = K.amendments_expanded(said, self.tables["documents"], self.chunks.drop("embedding"))
+        return R.union([named, whole.join(rest, "query_id").withColumn("way", F.lit("search"))])
+
     def search_widened(self, queries: DataFrame, where: Column, k: int = 10, least: int = 3) -> DataFrame:
         """``search`` among filtered chunks; questions that find fewer than ``least`` there get unfiltered hits behind them."""
         near = self.search(queries, k, where)
@@ -76,7 +117,7 @@ class Engine:
 
     def answer(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """Context, sources and an extractive answer per query; a query without passages gets none."""
-        found = self.search(queries, k)
+        found = written(self.retrieve(queries, k).drop("query"), name="found")
         context = A.grouped_context(found)
         cited = A.citations(A.sources(found).select("query_id", "doc_number", "article_number", "rank"))
         mean = found.groupBy("query_id").agg(F.avg("rerank_score").alias("mean"))

@@ -212,6 +212,25 @@ def missing_chunk_merge(spark, sf_dir):
     return K.with_missing(c.filter("c_acctbal < 3000"), c.filter("c_acctbal >= 3000")).select("query_id", "id", "text")
 
 
+@register(f"""
+WITH {_CORPUS}, t AS (SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'Luật sửa đổi, bổ sung ' || title ELSE title END AS title FROM docs),
+p AS (SELECT query_id, a.document_id, article_id, no, round(1.0 / (no + a.document_id - ask.document_id), 6) AS s FROM ask JOIN arts a ON a.document_id IN (ask.document_id, ask.document_id + 1) AND no <= 2),
+h AS (SELECT query_id, document_id, max(s) AS s FROM p JOIN t USING (document_id) WHERE contains(title, 'sửa đổi') GROUP BY 1, 2),
+u AS (SELECT query_id, a.document_id, a.article_id AS chunk_id, h.s AS rerank_score, 1 AS src, 0 AS r FROM h JOIN arts a USING (document_id)
+  UNION ALL SELECT query_id, document_id, article_id, s, 2, article_id FROM p WHERE (query_id, document_id) NOT IN (SELECT query_id, document_id FROM h))
+SELECT query_id, document_id, chunk_id, rerank_score::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY src, r, document_id, chunk_id) AS rank FROM u QUALIFY rank <= 6""")
+def amended_articles(spark, sf_dir):
+    """Passages of a part and the next one; every third part is an amending law, of which all articles come."""
+    docs, arts, _ = corpus(spark, sf_dir)
+    docs = docs.withColumn("title", F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("Luật sửa đổi, bổ sung "), "title")).otherwise(F.col("title")))
+    q = asked(spark, sf_dir, "x").select("query_id", F.explode(F.array("query_id", F.col("query_id") + 1)).alias("document_id"))
+    rows = q.join(arts, "document_id").withColumn("no", F.col("article_id") % 10).filter("no <= 2")
+    score = F.round(1.0 / (F.col("no") + F.col("document_id") - F.col("query_id")), 6)
+    rows = rows.select("query_id", "document_id", F.col("article_id").alias("chunk_id"), score.alias("rerank_score"), F.col("article_id").alias("rank"))
+    chunks = arts.select("document_id", F.col("article_id").alias("chunk_id"))
+    return K.amendments_expanded(rows, docs, chunks, 6).select("query_id", "document_id", "chunk_id", "rerank_score", "rank")
+
+
 # Parsing
 
 
@@ -386,3 +405,31 @@ def closest_text(spark, sf_dir):
 def flag_tallies(spark, sf_dir):
     rows = load(spark, sf_dir, "conversations").select(F.rlike("text", F.lit("[?]")).alias("asks"), F.rlike("text", F.lit("[0-9]")).alias("digits"), F.length("text").alias("chars"))
     return M.tallies(rows, ["asks", "digits"], ["chars"])
+
+
+_WORDINGS = ("Khoản 3 nói gì", "100/2019/NĐ-CP", "điều 12 nghĩa là gì", "So sánh hai bên", "mức phạt", "thủ tục cấp phép", "danh mục", "khác nhau ra sao", "")
+_LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_SAYS = lambda words: f"len(list_filter({_LISTED(words)}, lambda w: contains(lower(q), w))) > 0"
+
+
+@register(f"""
+WITH t AS (SELECT conv_id, turn, {_LISTED(_WORDINGS)} AS ws, substr(text, 1, (turn * 20)::INT) AS tail FROM conversations),
+s AS (SELECT conv_id, turn, trim(ws[conv_id % 9 + 1] || ' ' || ws[(conv_id + turn) % 9 + 1] || ' ' || tail, ' ' || chr(9) || chr(10) || chr(13)) AS q FROM t)
+SELECT conv_id, turn, regexp_matches(lower(q), '(^|\\W)điều\\s+\\d+[a-z]?(\\W|$)') AS has_article_ref, regexp_matches(lower(q), 'khoản\\s+\\d+') AS has_clause_ref, regexp_matches(q, '\\d{{2,}}/\\d{{4}}/[A-ZĐa-zđ0-9\\-]+') AS has_doc_number,
+  {_SAYS(G.PROCEDURAL)} AS is_procedure_like, {_SAYS(G.EXPLAINING)} AS needs_explanation, {_SAYS(G.COMPARING)} AS needs_comparison, {_SAYS(G.FINE)} AS asks_fine_amount, {_SAYS(G.BROAD)} AS needs_broad_coverage,
+  length(q)::INT AS query_length, length(q) < 30 AS is_short_query, length(q) > 100 AS is_long_query FROM s""")
+def question_features(spark, sf_dir):
+    """Eleven features of texts that open with two wordings by their key."""
+    c = load(spark, sf_dir, "conversations")
+    said = lambda i: F.element_at(F.array(*map(F.lit, _WORDINGS)), (i % 9 + 1).cast("int"))
+    q = F.concat_ws(" ", said(F.col("conv_id")), said(F.col("conv_id") + F.col("turn")), F.substring("text", F.lit(1), (F.col("turn") * 20).cast("int")))
+    return c.select("conv_id", "turn", G.query_features(q).alias("f")).select("conv_id", "turn", "f.*")
+
+
+@register("SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // 25 AS page, count(*) OVER () AS total FROM documents")
+def document_pages(spark, sf_dir):
+    """Every document with its page in an order of all, as the pages lie on disk."""
+    from corpuskiln.operators.paging import Pages
+
+    pages = Pages.build(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 25, [F.col("n_chars").desc()])
+    return pages.rows.select("doc_id", F.col("_page").alias("page"), F.lit(pages.total).cast("long").alias("total"))
