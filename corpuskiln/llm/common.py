@@ -44,13 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFrame:
+def settle(df: DataFrame, name: str, after: tuple[DataFrame, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """Cuts the lineage: writes to the shared folder as Parquet and reads back, so
     lost executors cost no recomputation of what lies before.  ``after``: settled
-    tables that nothing needs any more once this one is written; they are deleted."""
+    tables that nothing needs any more once this one is written; they are deleted.
+    ``by``: columns that are folders, the last ones of ``df``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     for table in after:

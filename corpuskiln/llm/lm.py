@@ -7,11 +7,13 @@
    which there are at most ``HEAD`` of them, are broadcast (a bounded table);
    all other words meet their counts in a join, by name.  Tail words are rare
    by construction, so no key is hot.
-3. Training: documents, as 16-bit word ids, are dealt to tasks by row hash.
-   Each task trains the gated recurrent model (see ``gru``) on all of its
-   documents, in one turn from common weights, some ``TAUGHT`` words at a time;
-   weights are averaged by words seen, in one order.  Neither the layout of the
-   input nor a lost executor changes the model.
+3. Training: documents, as 16-bit word ids, are dealt to rounds and tasks by row
+   hash.  In each round every task trains the gated recurrent model (see ``gru``)
+   on its documents from common weights, and the weights are averaged by words
+   seen, in one order; the next round goes on from there at a smaller rate.  The
+   number of rounds grows with the corpus, so more text makes a better model.
+   Neither the layout of the input nor a lost executor changes it.  Step sizes
+   depend on how much text a task has: a short rest trains in fewer lanes.
 4. Scoring: one pass; documents of a task advance together with their states
    carried from window to window.  Words outside the model's vocabulary are
    its class "rare", within which they have their add-one unigram share.
@@ -35,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.common import Names, id_crc, in_batches, load, mix, raw_texts, row_key, settle, signed
+from corpuskiln.llm.common import Names, id_crc, in_batches, load, mix, raw_texts, release, row_key, settle, signed
 from corpuskiln.llm.gru import SPAN, Gru, Trainer
 
 HEAD, VOCABULARY = 1 << 19, 2048
 #: Words a task holds while it trains, and the sequences that train together.
 TAUGHT, LANES = 2_000_000, 256
+#: Words a round takes at the least, rounds at most, and words of a task in a round.
+ROUND_WORDS, MOST_ROUNDS, ROUND_TAUGHT = 1_000_000, 64, 500_000
 #: Tasks among which training documents are dealt; beyond so many a task trains longer.
 MOST_TASKS = 1 << 16
 #: Documents that advance together in a task.
@@ -157,7 +161,7 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def dealt(training: DataFrame, head: Head, tasks: int) -> DataFrame:
+def dealt(training: DataFrame, head: Head) -> DataFrame:
     """(deal, ids): the training documents as word ids, dealt to tasks by row hash and not by input split.
 
     Rows that agree in id and text are told apart by their number in the split, so many of them are many deals."""
@@ -173,21 +177,42 @@ def dealt(training: DataFrame, head: Head, tasks: int) -> DataFrame:
             deal = mix(np.array(keys, np.int64).view(_U) + nth * _U(0x9E3779B97F4A7C15))
             yield pa.RecordBatch.from_arrays([pa.array(signed(deal)), pa.array([ids.of(t).astype(np.uint16).tobytes() for t in raw_texts(batch.column("text"))], pa.binary())], names=["deal", "ids"])
 
-    return in_batches(training.select("key", "text"), run, "deal long, ids binary").repartition(tasks, "deal").sortWithinPartitions("deal")
+    return in_batches(training.select("key", "text"), run, "deal long, ids binary")
 
 
-def train(training: DataFrame, head: Head, model: Gru, tokens: int = 0) -> Gru:
-    """The model, trained on (key, text). ``tokens`` of the training documents decide among how many tasks
-    they are dealt, so another layout of the input trains the same model."""
-    tasks = max(1, min(MOST_TASKS, -(-tokens // TAUGHT)))
-    sent = training.sparkSession.sparkContext.broadcast((head, model))
+def rounds_of(tokens: int) -> int:
+    """Rounds of training: their number grows with the corpus, as the square root of its words."""
+    return max(1, min(MOST_ROUNDS, math.isqrt(tokens // ROUND_WORDS)))
+
+
+def train(training: DataFrame, head: Head, model: Gru, tokens: int = 0, rounds: int | None = None) -> Gru:
+    """The model, trained on (key, text). ``tokens`` of the training documents decide among how many rounds and
+    tasks they are dealt, so another layout of the input trains the same model."""
+    rounds = rounds or rounds_of(tokens)
+    tasks = max(1, min(MOST_TASKS, -(-tokens // (rounds * (TAUGHT if rounds == 1 else ROUND_TAUGHT)))))
+    spoken = dealt(training, head)
+    if rounds > 1:  # a round reads its own folder
+        spoken = settle(spoken.withColumn("round", F.pmod(F.shiftright("deal", 20), F.lit(rounds)).cast("int")), "dealt", by=("round",))
+    for r in range(rounds):
+        part = spoken.filter(F.col("round") == r).drop("round") if rounds > 1 else spoken
+        _trained(part.repartition(tasks, "deal").sortWithinPartitions("deal"), head, model, 1 - r / rounds, LANES if rounds == 1 else 64)
+    if rounds > 1:
+        release(spoken)
+    return model
+
+
+def _trained(spoken: DataFrame, head: Head, model: Gru, share: float, fewest: int) -> None:
+    """One round: every task goes on from ``model`` with its documents, at this share of the full rate; the model becomes
+    the average of theirs. Less than ``fewest`` windows a lane are trained in fewer lanes, that is, in smaller steps."""
+    sent = spoken.sparkSession.sparkContext.broadcast((head, model.pack()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, start = sent.value
         mine = Gru(head.word_counts, 1.0)
-        mine.unpack(start.pack())
+        mine.unpack(start)
         trainer = Trainer(mine)
-        docs, size, seen, rate, blocks = [], 0, 0, trainer.full, 0
+        docs, size, seen, rate, blocks = [], 0, 0, trainer.full * share, 0
+        trainer.full = rate
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
                 docs.append(np.frombuffer(ids, np.uint16).astype(np.int32))
@@ -196,7 +221,7 @@ def train(training: DataFrame, head: Head, model: Gru, tokens: int = 0) -> Gru:
                     seen += trainer.fit(docs, LANES)
                     docs, size, blocks = [], 0, blocks + 1
                     trainer.full = rate / math.sqrt(1 + blocks)
-        seen += trainer.fit(docs, LANES if size > LANES * LANES * SPAN else 64)  # a short rest takes smaller steps
+        seen += trainer.fit(docs, LANES if size > LANES * fewest * SPAN else 64)
         if not seen:
             return
         flat = mine.pack() * seen
@@ -210,11 +235,10 @@ def train(training: DataFrame, head: Head, model: Gru, tokens: int = 0) -> Gru:
         return pdf.iloc[:1].assign(seen=pdf["seen"].sum(), weights=[total.tobytes()])[["block", "part", "task", "seen", "weights"]]
 
     schema = "block int, part int, task int, seen double, weights binary"
-    summed = in_batches(dealt(training, head, tasks), run, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+    summed = in_batches(spoken, run, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
     rows = sorted(summed.collect(), key=lambda r: r["block"])  # the size of the model
     if rows:
         model.unpack(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["seen"] for r in rows]))
-    return model
 
 
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, rare_log double, n_rare long, model_ln double, tail array<struct<name:long,tf:int>>"
