@@ -19,7 +19,7 @@ consecutively.  ``score`` is 1 with a base place, else the best IDF share.
 Defined cases: null text is empty and has no words; a licence word at the very
 start or end counts like any other; repeated rows get equal results; a tie of
 IDF is broken by the word; extra columns are ignored; an empty table gives an
-empty result.
+empty result; a very long text is one array of words in its task.
 """
 
 from __future__ import annotations

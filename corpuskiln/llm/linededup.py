@@ -16,7 +16,7 @@ minimal perfect hash.
 Defined cases: each row is a document (a repeated row counts again); a null id
 is smaller than any other; null or empty text is one empty line, which stays;
 among equal largest ids all keep the line; extra columns are ignored; an empty
-table gives an empty result.
+table gives an empty result; a very long text is read whole, line by line.
 """
 
 from __future__ import annotations

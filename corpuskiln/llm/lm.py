@@ -21,7 +21,8 @@
 Defined cases: null and empty texts are the end token alone; a null id counts
 as crc 0 and trains; rows that agree in id and text have equal scores; without
 any training document N is 0, every base probability is 1/(V+1) with V = 0;
-extra columns are ignored; an empty table gives an empty result.
+extra columns are ignored; an empty table gives an empty result; a very long
+text is scored whole, window by window, with its state carried on.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ returns payload, exact duration and the byte offset of each frame.
 
 Defined cases: null and empty texts are one unit of spaces; equal texts give
 equal columns; garbage between frames is skipped and counted; extra input
-columns are ignored; an empty table gives an empty result.
+columns are ignored; an empty table gives an empty result.  A very long text is
+framed whole; seek offsets are 32 bits wide, so the stored form of a text must stay
+below 4 GB (some 1.4 GB of text), above which Arrow can't hold it as a value either.
 """
 
 from __future__ import annotations

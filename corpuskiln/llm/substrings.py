@@ -26,7 +26,8 @@ Defined cases: null and empty texts have no words, keep '' and remove nothing;
 texts of fewer than ``width`` words keep all; overlapping occurrences in one
 document count (periodic text); each row is a document, so a repeated row of at
 least ``width`` words loses all words in both rows; extra columns are ignored;
-an empty table gives an empty result.
+an empty table gives an empty result.  A very long text is one task's: its words
+and names take some 40 bytes a word there, and nothing of it is cut.
 """
 
 from __future__ import annotations

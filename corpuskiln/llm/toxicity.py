@@ -17,7 +17,8 @@ a fixed order, so reruns agree.  Scoring is one narrow pass over all texts.
 Defined cases: null and empty texts have no terms and score sigmoid(b); labels
 that are null don't train; repeated labels of an id count once, the largest
 one; without any usable label every score is 0.5 - nothing is predicted toxic;
-extra columns are ignored; an empty table gives an empty result.
+extra columns are ignored; an empty table gives an empty result; a very long text
+is read whole and counts by its distinct terms.
 """
 
 from __future__ import annotations

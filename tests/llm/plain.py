@@ -95,3 +95,36 @@ def targets(totals, weights=(5, 2, 1), share=1.5, cap=2.0):
         left -= sum(out[s] for s in above)
         active = [s for s in active if s not in out]
     return out
+
+
+def coverage(text, item, least=5):
+    """(share of the item's words under tiles, tiles) by greedy string tiling: the longest match of unmarked words first."""
+    a = re.findall(r"\w+", (item or "").casefold())
+    b = re.findall(r"\w+", (text or "").casefold())
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), 0
+    while a:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best[0]:  # ties: the first place in the item, then in the text
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            break
+        for k in range(n):
+            free_a[i + k] = free_b[j + k] = False
+        tiles += 1
+    return (free_a.count(False) / len(a) if a else 0.0), tiles
+
+
+def leaks(docs, items, threshold=0.5):
+    """[(doc_id, item_ids, n_items, coverage, contaminated)] of (doc_id, text) against (item_id, text)."""
+    out = []
+    for d, t in docs:
+        found = [(i, *coverage(t, x)) for i, x in items if x is not None]
+        ids = sorted(i for i, c, _ in found if c >= threshold)
+        out.append((d, ids, len(ids), max((c for _, c, n in found if n), default=0.0), int(bool(ids))))
+    return out

@@ -597,3 +597,25 @@ def test_tiling_of_many_items_with_one_stem():
     hits = seeds.hits(doc)
     assert time.perf_counter() - began < 0.5
     assert len(hits) == 4000 and all(c >= 8 / 33 for _, c, n in hits)
+
+
+def test_tiling_query_equals_brute_force(spark, tmp_path):
+    """The whole query against plain tiling: reordered passages, shared stems, case, short items, repeats, nulls."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    items = [(i, say(r.choice([3, 8, 14, 20]))) for i in range(12)] + [(50, None), (51, "")]
+    docs = []
+    for i in range(60):
+        words = say(r.choice([0, 4, 30])).split()
+        for _ in range(r.randrange(3)):
+            w = (r.choice(items[:12])[1]).split()
+            cut = r.randrange(len(w) + 1)
+            words += r.choice([w, w[cut:] + w[:cut], w[: len(w) // 2], [x.upper() for x in w]]) + say(2).split()
+        docs.append((i, " ".join(words)))
+    docs += [(100, None), (None, items[3][1]), (7, docs[7][1])]
+    spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(x.doc_id, x.item_ids, x.n_items, round(x.coverage, 9), x.contaminated) for x in tiling.op9_tiling(spark, str(tmp_path)).collect()]
+    want = [(d, ids, n, round(c, 9), k) for d, ids, n, c, k in plain.leaks(docs, items)]
+    same(got, want)
+    assert 10 < sum(x[4] for x in got) < 55
