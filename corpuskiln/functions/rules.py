@@ -151,6 +151,26 @@ def metadata_filters(query: Column, maps: dict[str, dict[str, list[str]]], unles
     return F.struct(*parts, year.alias("year"), part(r"(?U)điều\s+(\d+[a-z]?)").alias("article"))
 
 
+def sort_wanted(query: Column, orders: dict[str, list[str]], default: str = "relevance") -> Column:
+    """The order that a question asks for by one of its phrases (newest, oldest, ...), else the default."""
+    return F.coalesce(first_mapped(F.lower(query), orders), F.lit(default))
+
+
+def situation(query: Column, maps: dict[str, dict[str, list[str]]], unknown: dict[str, str]) -> Column:
+    """struct of what a local case is about (subject, violation, severity, ...), ``unknown`` where no phrase says so."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    return F.struct(*[F.coalesce(first_mapped(low, m), F.lit(unknown[name])).alias(name) for name, m in maps.items()])
+
+
+def analysis(query: Column, maps: dict[str, dict[str, list[str]]], orders: dict[str, list[str]], cases: dict[str, dict[str, list[str]]], unknown: dict[str, str], signals: tuple[str, ...], stopwords: list[str] = (), phrases: list[str] = ()) -> Column:
+    """struct(filters, keywords, sort, situation) of a question; the situation is null unless one of its ``signals`` is known."""
+    case = situation(query, cases, unknown)
+    known = F.lit(False)
+    for name in signals:
+        known = known | (case[name] != unknown[name])
+    return F.struct(metadata_filters(query, maps).alias("filters"), query_keywords(query, list(stopwords), list(phrases)).alias("keywords"), sort_wanted(query, orders).alias("sort"), F.when(known, case).alias("situation"))
+
+
 def query_keywords(query: Column, stopwords: list[str], phrases: list[str], least: int = 3) -> Column:
     """Phrases of two words first, then words of ``least`` letters that are neither stopwords nor numbers; each once."""
     words = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))

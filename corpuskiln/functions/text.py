@@ -180,11 +180,11 @@ SIGNATURES = ("nơi nhận", "tm.", "kt.", "tuq.", "tl.", "ký tên", "đã ký"
 
 
 def composed(c: Column | str) -> Column:
-    """Unicode's composed form (NFC); texts without combining marks skip Python's work, in Arrow batches."""
+    """Unicode's composed form (NFC), in Arrow batches; a text that has it already is given back as it is."""
 
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+        return s.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
     return nfc(col(c))
 

@@ -160,10 +160,10 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, k: int, vecto
 
 
 def prototype_scores(items: DataFrame, prototypes: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """The best similarity of each item to each label's prototypes. Prototypes are one packed matrix that is joined to
-    packed items, so a block of items is one product."""
+    """The best similarity of each item to each label's prototypes. Both are packed into blocks, a pair of which is one
+    product; prototypes may be many, as they can grow with the corpus."""
     left = _packed(items, key, vector, 8192, "m")
-    right = _packed(prototypes.repartition(1), "label", vector, 1 << 20, "q")  # a fixed small set
+    right = _packed(prototypes, "label", vector, 4096, "q")
     kind, name = dict(items.dtypes)[key], dict(prototypes.dtypes)["label"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

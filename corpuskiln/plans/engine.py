@@ -13,7 +13,7 @@ from corpuskiln.operators import lookup as K
 from corpuskiln.operators import providers as P
 from corpuskiln.operators import ranks as R
 from corpuskiln.operators import search as S
-from corpuskiln.operators import store
+from corpuskiln.operators import store, structure
 from corpuskiln.operators.textindex import TextIndex
 from corpuskiln.operators.vectorindex import CellIndex
 from corpuskiln.plans import ingest as I
@@ -185,5 +185,19 @@ class Engine:
     def documents(self, offset: int = 0, limit: int = 20) -> DataFrame:
         return self.chunks.groupBy("document_id", "doc_number").agg(F.count("*").alias("n_chunks")).orderBy("document_id").offset(offset).limit(limit)
 
+    def report(self, path: str, rows: int = 50) -> str:
+        """What the corpus holds: documents by kind, articles and chunks by document, as JSON below ``path`` and as Markdown."""
+        docs, arts = self.tables["documents"], self.tables["articles"]
+        kinds = docs.groupBy("document_type").agg(F.count("*").alias("n_documents"), F.min("issued_date").cast("string").alias("first"), F.max("issued_date").cast("string").alias("last")).orderBy("document_type")
+        held = docs.select("document_id", "title").join(arts.groupBy("document_id").agg(F.count("*").alias("n_articles")), "document_id", "left").join(structure.chunk_metrics(self.chunks), "document_id", "left").orderBy("document_id")
+        return store.report({"kinds": kinds, "documents": held}, path, rows)
+
+    def conversation(self, conversations: DataFrame, messages: DataFrame, said: DataFrame, keep: int = 100) -> tuple[DataFrame, DataFrame]:
+        """Conversations and messages after ``said`` (conversation_id, message_id, role, text): the newest messages stay, and
+        documents that are named in them are remembered."""
+        numbers = X.references(F.col("text"))
+        named = said.select("conversation_id", F.col("message_id").alias("at"), F.explode(numbers).alias("document"))
+        return store.remembered(conversations, named), store.add_messages(messages, said, keep)
+
     def health(self) -> dict:
         return {"spark": self.spark.version, "chunks": self.chunks.count()}
