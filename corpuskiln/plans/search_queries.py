@@ -364,7 +364,18 @@ def doc_ref_resolution(spark, sf_dir):
     return S.resolve_references(q, d)
 
 
-@register()
+@register(r"""
+WITH d AS (SELECT s_suppkey::BIGINT AS document_id, s_suppkey || '/' || (s_nationkey + 1990) || '/NĐ-CP' AS num, s_nationkey + 1990 AS y FROM supplier),
+q AS (SELECT document_id AS query_id, CASE document_id % 4 WHEN 0 THEN num WHEN 1 THEN document_id || '/' || y WHEN 2 THEN document_id || '_' || y || '_nd-cp' ELSE document_id || '/ND-CP' END AS ref FROM d),
+a AS (SELECT query_id, upper(trim(ref)) AS r, replace(replace(strip_accents(lower(ref)), 'đ', 'd'), '_', '/') AS f FROM q),
+b AS (SELECT document_id, upper(trim(num)) AS n, replace(replace(strip_accents(lower(num)), 'đ', 'd'), '_', '/') AS g FROM d),
+t AS (
+  SELECT query_id, document_id, 1 AS tier FROM a JOIN b ON r = n
+  UNION ALL SELECT query_id, document_id, 2 FROM a JOIN b ON starts_with(n, r)
+  UNION ALL SELECT query_id, document_id, 3 FROM a JOIN b ON starts_with(g, f)
+  UNION ALL SELECT query_id, document_id, 4 FROM a JOIN b ON split_part(f, '/', 1) = split_part(g, '/', 1) WHERE NOT regexp_matches(f, '^\d{4}$|/\d{4}(\D|$)')),
+m AS (SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query_id))
+SELECT query_id, document_id, tier::BIGINT AS tier, row_number() OVER (PARTITION BY query_id ORDER BY document_id) AS rank FROM m QUALIFY rank <= 5""")
 def doc_ref_forms(spark, sf_dir):
     """Every supplier has a number of the stored form and is asked for in one of the four forms of a
     reference: whole, number and year, with underscores and without diacritics, without the year."""
