@@ -87,26 +87,25 @@ def interacting(docs: list[np.ndarray], labels: np.ndarray, both: np.ndarray, po
     often = often[np.lexsort((often, -both[often]))][:PAIRED]
     at = np.full(DIM, -1)
     at[often] = np.arange(len(often))
-    n = np.zeros((len(often), len(often)), np.float32)
-    hits = np.zeros_like(n)
-    for k in range(0, len(docs), 1024):
-        part, y = docs[k : k + 1024], labels[k : k + 1024].astype(np.float32)
-        x = np.zeros((len(part), len(often)), np.float32)
-        for i, d in enumerate(part):
-            mine = at[d]
-            x[i, mine[mine >= 0]] = 1
-        n += x.T @ x
-        hits += x.T @ (x * y[:, None])
     odds = lambda p: np.log(p / (1 - p))
     alone = odds((pos[often] + 0.5) / (both[often] + 1))
     base = odds(np.clip(labels.mean(), 0.01, 0.99))
     found = np.zeros(len(often), bool)
-    for k in range(0, len(often), 128):  # some rows at a time: the driver's memory is small
-        m, h = n[k : k + 128], hits[k : k + 128]
-        expect = np.clip(1 / (1 + np.exp(np.clip(base - alone[k : k + 128, None] - alone[None, :], -30, 30))), 0.01, 0.99)
-        chi = (h - m * expect) ** 2 / (m * expect * (1 - expect) + 1)
-        chi[np.arange(len(m)), np.arange(k, k + len(m))] = 0
-        found[k : k + 128] = ((m >= PAIR_ROWS) & (chi >= PAIR_CHI)).any(1)
+    for a in range(0, len(often), 256):  # some rows of the table of pairs at a time: the driver's memory is small
+        n, hits = np.zeros((2, min(256, len(often) - a), len(often)), np.float32)
+        for k in range(0, len(docs), 512):
+            part, y = docs[k : k + 512], labels[k : k + 512].astype(np.float32)
+            x = np.zeros((len(part), len(often)), np.float32)
+            for i, d in enumerate(part):
+                mine = at[d]
+                x[i, mine[mine >= 0]] = 1
+            own = x[:, a : a + 256].T
+            n += own @ x
+            hits += own @ (x * y[:, None])
+        expect = np.clip(1 / (1 + np.exp(np.clip(base - alone[a : a + 256, None] - alone[None, :], -30, 30))), 0.01, 0.99)
+        chi = (hits - n * expect) ** 2 / (n * expect * (1 - expect) + 1)
+        chi[np.arange(len(n)), np.arange(a, a + len(n))] = 0
+        found[a : a + 256] = ((n >= PAIR_ROWS) & (chi >= PAIR_CHI)).any(1)
     return often[found]
 
 
