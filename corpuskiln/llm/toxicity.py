@@ -44,10 +44,10 @@ _EDGE = b" .,;:!?\"'()[]{}|<>*_-"
 
 
 class Terms(dict):
-    """word -> ids of its terms, cached."""
+    """word -> ids of its terms. The cache stays with a worker that goes on to other stages, so it is small."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) >= 1 << 16:
             self.clear()
         bare = word.strip(_EDGE).decode("utf-8", "replace").lower()
         names = {f"w{bare}", f"a{bare[:4]}"} if bare else ()
