@@ -44,8 +44,8 @@ from corpuskiln.llm.gru import SPAN, Gru, Trainer
 HEAD, VOCABULARY = 1 << 19, 2048
 #: Words a task holds while it trains, and the sequences that train together.
 TAUGHT, LANES = 2_000_000, 256
-#: Words a round takes at the least, rounds at most, and words of a task in a round.
-ROUND_WORDS, MOST_ROUNDS, ROUND_TAUGHT = 1_000_000, 64, 500_000
+#: Rounds are the square root of the corpus in units of so many words, at most so many.
+ROUND_WORDS, MOST_ROUNDS = 1_000_000, 64
 #: Tasks among which training documents are dealt; beyond so many a task trains longer.
 MOST_TASKS = 1 << 16
 #: Documents that advance together in a task.
@@ -190,21 +190,21 @@ def train(training: DataFrame, head: Head, model: Gru, tokens: int = 0, rounds:
     """The model, trained on (key, text). ``tokens`` of the training documents decide among how many rounds and
     tasks they are dealt, so another layout of the input trains the same model."""
     rounds = rounds or rounds_of(tokens)
-    tasks = max(1, min(MOST_TASKS, -(-tokens // (rounds * (TAUGHT if rounds == 1 else ROUND_TAUGHT)))))
+    tasks = max(1, min(MOST_TASKS, -(-tokens // (rounds * TAUGHT))))
     spoken = dealt(training, head)
     if rounds > 1:  # a round reads its own folder
         spoken = settle(spoken.withColumn("round", F.pmod(F.shiftright("deal", 20), F.lit(rounds)).cast("int")), "dealt", by=("round",))
     for r in range(rounds):
         part = spoken.filter(F.col("round") == r).drop("round") if rounds > 1 else spoken
-        _trained(part.repartition(tasks, "deal").sortWithinPartitions("deal"), head, model, 1 - r / rounds, LANES if rounds == 1 else 64)
+        _trained(part.repartition(tasks, "deal").sortWithinPartitions("deal"), head, model, 1 - r / rounds)
     if rounds > 1:
         release(spoken)
     return model
 
 
-def _trained(spoken: DataFrame, head: Head, model: Gru, share: float, fewest: int) -> None:
+def _trained(spoken: DataFrame, head: Head, model: Gru, share: float) -> None:
     """One round: every task goes on from ``model`` with its documents, at this share of the full rate; the model becomes
-    the average of theirs. Less than ``fewest`` windows a lane are trained in fewer lanes, that is, in smaller steps."""
+    the average of theirs."""
     sent = spoken.sparkSession.sparkContext.broadcast((head, model.pack()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _trained(spoken: DataFrame, head: Head, model: Gru, share: float, fewest: in
                     seen += trainer.fit(docs, LANES)
                     docs, size, blocks = [], 0, blocks + 1
                     trainer.full = rate / math.sqrt(1 + blocks)
-        seen += trainer.fit(docs, LANES if size > LANES * fewest * SPAN else 64)
+        seen += trainer.fit(docs, LANES if size > LANES * LANES * SPAN else 64)  # a short rest takes smaller steps
         if not seen:
             return
         flat = mine.pack() * seen
