@@ -619,3 +619,12 @@ def test_tiling_query_equals_brute_force(spark, tmp_path):
     want = [(d, ids, n, round(c, 9), k) for d, ids, n, c, k in plain.leaks(docs, items)]
     same(got, want)
     assert 10 < sum(x[4] for x in got) < 55
+
+
+def test_rounds_of_training_ignore_the_layout(docs, monkeypatch):
+    """Several rounds on several tasks give one model, whatever the input's partitions; rounds grow with the corpus."""
+    assert [lm.rounds_of(n) for n in (0, 999_999, 4_000_000, 100_000_000, 10**13)] == [1, 1, 2, 10, 64]
+    monkeypatch.setattr(lm, "ROUND_WORDS", 400)
+    monkeypatch.setattr(lm, "TAUGHT", 700)
+    score = lambda d: sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.lm_scores(d).collect())
+    assert score(docs) == score(docs.repartition(7))
