@@ -54,9 +54,9 @@ NUMBER_IN_TEXT = r"(?iuU)\b(?:Luật\s*số|Số)\s*:\s*(\d{1,4}(?:\s*/\s*\d{4})
 NUMBER_AS_FILE = r"^\s*(\d+)_(\d{4})_([A-Za-z][A-Za-z0-9\-]*)(?:_\d+)*\s*$"
 NUMBER_WITH_SLASHES = r"(\d+/\d{4}/[A-Za-z0-9\-]+)"
 NUMBER_GLUED = r"(\d{1,4})(\d{4})?([A-ZĐ]{1,4})[-–]([A-Z0-9Đ]{1,20})(?:\s|$|[^A-Z0-9])"
-ASKED_WITH_YEAR = r"(\d{1,4}/\d{4}/[A-ZĐa-zđ]{1,5}[-–][A-Z0-9Đa-zđ]{1,20})"
-ASKED_WITHOUT_YEAR = r"(\d{1,4}/[A-ZĐa-zđ]{1,5}[-–][A-Z0-9Đa-zđ]{1,20})"
-ASKED_WITHOUT_SLASH = r"(\d{1,4})([A-ZĐ]{1,5})\s*[-–]\s*([A-Z0-9Đ]{1,20})"
+ASKED_WITH_YEAR = r"(\d+/\d{4}/[A-ZĐa-zđ]{1,5}[-–][A-Z0-9Đa-zđ]{1,20})"
+ASKED_WITHOUT_YEAR = r"(\d+/[A-ZĐa-zđ]{1,5}[-–][A-Z0-9Đa-zđ]{1,20})"
+ASKED_WITHOUT_SLASH = r"(\d+)([A-ZĐ]{1,5})\s*[-–]\s*([A-Z0-9Đ]{1,20})"
 ISSUED = r"(?iuU)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
 EFFECTIVE = r"(?iuU)(?:có hiệu lực(?: thi hành)?(?: kể)?(?: từ)?|hiệu lực từ)\s+ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
 ISSUER = r"(?iuU)^(BỘ|CHÍNH PHỦ|QUỐC HỘI|ỦY BAN|ỦY\s+BAN|UBND|HỘI ĐỒNG|TÒA ÁN|VIỆN KIỂM SÁT)\b"
@@ -98,8 +98,9 @@ def question_number(query: Column) -> Column:
 
 
 def question_year(query: Column) -> Column:
-    year = _part(query, r"(\d{4})").cast("int")
-    return F.when(year.between(1990, 2030), year)
+    """The year that the first run of four digits or more says; a number that goes on (19951, 1995NĐ-CP) says none."""
+    run = _part(query, r"(?U)([0-9]{4,}\w*)")
+    return F.when(F.length(run) == 4, F.when(run.between("1990", "2030"), run.cast("int")))
 
 
 def question_name(query: Column) -> Column:
