@@ -50,10 +50,10 @@ RESOURCES = ("cơ sở vật chất", "nhân lực", "trang thiết bị")
 PROHIBITED = ("hành vi bị cấm", "các hành vi cấm", "trích xuất", "liệt kê")
 
 # Patterns of numbers, dates, articles and kinds of questions.
-NUMBER_IN_TEXT = r"(?iuU)\b(?:Luật\s*số|Số)\s*:\s*(\d{1,4}(?:\s*/\s*\d{4})?\s*/\s*[A-ZĐ]{1,6}(?:\s*-\s*[A-Z0-9Đ]{1,20})*(?:\s*\d{1,2})?)"
+NUMBER_IN_TEXT = r"(?iuU)\b(?:Luật\s*số|Số)\s*:\s*(\d+(?:\s*/\s*\d{4})?\s*/\s*[A-ZĐ]{1,6}(?:\s*-\s*[A-Z0-9Đ]{1,20})*(?:\s*\d{1,2})?)"
 NUMBER_AS_FILE = r"^\s*(\d+)_(\d{4})_([A-Za-z][A-Za-z0-9\-]*)(?:_\d+)*\s*$"
 NUMBER_WITH_SLASHES = r"(\d+/\d{4}/[A-Za-z0-9\-]+)"
-NUMBER_GLUED = r"(\d{1,4})(\d{4})?([A-ZĐ]{1,4})[-–]([A-Z0-9Đ]{1,20})(?:\s|$|[^A-Z0-9])"
+NUMBER_GLUED = r"(?<!\d)(\d+?)(\d{4})?([A-ZĐ]{1,4})[-–]([A-Z0-9Đ]{1,20})(?:\s|$|[^A-Z0-9])"
 ASKED_WITH_YEAR = r"(\d+/\d{4}/[A-ZĐa-zđ]{1,5}[-–][A-Z0-9Đa-zđ]{1,20})"
 ASKED_WITHOUT_YEAR = r"(\d+/[A-ZĐa-zđ]{1,5}[-–][A-Z0-9Đa-zđ]{1,20})"
 ASKED_WITHOUT_SLASH = r"(\d+)([A-ZĐ]{1,5})\s*[-–]\s*([A-Z0-9Đ]{1,20})"

@@ -266,7 +266,7 @@ def written_documents(spark, sf_dir):
         "Căn cứ Số: 5/2020/TT-BTC\nĐiều 1. Phạm vi\nCó hiệu lực thi hành kể từ ngày 31 tháng 2 năm 2025, sau đó hiệu lực từ ngày 1 tháng 7 năm 2025."
     )
     k = F.col("k").cast("string")
-    stem = F.when(F.col("k") % 4 == 0, F.concat(k, F.lit("_2024_TT-ABC_99"))).when(F.col("k") % 4 == 1, F.concat(F.lit("Nghị định "), F.lpad(k, 2, "1"), F.lit("2021NĐ-CP ngày"))).otherwise(F.concat(F.lit("ban "), k))
+    stem = F.when(F.col("k") % 4 == 0, F.concat(k, F.lit("_2024_TT-ABC_99"))).when(F.col("k") % 4 == 1, F.concat(F.lit("Nghị định "), F.when(F.length(k) < 2, F.lpad(k, 2, "1")).otherwise(k), F.lit("2021NĐ-CP ngày"))).otherwise(F.concat(F.lit("ban "), k))
     return s.select("k", stem.alias("stem"), F.replace(F.lit(text), F.lit("{k}"), k).alias("text"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import legal as G
+from corpuskiln.plans import lookup_queries
 
 
 def asks(spark, *texts):
@@ -14,3 +15,10 @@ def test_numbers_and_years_of_questions(spark):
     rows = q.select("query_id", G.question_number(F.col("query")).alias("n"), G.question_year(F.col("query")).alias("y")).orderBy("query_id").collect()
     assert [r["n"] for r in rows] == ["12345/NĐ-CP", "1995/NĐ-CP", "19951/NĐ-CP", "12345/2001/NĐ-CP", "12345/NĐ-CP", None]
     assert [r["y"] for r in rows] == [None, None, None, 2001, None, 2001]
+
+
+def test_numbers_of_written_documents(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (5, 101, 1001, 12345, 100001)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = {r["k"]: r for r in lookup_queries.document_metadata(spark, str(tmp_path)).collect()}
+    assert {k: r["number"] for k, r in rows.items()} == {5: "15/2021/NĐ-CP", 101: "101/2021/NĐ-CP", 1001: "1001/2021/NĐ-CP", 12345: "12345/2021/NĐ-CP", 100001: "100001/2021/NĐ-CP"}
+    assert all(r["numbers"] == f"{k}/2025/NĐ-CP,5/2020/TT-BTC" for k, r in rows.items())
