@@ -396,9 +396,9 @@ def topped_up_search(spark, sf_dir):
 WITH p AS (SELECT s_suppkey AS query_id, p_partkey AS part, p_name || ' ' || lower(p_type) AS held FROM supplier JOIN part ON p_partkey % 40 = s_suppkey % 40)
 SELECT query_id, arg_min(part, row_number) AS part, arg_min(held, row_number) AS held FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT contains(lower(held), 'red'), abs(length(held) - 3), held, part) AS row_number FROM p) GROUP BY 1""")
 def closest_text(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 40).alias("m"))
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 40).alias("m"), F.lit("red").alias("asked"))
     p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("held"), (F.col("p_partkey") % 40).alias("m"))
-    return S.closest(s.join(p, "m").withColumn("asked", F.lit("red")), "asked", "held", "part")
+    return S.closest_among(s, p, "m", "asked", "held", "part")
 
 
 @register("SELECT count(*) AS n, count(*) FILTER (regexp_matches(text, '[?]')) AS asks, count(*) FILTER (regexp_matches(text, '[0-9]')) AS digits, round(avg(length(text)), 4) AS chars FROM conversations")
