@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.operators.ranks import top_k
 from corpuskiln.operators.search import vector_top_k
+from corpuskiln.operators.textindex import apart
 from corpuskiln.sources.tables import scratch, written
 
 #: Vectors of a cell on average, and of the sample a cell; cells at most, and rounds; folders; vectors that tune the probes.
@@ -52,6 +53,16 @@ def _nearest(m: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
     return np.argsort(-sims, axis=1, kind="stable")[:, :n]
 
 
+def _first(sample: DataFrame, key: str, n: int) -> list:
+    """The n vectors of the least hashes. Those below a bound are sent, little more than n: a sorted limit would send n of each task."""
+    rows, bound = sample.select(F.xxhash64(F.lit(13), F.col(key)).alias("h"), key, "v"), 1.2 * n / max(sample.count(), 1)
+    while True:
+        some = rows.filter(F.col("h") <= min(int((bound - 0.5) * 2.0**64), 2**63 - 1)).collect()
+        if len(some) >= n or bound >= 1:
+            return [r["v"] for r in sorted(some, key=lambda r: (r["h"], r[key]))[:n]]
+        bound = 2 * bound
+
+
 def _round(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
     """The centres of the vectors nearest to each centre. A centre without vectors stays."""
     sent = sample.sparkSession.sparkContext.broadcast(centres)  # MOST_CELLS centres at most
@@ -106,8 +117,8 @@ class CellIndex:
         share = min(1.0, 1.5 * n * PER_CELL / max(total, 1))  # hashes below a bound: no sort of all vectors
         some = held.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.col(vector).cast("array<double>").alias("v"), key)
         sample = written(some, name="sample")
-        first = sample.orderBy(F.xxhash64(F.lit(13), F.col(key)), key).limit(n).collect()  # n centres to begin with
-        centres = _unit(np.array([r["v"] for r in first], np.float64)) if first else np.zeros((0, 1))
+        first = _first(sample, key, n)  # n centres to begin with
+        centres = _unit(np.array(first, np.float64)) if first else np.zeros((0, 1))
         for _ in range(ROUNDS if first else 0):
             centres = _round(sample.select("v"), centres)
         if not first:
@@ -152,6 +163,8 @@ class CellIndex:
         kind = dict(self.rows.dtypes)[key]
         if not len(self.centres):
             return top_k(self.rows.sparkSession.createDataFrame([], f"query_id long, {key} {kind}, score double"), "query_id", [F.col(key)], k)
+        if (probes or self.probes) >= len(self.centres):  # all cells: each vector meets each question once, in blocks without cells
+            return vector_top_k(queries, self.rows, key, k, vector, where)
         probed = written(self.probed(queries, probes), name="probed")
         wanted = probed.select("cell").distinct()
         folders = [r[0] for r in wanted.select(F.pmod("cell", F.lit(FOLDERS))).distinct().collect()]  # FOLDERS numbers at most
@@ -170,7 +183,8 @@ class CellIndex:
                     row, at = np.nonzero(scores >= kth[:, None])  # ties at the k-th place are settled by key below
                     yield pd.DataFrame({"query_id": ids[row], key: keys[at], "score": scores[row, at]})
 
-        found = left.join(right, "cell").select("m_keys", "m", "q_keys", "q").mapInPandas(run, f"query_id long, {key} {kind}, score double")
+        # repeated vectors take little room in files: by these, Spark would broadcast what questions send to all their cells
+        found = apart(left).join(right, "cell").select("m_keys", "m", "q_keys", "q").mapInPandas(run, f"query_id long, {key} {kind}, score double")
         return top_k(found, "query_id", [F.col("score").desc(), F.col(key)], k)
 
 

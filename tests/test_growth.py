@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import legal as G
-from corpuskiln.operators import lookup, search
+from corpuskiln.operators import lookup, search, vectorindex
+from corpuskiln.operators.vectorindex import CellIndex
 from corpuskiln.plans import lookup_queries
 
 
@@ -55,3 +56,16 @@ def test_runs_of_many_lengths_find_every_text(spark):
     met = {(r["query_id"], r["document_id"]) for r in met}
     assert {(i, d) for i, term in enumerate(terms) for d, t in enumerate(texts) if term in t} <= met
     assert [d for q, d in sorted(met) if terms[q] == "12345/2001/nd-cp"] == [3, 4]
+
+
+def test_exact_vectors_meet_once_and_first_centres_are_those_of_least_hash(spark):
+    rows = [(i, [float((i * 7) % 11), float((i * 5) % 13), 1.0]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = CellIndex.build(vectors, "vec_id", cells=6, k=3)
+    asked = vectors.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    found = index.search(asked, 5, probes=6)
+    assert "probed" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.vector_top_k(asked, vectors, "vec_id", 5).collect()))
+    sample = vectors.select(F.col("embedding").alias("v"), "vec_id")
+    order = [r["v"] for r in sample.orderBy(F.xxhash64(F.lit(13), F.col("vec_id")), "vec_id").collect()]
+    assert vectorindex._first(sample, "vec_id", 6) == order[:6] and vectorindex._first(sample, "vec_id", 400) == order
