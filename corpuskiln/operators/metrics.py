@@ -105,6 +105,10 @@ def ngrams(words: Column, longest: int = 3) -> Column:
 SLOTS = 1 << 24
 
 
+#: Samples whose phrases a task makes at once.
+PIECE = 64
+
+
 def sieve(phrases: DataFrame, slots: int = SLOTS) -> np.ndarray:
     """A bit for the hash of each phrase (column ``phrase``). What isn't in the table may pass, what is always does."""
     slot = F.pmod(F.xxhash64("phrase"), F.lit(slots)) + 1  # numbers of bits count from 1
@@ -127,7 +131,7 @@ def _grown(samples: DataFrame, words: str, n: int, passed: np.ndarray) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = np.unpackbits(sent.value).astype(bool)[:slots], {}
-        for batch in batches:
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):  # words of few texts at a time are objects
             ys, grams = [], []
             for y, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = [" ".join(ws[i : i + n - 1]) for i in range(len(ws or ()) - n + 2)]
