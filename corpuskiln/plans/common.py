@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.operators.textindex import GramIndex, TextIndex
+from corpuskiln.operators.textindex import TextIndex
 from corpuskiln.operators.vectorindex import CellIndex
 
 #: (query_id, wording) of the standing query set.
@@ -36,7 +36,7 @@ def terms_sql(alias: str = "terms", rows: tuple = ASKED) -> str:
     return f"(SELECT query_id, query, list_distinct(string_split(query, ' ')) AS {alias} FROM {asked_sql(rows)})"
 
 
-_INDEXES: dict[tuple[str, str, str], TextIndex | GramIndex | CellIndex] = {}
+_INDEXES: dict[tuple[str, str, str], TextIndex | CellIndex] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
@@ -45,10 +45,6 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _once(spark, sf_dir, "words", lambda: TextIndex.build(docs, "doc_id", "text", "title"))
 
 
-def gram_index(spark: SparkSession, sf_dir: str) -> GramIndex:
-    return _once(spark, sf_dir, "grams", lambda: GramIndex.build(load(spark, sf_dir, "documents"), "doc_id", "text"))
-
-
 def cell_index(spark: SparkSession, sf_dir: str) -> CellIndex:
     return _once(spark, sf_dir, "cells", lambda: CellIndex.build(load(spark, sf_dir, "embeddings"), "vec_id"))
 
